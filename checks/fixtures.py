@@ -24,6 +24,16 @@ select event_id as tweet_id,
   case when event_id < 4 then null else (event_id-1) {div} 2 end as in_response_to_tweet_id
 from events"""
 
+# The reply graph with handles, phone numbers, signatures and Spanish words.
+CHATTY_TEXT = """concat(event_type, ' note ', cast(event_id as {S}),
+    case when event_id % 5 = 0 then ' see @AmazonHelp' else '' end,
+    case when event_id % 7 = 0 then ' call 800 555 1234' else '' end,
+    case when event_id % 13 = 0 then ' En casa' else '' end,
+    case when event_id % 3 = 0 then ' ^AB' else '' end)"""
+CHATTY_GRAPH = REPLY_GRAPH.replace(
+    "concat(event_type, ' ', cast({offset} event_id as {S}))", CHATTY_TEXT
+)
+
 LINEAR_GRAPH = """
 select conv_id*1000+turn as tweet_id,
   case when role = 'assistant' then 'AmazonHelp'
@@ -92,6 +102,10 @@ def boundary_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return derive(spark, sf_dir, REPLY_GRAPH, "10000 +")
 
 
+def chatty_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return derive(spark, sf_dir, CHATTY_GRAPH)
+
+
 def linear_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return derive(spark, sf_dir, LINEAR_GRAPH)
 

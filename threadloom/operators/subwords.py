@@ -30,10 +30,9 @@ LARGEST_VOCABULARY = 1_000_000
 def word_counts(corpus: DataFrame, column: str = "text") -> DataFrame:
     """Words outside placeholders, marked at their start, with their counts."""
     found = F.flatten(F.transform(X.text_pieces(column), X.words))
-    return (
-        corpus.select(F.concat(F.lit(WORD_START), F.explode(found)).alias("word"))
-        .groupBy("word")
-        .agg(F.count("*").alias("n"))
+    counted = corpus.select(F.explode(found).alias("bare")).groupBy("bare").count()
+    return counted.select(
+        F.concat(F.lit(WORD_START), "bare").alias("word"), F.col("count").alias("n")
     )
 
 
