@@ -9,15 +9,8 @@ from pyspark.sql import types as T
 from threadloom import fixed_values as V
 from threadloom.functions import text as X
 from threadloom.operators import gates
-from threadloom.operators.reply_hop import (
-    Fan,
-    fan_metrics,
-    hot_reply_ids,
-    join_replies,
-    links,
-    reply_table,
-)
-from threadloom.session import fresh_path, parallelism
+from threadloom.operators.reply_hop import Fan, fan_metrics, join_replies, links, reply_table
+from threadloom.session import fresh_path
 
 PATH_LEVEL = T.StructType(
     [
@@ -68,15 +61,38 @@ def running_first(value: str, partition_by: list[str], order_by: list[str]) -> C
     return F.first(value).over(Window.partitionBy(*partition_by).orderBy(*order_by))
 
 
-def _path_width() -> Column:
-    turns = F.aggregate("context", F.lit(0), lambda n, ids: n + F.size(ids) * 8 + 16)
-    return (turns + 64).cast("long")
+WIDTH = "64 + aggregate(context, 0, (n, ids) -> n + 16 + 8 * size(ids))"
+
+FRONT = (
+    "context",
+    "sender",
+    "author_id",
+    "place",
+    "response",
+    "posexplode(next) as (onward, reply_id)",
+)
+# Messages of one author in one context that name the same reply become one
+# turn, in the order in which they were replies themselves.
+PARTS = "array_sort(collect_list(struct(place, response, onward)))"
+CHAINS = (
+    "reply_id",
+    "array_append(sender, author_id) as sender",
+    "array_append(context, transform(parts, p -> p.response)) as context",
+    "parts[0].onward as place",
+)
+HOP = ("sender", "context", "place", "tweet_id as response", "author_id", "next")
 
 
-def _first_fronts(messages: DataFrame) -> DataFrame:
+def next_hops(level: DataFrame, replies: DataFrame, fan: Fan) -> DataFrame:
+    fronts = level.selectExpr(*FRONT).groupBy("context", "sender", "author_id", "reply_id")
+    chains = fronts.agg(F.expr(PARTS).alias("parts")).selectExpr(*CHAINS)
+    return join_replies(chains, level, replies, fan, "context").selectExpr(*HOP)
+
+
+def _roots_as_level(messages: DataFrame) -> DataFrame:
     return gates.roots(messages).select(
-        F.array().cast("array<string>").alias("sender"),
-        F.array().cast("array<array<bigint>>").alias("context"),
+        F.expr("cast(array() as array<string>)").alias("sender"),
+        F.expr("cast(array() as array<array<bigint>>)").alias("context"),
         F.lit(1).alias("place"),
         F.col("tweet_id").alias("response"),
         "author_id",
@@ -84,39 +100,6 @@ def _first_fronts(messages: DataFrame) -> DataFrame:
     )
 
 
-def _merged_hop(fronts: DataFrame, replies: DataFrame, fan: Fan) -> DataFrame:
-    named = fronts.select(
-        "sender",
-        "context",
-        "author_id",
-        "place",
-        "response",
-        F.posexplode("next").alias("onward_place", "reply_id"),
-    )
-    hot = hot_reply_ids(named, fan, parallelism(named.sparkSession))
-    merged = (
-        named.groupBy("context", "sender", "author_id", "reply_id")
-        .agg(in_order("place", "response", "onward_place").alias("parts"))
-        .select(
-            "reply_id",
-            F.array_append("sender", F.col("author_id")).alias("sender"),
-            F.array_append("context", F.transform("parts", lambda p: p["response"])).alias(
-                "context"
-            ),
-            F.element_at("parts", 1)["onward_place"].alias("place"),
-        )
-    )
-    replies = replies.select("tweet_id", "author_id", F.col("next").alias("onward"))
-    return join_replies(merged, replies, fan, "context", hot).select(
-        "sender",
-        "context",
-        "place",
-        F.col("tweet_id").alias("response"),
-        "author_id",
-        F.col("onward").alias("next"),
-    )
-
-
 def mine_fan_in(
     messages: DataFrame,
     max_depth: int = V.MAX_DEPTH,
@@ -134,18 +117,20 @@ def mine_fan_in(
         messages = messages.filter(X.is_english("text"))
     replies = reply_table(messages, ["author_id"])
     try:
-        fronts = _first_fronts(messages)
-        first = fronts.agg(*fan_metrics(_path_width())).first()
+        level = _roots_as_level(messages)
+        sizes = fan_metrics(WIDTH)
+        first = level.agg(*sizes).first()
         fan = Fan(first.fan_rows, first.fan_bytes)
         for depth in range(max_depth):
             folder = f"{path}/depth={depth}"
             seen = Observation()
-            level = _merged_hop(fronts, replies, fan).observe(seen, *fan_metrics(_path_width()))
-            level.write.parquet(folder)
-            fan = Fan(seen.get["fan_rows"], seen.get["fan_bytes"])
-            if not seen.get["open"]:
+            hops = next_hops(level, replies, fan)
+            hops.observe(seen, *sizes).write.parquet(folder)
+            found = seen.get
+            if not found["open"]:
                 break
-            fronts = spark.read.schema(PATH_LEVEL).parquet(folder).filter("next is not null")
+            fan = Fan(found["fan_rows"], found["fan_bytes"])
+            level = spark.read.schema(PATH_LEVEL).parquet(folder)
     finally:
         replies.unpersist()
     levels = spark.read.schema(PATH_LEVELS).parquet(path)

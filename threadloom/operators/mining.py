@@ -12,18 +12,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from threadloom import fixed_values as V
-from threadloom.functions import arrays as A
 from threadloom.functions import text as X
 from threadloom.operators import gates
-from threadloom.operators.reply_hop import (
-    Fan,
-    fan_metrics,
-    hot_reply_ids,
-    join_replies,
-    links,
-    reply_table,
-)
-from threadloom.session import fresh_path, parallelism
+from threadloom.operators.reply_hop import Fan, fan_metrics, join_replies, links, reply_table
+from threadloom.session import fresh_path
 
 LEVEL = T.StructType(
     [
@@ -40,51 +32,47 @@ LEVEL = T.StructType(
 LEVELS = T.StructType([*LEVEL.fields, T.StructField("depth", T.IntegerType())])
 
 
-def _text_width():
-    lengths = F.aggregate("tweets", F.lit(0), lambda n, t: n + F.coalesce(F.length(t), F.lit(0)))
-    return (lengths + F.coalesce(F.length("response"), F.lit(0)) + 64).cast("long")
+# What a row's texts weigh, for sizing the next hop.
+WIDTH = "64 + length(concat_ws('', tweets, response))"
 
+# Take the reply into the context, merged when its author spoke last, and name
+# the replies to it. ``if`` takes an unknown author for another one.
+CHAINS = (
+    "trail",
+    "posexplode(next) as (place, reply_id)",
+    "if(self_response, sender, array_append(sender, author_id)) as sender",
+    """if(self_response,
+         concat(slice(tweets, 1, size(tweets) - 1),
+                array(concat(element_at(tweets, -1), ' ', response))),
+         array_append(tweets, response)) as tweets""",
+)
 
-def _first_chains(messages: DataFrame) -> DataFrame:
-    return gates.roots(messages).select(
-        F.md5(F.coalesce(F.col("tweet_id").cast("string"), F.lit(""))).alias("trail"),
-        F.array("author_id").alias("sender"),
-        F.array("text").alias("tweets"),
-        F.lit(None).cast("string").alias("response"),
-        links().alias("next"),
-    )
+HOP = (
+    "md5(concat_ws(':', trail, tweet_id, place)) as trail",
+    "sender",
+    "tweets",
+    "text as response",
+    "author_id",
+    "element_at(sender, -1) = author_id as self_response",
+    "next",
+)
 
 
-def _grown_chains(level: DataFrame) -> DataFrame:
-    """Take the reply into the context: merged when its author spoke last."""
-    same = F.col("self_response")
-    return level.filter(F.col("next").isNotNull()).select(
-        "trail",
-        F.when(same, F.col("sender")).otherwise(A.append("sender", "author_id")).alias("sender"),
-        F.when(same, A.merge_into_last("tweets", "response"))
-        .otherwise(A.append("tweets", "response"))
-        .alias("tweets"),
-        "next",
-    )
+def next_hops(level: DataFrame, replies: DataFrame, fan: Fan) -> DataFrame:
+    chains = level.selectExpr(*CHAINS)
+    return join_replies(chains, level, replies, fan, "trail").selectExpr(*HOP)
 
 
-def _hop(chains: DataFrame, replies: DataFrame, fan: Fan) -> DataFrame:
-    named = chains.select(
-        "trail", "sender", "tweets", F.posexplode("next").alias("place", "reply_id")
-    )
-    hot = hot_reply_ids(named, fan, parallelism(named.sparkSession))
-    replies = replies.select(
-        "tweet_id", "author_id", F.col("text").alias("response"), F.col("next").alias("onward")
-    )
-    trail = F.md5(F.concat_ws(":", "trail", "tweet_id", "place"))
-    return join_replies(named, replies, fan, "trail", hot).select(
-        trail.alias("trail"),
-        "sender",
-        "tweets",
-        "response",
+def _roots_as_level(messages: DataFrame) -> DataFrame:
+    """Roots as replies to nothing: the first hop takes them into empty contexts."""
+    return gates.roots(messages).select(
+        F.expr("md5(coalesce(cast(tweet_id as string), ''))").alias("trail"),
+        F.expr("cast(array() as array<string>)").alias("sender"),
+        F.expr("cast(array() as array<string>)").alias("tweets"),
+        F.col("text").alias("response"),
         "author_id",
-        (F.element_at("sender", -1) == F.col("author_id")).alias("self_response"),
-        F.col("onward").alias("next"),
+        F.lit(False).alias("self_response"),
+        links().alias("next"),
     )
 
 
@@ -106,18 +94,20 @@ def mine_levels(
         messages = messages.filter(X.is_english("text"))
     replies = reply_table(messages, ["author_id", "text"])
     try:
-        chains = _first_chains(messages)
-        first = chains.agg(*fan_metrics(_text_width())).first()
+        level = _roots_as_level(messages)
+        sizes = fan_metrics(WIDTH)
+        first = level.agg(*sizes).first()
         fan = Fan(first.fan_rows, first.fan_bytes)
         for depth in range(max_depth):
             folder = f"{path}/depth={depth}"
             seen = Observation()
-            level = _hop(chains, replies, fan).observe(seen, *fan_metrics(_text_width()))
-            level.write.parquet(folder)
-            fan = Fan(seen.get["fan_rows"], seen.get["fan_bytes"])
-            if not seen.get["open"]:
+            hops = next_hops(level, replies, fan)
+            hops.observe(seen, *sizes).write.parquet(folder)
+            found = seen.get
+            if not found["open"]:
                 break
-            chains = _grown_chains(spark.read.schema(LEVEL).parquet(folder))
+            fan = Fan(found["fan_rows"], found["fan_bytes"])
+            level = spark.read.schema(LEVEL).parquet(folder)
     finally:
         replies.unpersist()
     return spark.read.schema(LEVELS).parquet(path)

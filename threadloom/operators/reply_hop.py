@@ -28,20 +28,19 @@ class Fan:
     bytes: int
 
 
-def fan_metrics(width: Column) -> list[Column]:
-    """Aggregates that size a frontier; ``width`` is a row's text length."""
-    open_rows = F.col("next").isNotNull()
-    fan = F.when(open_rows, F.size("next")).otherwise(0)
+def fan_metrics(width: str) -> list[Column]:
+    """Aggregates that size a frontier; ``width`` is a row's size as SQL."""
+    fan = "cast(if(next is null, 0, size(next)) as bigint)"
     return [
-        F.count_if(open_rows).alias("open"),
-        F.coalesce(F.sum(fan.cast("long")), F.lit(0)).alias("fan_rows"),
-        F.coalesce(F.sum(fan.cast("long") * width), F.lit(0)).alias("fan_bytes"),
+        F.expr("count_if(next is not null)").alias("open"),
+        F.expr(f"coalesce(sum({fan}), 0)").alias("fan_rows"),
+        F.expr(f"coalesce(sum({fan} * ({width})), 0)").alias("fan_bytes"),
     ]
 
 
 def links(column: str = "response_tweet_id") -> Column:
     """The comma list of reply ids as numbers."""
-    return F.transform(F.split(column, ","), lambda piece: piece.try_cast("bigint"))
+    return F.expr(f"transform(split({column}, ','), piece -> try_cast(piece as bigint))")
 
 
 def reply_table(messages: DataFrame, columns: list[str]) -> DataFrame:
@@ -49,47 +48,50 @@ def reply_table(messages: DataFrame, columns: list[str]) -> DataFrame:
 
     ``tweet_id`` is the table's key; rows without one can never be a reply.
     """
-    table = messages.filter(F.col("tweet_id").isNotNull()).select(
+    table = messages.filter("tweet_id is not null").select(
         "tweet_id", *columns, links().alias("next")
     )
     partitions = parallelism(messages.sparkSession)
     return table.repartition(partitions, "tweet_id").persist(StorageLevel.MEMORY_AND_DISK)
 
 
-def hot_reply_ids(named: DataFrame, fan: Fan, partitions: int) -> list[int]:
+def hot_reply_ids(level: DataFrame, fan: Fan) -> list[int]:
     """Reply ids named by more than a quarter of an average partition.
 
-    Fewer than ``4 * partitions`` ids can pass, whatever the data.
+    Fewer than ``4 * partitions`` ids can pass, whatever the data. Only large
+    frontiers are counted.
     """
     if fan.rows < HOT_CHECK_ROWS:
         return []
-    bar = max(1, fan.rows // (4 * partitions))
-    counts = named.groupBy("reply_id").count().filter(F.col("count") > bar)
+    bar = max(1, fan.rows // (4 * parallelism(level.sparkSession)))
+    named = level.select(F.explode("next").alias("reply_id"))
+    counts = named.groupBy("reply_id").count().filter(
+        f"count > {bar} and reply_id is not null"
+    )
     return [r.reply_id for r in counts.select("reply_id").collect()]
 
 
 def join_replies(
-    named: DataFrame, replies: DataFrame, fan: Fan, spread_by: str, hot: list[int]
+    chains: DataFrame, level: DataFrame, replies: DataFrame, fan: Fan, spread_by: str
 ) -> DataFrame:
-    """Inner join of chains on ``reply_id`` with the reply table."""
+    """Inner join of the chains grown from ``level`` with the replies they name.
+
+    ``spread_by`` is the chain column by which a hot reply id is salted. The
+    reply table is joined as a DataFrame, because the cache is found that way.
+    """
     match = F.col("reply_id") == F.col("tweet_id")
     if fan.bytes <= BROADCAST_BYTES:
-        return F.broadcast(named).join(replies, match)
+        return chains.hint("broadcast").join(replies, match)
+    hot = hot_reply_ids(level, fan)
     if not hot:
-        return named.hint("merge").join(replies, match)
+        return chains.hint("merge").join(replies, match)
 
-    lanes = parallelism(named.sparkSession)
+    lanes = parallelism(level.sparkSession)
     is_hot = F.col("reply_id").isin(hot)
-    cold_rows = named.filter(~is_hot).hint("merge").join(replies, match)
-    salted = named.filter(is_hot).withColumn(
-        "lane", F.pmod(F.xxhash64(spread_by), F.lit(lanes)).cast("int")
-    )
-    copies = replies.filter(F.col("tweet_id").isin(hot)).withColumn(
-        "copy", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1)))
-    )
-    hot_rows = (
-        salted.hint("merge")
-        .join(copies, match & (F.col("lane") == F.col("copy")))
-        .drop("lane", "copy")
+    cold = chains.filter(~is_hot).hint("merge").join(replies, match)
+    salted = chains.filter(is_hot).withColumn("lane", F.expr(f"pmod(xxhash64({spread_by}), {lanes})"))
+    copies = replies.filter(F.col("tweet_id").isin(hot)).selectExpr(
+        "*", f"explode(sequence(0L, {lanes - 1}L)) as copy"
     )
-    return cold_rows.unionByName(hot_rows)
+    busy = salted.hint("merge").join(copies, match & (F.col("lane") == F.col("copy")))
+    return cold.unionByName(busy.drop("lane", "copy"))

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from threadloom import fixed_values as V
 from threadloom.functions import text as X
-from threadloom.session import at_most, broadcast_if_small, materialize
+from threadloom.session import at_most, broadcast_if_small, materialize, parallelism
 
 WORD_START = "▁"
 MERGES = T.StructType(
@@ -23,7 +23,7 @@ MERGES = T.StructType(
         T.StructField("right", T.StringType()),
     ]
 )
-ROUNDS_PER_CUT = 10
+ROUNDS_PER_CUT = 3
 LARGEST_VOCABULARY = 1_000_000
 
 
@@ -41,18 +41,47 @@ def spaced(word: Column | str) -> Column:
     return F.regexp_replace(X._col(word), "(?s)(.)", " $1 ")
 
 
-def pair_counts(symbols: DataFrame) -> DataFrame:
-    """Adjacent symbol pairs of ``(spaced, n)`` rows, weighted by word count."""
-    parts = F.split(F.btrim("spaced"), "  ")
-    pairs = F.arrays_zip(
+def adjacent_pairs(form: Column | str) -> Column:
+    """Neighbouring symbols of a spaced word as structs (left, right)."""
+    parts = F.split(F.btrim(X._col(form)), "  ")
+    return F.arrays_zip(
         F.slice(parts, F.lit(1), F.size(parts) - 1).alias("left"),
         F.slice(parts, F.lit(2), F.size(parts) - 1).alias("right"),
     )
+
+
+def _summed(pairs: DataFrame) -> DataFrame:
+    """``(pair, n)`` rows to ``(left, right, n)``, leaving out what cancels."""
     return (
-        symbols.select(F.explode(pairs).alias("pair"), "n")
-        .groupBy(F.col("pair.left").alias("left"), F.col("pair.right").alias("right"))
+        pairs.groupBy(F.col("pair.left").alias("left"), F.col("pair.right").alias("right"))
         .agg(F.sum("n").alias("n"))
+        .filter("n > 0")
+    )
+
+
+def pair_counts(symbols: DataFrame) -> DataFrame:
+    """Adjacent symbol pairs of ``(spaced, n)`` rows, weighted by word count."""
+    return _summed(symbols.select(F.explode(adjacent_pairs("spaced")).alias("pair"), "n"))
+
+
+def _merged(form: Column, chosen: list) -> Column:
+    for p in chosen:
+        form = F.replace(form, F.lit(f" {p.left}  {p.right} "), F.lit(f" {p.left}{p.right} "))
+    return form
+
+
+def _recounted(pairs: DataFrame, symbols: DataFrame, chosen: list) -> DataFrame:
+    """Pair counts after the chosen merges, unfolding only the words they touch."""
+    touched = F.lit(False)
+    for p in chosen:
+        touched = touched | F.contains("spaced", F.lit(f" {p.left}  {p.right} "))
+    words = symbols.filter(touched)
+    before = words.select(F.explode(adjacent_pairs("spaced")).alias("pair"), (-F.col("n")).alias("n"))
+    after = words.select(
+        F.explode(adjacent_pairs(_merged(F.col("spaced"), chosen))).alias("pair"), "n"
     )
+    known = pairs.select(F.struct("left", "right").alias("pair"), "n")
+    return _summed(known.unionByName(before).unionByName(after))
 
 
 def safe_prefix(pairs: list, limit: int) -> list:
@@ -84,34 +113,35 @@ def learn_merges(counts: DataFrame, merges: int, merges_per_round: int = 64) ->
 
     The most frequent pair is merged first, pair text breaking ties. Several
     merges share a round where that provably changes nothing, so any
-    ``merges_per_round`` gives the same result. Words merged into one symbol
-    leave the working table.
+    ``merges_per_round`` gives the same result. Pair counts are carried from
+    round to round: only words that hold a merged pair are unfolded again, and
+    only the top pairs reach the driver.
     """
     spark = counts.sparkSession
-    symbols = materialize(counts.select(spaced("word").alias("spaced"), "n"), "symbols")
+    symbols = counts.select(spaced("word").alias("spaced"), "n")
+    symbols = materialize(symbols.repartition(parallelism(spark)), "symbols").persist()
+    pairs = pair_counts(symbols).persist()
     learned: list[tuple[int, str, str]] = []
-    held = symbols.persist()
+    stale: list[DataFrame] = []
     rounds = 0
     while len(learned) < merges:
         limit = min(merges_per_round, merges - len(learned))
-        top = pair_counts(held).orderBy(F.desc("n"), "left", "right").limit(limit + 1).collect()
+        top = pairs.orderBy(F.desc("n"), "left", "right").limit(limit + 1).collect()
+        for old in stale:
+            old.unpersist()
         chosen = safe_prefix(top, limit)
         if not chosen:
             break
-        merged = F.col("spaced")
-        for p in chosen:
-            learned.append((len(learned), p.left, p.right))
-            merged = F.replace(
-                merged, F.lit(f" {p.left}  {p.right} "), F.lit(f" {p.left}{p.right} ")
-            )
-        grown = held.select(merged.alias("spaced"), "n").filter(F.contains("spaced", F.lit("  ")))
+        learned += [(len(learned) + i, p.left, p.right) for i, p in enumerate(chosen)]
+        stale = [pairs, symbols]
+        pairs = _recounted(pairs, symbols, chosen)
+        symbols = symbols.select(_merged(F.col("spaced"), chosen).alias("spaced"), "n")
         rounds += 1
         if rounds % ROUNDS_PER_CUT == 0:
-            grown = materialize(grown, "symbols")
-        previous, held = held, grown.persist()
-        held.count()
-        previous.unpersist()
-    held.unpersist()
+            pairs, symbols = materialize(pairs, "pairs"), materialize(symbols, "symbols")
+        pairs, symbols = pairs.persist(), symbols.persist()
+    for old in (*stale, pairs, symbols):
+        old.unpersist()
     return spark.createDataFrame(learned, MERGES)
 
 

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadloom import schemas as S
-from threadloom.operators.packing import packed_lines, unpack_lines
+from threadloom.functions import arrays as A
+from threadloom.operators.packing import ROW_PARTS, packed_lines, unpack_lines
 
 LIST_FILE_BYTES = 64 * 1024 * 1024
 
@@ -14,7 +15,9 @@ LIST_FILE_BYTES = 64 * 1024 * 1024
 def read_messages(spark: SparkSession, path: str) -> DataFrame:
     """Message CSV with a header; quoted texts may hold line ends and quotes.
 
-    Columns are matched by their header names, so extra columns do no harm.
+    Columns are matched by their header names, so extra columns do no harm. A
+    file with line ends inside texts cannot be split, so give large inputs as
+    many files, and keep a Parquet copy for repeated use.
     """
     raw = (
         spark.read.option("header", True)
@@ -121,7 +124,12 @@ def read_packed(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_split(rows: DataFrame, path: str, form: str = "parquet") -> None:
-    """Rows with a ``split`` column into one folder per split, replacing old output."""
+    """Rows with a ``split`` column into one folder per split, replacing old output.
+
+    ``form="text"`` writes packed rows as lines of integers.
+    """
+    if form == "text":
+        rows = rows.select(A.packed_line(*ROW_PARTS).alias("line"), "split")
     rows.write.mode("overwrite").partitionBy("split").format(form).save(path)
 
 
