@@ -54,6 +54,14 @@ def test_merges_equal_one_at_a_time(spark, seed, per_round):
     assert [(r.left, r.right) for r in learned] == brute_force(counts, 25)
 
 
+def test_relaxed_rounds_learn_real_pairs(spark):
+    counts = random_counts(4)
+    rows = spark.createDataFrame(list(counts.items()), "word string, n long")
+    learned = [(r.left, r.right) for r in S.learn_merges(rows, 25, strict=False).collect()]
+    assert len(learned) == len(set(learned)) == 25
+    assert learned[0] == brute_force(counts, 1)[0]
+
+
 def test_learning_stops_when_words_are_whole(spark):
     rows = spark.createDataFrame([("ab", 3), ("aaa", 1)], "word string, n long")
     learned = S.learn_merges(rows, 50).orderBy("rank").collect()

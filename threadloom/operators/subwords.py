@@ -75,13 +75,23 @@ def _recounted(pairs: DataFrame, symbols: DataFrame, chosen: list) -> DataFrame:
     touched = F.lit(False)
     for p in chosen:
         touched = touched | F.contains("spaced", F.lit(f" {p.left}  {p.right} "))
-    words = symbols.filter(touched)
-    before = words.select(F.explode(adjacent_pairs("spaced")).alias("pair"), (-F.col("n")).alias("n"))
-    after = words.select(
-        F.explode(adjacent_pairs(_merged(F.col("spaced"), chosen))).alias("pair"), "n"
-    )
+    after = _merged(F.col("spaced"), chosen)
+    words = symbols.filter(touched).select("spaced", after.alias("after"), "n")
+    lost = words.select(F.explode(adjacent_pairs("spaced")).alias("pair"), F.expr("-n as n"))
+    gained = words.select(F.explode(adjacent_pairs("after")).alias("pair"), "n")
     known = pairs.select(F.struct("left", "right").alias("pair"), "n")
-    return _summed(known.unionByName(before).unionByName(after))
+    return _summed(known.union(lost).union(gained))
+
+
+def disjoint_pairs(pairs: list, limit: int) -> list:
+    """Top pairs without common symbols, passing over those that share one."""
+    seen: set[str] = set()
+    chosen = []
+    for p in pairs[:limit]:
+        if p.left not in seen and p.right not in seen:
+            chosen.append(p)
+            seen |= {p.left, p.right}
+    return chosen
 
 
 def safe_prefix(pairs: list, limit: int) -> list:
@@ -108,15 +118,20 @@ def safe_prefix(pairs: list, limit: int) -> list:
     return [p for i, p in enumerate(chosen) if i == 0 or p.n > bound]
 
 
-def learn_merges(counts: DataFrame, merges: int, merges_per_round: int = 64) -> DataFrame:
+def learn_merges(
+    counts: DataFrame, merges: int, merges_per_round: int = 64, strict: bool = True
+) -> DataFrame:
     """The first ``merges`` merges, ``(rank, left, right)``, over distinct words.
 
     The most frequent pair is merged first, pair text breaking ties. Several
     merges share a round where that provably changes nothing, so any
     ``merges_per_round`` gives the same result. Pair counts are carried from
     round to round: only words that hold a merged pair are unfolded again, and
-    only the top pairs reach the driver.
+    only the top pairs reach the driver. ``strict=False`` needs far fewer rounds
+    for large vocabularies: it merges all top pairs without common symbols, so
+    merges of close counts may swap ranks.
     """
+    choose = safe_prefix if strict else disjoint_pairs
     spark = counts.sparkSession
     symbols = counts.select(spaced("word").alias("spaced"), "n")
     symbols = materialize(symbols.repartition(parallelism(spark)), "symbols").persist()
@@ -129,7 +144,7 @@ def learn_merges(counts: DataFrame, merges: int, merges_per_round: int = 64) ->
         top = pairs.orderBy(F.desc("n"), "left", "right").limit(limit + 1).collect()
         for old in stale:
             old.unpersist()
-        chosen = safe_prefix(top, limit)
+        chosen = choose(top, limit)
         if not chosen:
             break
         learned += [(len(learned) + i, p.left, p.right) for i, p in enumerate(chosen)]
@@ -192,13 +207,14 @@ def learn_subwords(
     column: str = "text",
     vocab_size: int = V.SUBWORD_VOCABULARY_SIZE,
     merges_per_round: int = 64,
+    strict: bool = True,
 ) -> tuple[DataFrame, DataFrame]:
     """Merges and base vocabulary of ``vocab_size`` entries, protected ones included."""
     counts = materialize(word_counts(corpus, column), "words")
     characters = character_counts(counts).count()
     protected = len(V.PLACEHOLDERS) - 1
     room = max(0, vocab_size - len(V.BASE_SPECIALS) - protected - characters)
-    merges = learn_merges(counts, room, merges_per_round)
+    merges = learn_merges(counts, room, merges_per_round, strict)
     return merges, vocabulary(counts, merges)
 
 
