@@ -32,10 +32,10 @@ def test_left_pad(spark):
 def test_pack(spark, encoder, accounts):
     samples = spark.createDataFrame([("s", ["u", "B"], ["ab", "b"], "ab ab", "B")], SAMPLES)
     row = packing.pack(samples, encoder, accounts, ["B"], length=16).first()
-    # ▁a is 3, ▁ is 4, a is 5, b is 6, so the end of pieces is 12.
-    assert row.context == [0] * 6 + [1, 3, 6, 12, 2] + [1, 4, 6, 12, 2]
+    # ▁a is 3; a, b and ▁ are equally frequent, so 4, 5 and 6; '' is 12.
+    assert row.context == [0] * 6 + [1, 3, 5, 12, 2] + [1, 6, 5, 12, 2]
     assert row.sender_ids == [0] * 6 + [1] * 5 + [2] * 5
-    assert row.response_ids == [0] * 9 + [1, 3, 6, 3, 6, 12, 2]
+    assert row.response_ids == [0] * 9 + [1, 3, 5, 3, 5, 12, 2]
     assert row.author_ids == [0] * 9 + [2] * 7
 
 
@@ -51,6 +51,13 @@ def test_long_responses_are_dropped_and_long_contexts_cut(spark, encoder, accoun
     assert 0 not in rows[0].context
 
 
+def test_encoding_runs_once(spark, encoder, accounts):
+    samples = spark.createDataFrame([("s", ["u"], ["ab"], "ab", "B")], SAMPLES)
+    packed = packing.pack(samples, encoder, accounts, ["B"])
+    plan = packed._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and "Exchange" not in plan
+
+
 def test_one_bad_turn_drops_the_sample(spark):
     samples = spark.createDataFrame(
         [

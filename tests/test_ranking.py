@@ -66,6 +66,24 @@ def test_triplet_loss(spark, margin):
     assert triplets.filter("kind = 'hard' and negative_score <= positive_score").count() == 0
 
 
+@pytest.mark.parametrize("lane_rows", [1024, 5])
+def test_score_matrix_of_uneven_batches(spark, monkeypatch, lane_rows):
+    monkeypatch.setattr(ranking, "LANE_ROWS", lane_rows)
+    rng = np.random.default_rng(4)
+    sizes = {0: 23, 1: 3, 2: 6}
+    c = {b: rng.random((n, 4)) for b, n in sizes.items()}
+    r = {b: rng.random((n, 4)) for b, n in sizes.items()}
+
+    def side(data):
+        rows = [(b, i, [float(x) for x in v]) for b, m in data.items() for i, v in enumerate(m)]
+        return spark.createDataFrame(rows, "batch_id long, slot int, vector array<double>")
+
+    got = ranking.score_matrix(side(c), side(r)).collect()
+    assert len(got) == sum(n * n for n in sizes.values())
+    for x in got:
+        assert x.score == pytest.approx(c[x.batch_id][x.i] @ r[x.batch_id][x.j])
+
+
 def test_single_pair_batch_has_no_loss(spark):
     scores = spark.createDataFrame([(1, 0, 0, 0.3)], "batch_id long, i int, j int, score double")
     got = ranking.triplet_loss(scores).first()
@@ -92,6 +110,14 @@ def test_pooling_in_place_and_by_join(spark, monkeypatch):
         assert joined[k] == (pytest.approx(v) if v else None)
 
 
+def test_pooling_runs_once(spark):
+    table = spark.createDataFrame([(1, [1.0])], "id int, vector array<float>")
+    rows = spark.createDataFrame([(1, [1])], "k int, ids array<int>")
+    pooled = embeddings.mean_pool(rows, table, "k").select(F.explode("pooled"))
+    plan = pooled._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+
+
 def test_embedding_table_is_complete_and_repeatable(spark):
     known = spark.createDataFrame([(1, [1.0, 2.0, 3.0])], "id int, vector array<float>")
     rows = embeddings.embedding_table(known, 2000, 3, seed=5)

@@ -43,7 +43,8 @@ def mask_signature(text: Column | str, signature: str = "strict") -> Column:
 
 
 def drop_disallowed(text: Column | str) -> Column:
-    return F.regexp_replace(_col(text), V.DISALLOWED_PATTERN, "")
+    """Runs are dropped at once, which is the same as one character at a time."""
+    return F.regexp_replace(_col(text), V.DISALLOWED_PATTERN + "+", "")
 
 
 def clean_text(
@@ -63,7 +64,7 @@ def clean_text(
 def ascii_letter_share(text: Column | str) -> Column:
     """ASCII letters over all characters; 0 for empty or NULL text."""
     t = _col(text)
-    letters = F.length(F.regexp_replace(t, "[^A-Za-z]", ""))
+    letters = F.length(F.regexp_replace(t, "[^A-Za-z]+", ""))
     return F.coalesce(F.try_divide(letters, F.length(t)), F.lit(0.0))
 
 

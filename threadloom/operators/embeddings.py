@@ -87,7 +87,8 @@ def _pool_on_matrix(rows: DataFrame, table: DataFrame, column: str) -> DataFrame
         for ids in batches:
             yield ids.map(mean, na_action="ignore")
 
-    return rows.withColumn("pooled", pool(column))
+    # Kept whole: a filter on the result must not run the pooling twice.
+    return rows.withColumn("pooled", pool.asNondeterministic()(column))
 
 
 def _pool_by_join(rows: DataFrame, table: DataFrame, key: str, column: str) -> DataFrame:

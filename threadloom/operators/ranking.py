@@ -12,26 +12,55 @@ from pyspark.sql import functions as F
 
 from threadloom import fixed_values as V
 from threadloom.functions import vectors as L
-from threadloom.session import at_most, materialize
+from threadloom.session import at_most, broadcast_if_small, materialize
 
 CONTEXT_VALUES = 4_000_000
 CONTEXT_BLOCK = 2_048
 RESPONSE_BLOCK = 8_192
 STRIP = 256
+LANE_ROWS = 1_024
 DIGITS = 9
 
 
+def _laned(contexts: DataFrame, responses: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both sides with a ``lane`` that splits batches larger than usual.
+
+    A context of a large batch goes to one of its batch's lanes, a response to
+    all of them; other batches have a single lane.
+    """
+    sizes = contexts.groupBy("batch_id").agg(F.count("*").alias("n"))
+    large = materialize(
+        sizes.filter(F.col("n") > LANE_ROWS).select(
+            "batch_id", F.ceil(F.col("n") / LANE_ROWS).alias("lanes")
+        ),
+        "large-batches",
+    )
+    if large.isEmpty():
+        one = F.lit(0).cast("long").alias("lane")
+        return contexts.select("*", one), responses.select("*", one)
+    large = broadcast_if_small(large)
+    lanes = F.coalesce("lanes", F.lit(1).cast("long"))
+    of_context = F.pmod(F.xxhash64("i"), lanes)
+    all_lanes = F.explode(F.sequence(F.lit(0).cast("long"), lanes - 1))
+    return (
+        contexts.join(large, "batch_id", "left").withColumn("lane", of_context).drop("lanes"),
+        responses.join(large, "batch_id", "left").withColumn("lane", all_lanes).drop("lanes"),
+    )
+
+
 def score_matrix(contexts: DataFrame, responses: DataFrame, squash: bool = False) -> DataFrame:
     """Score every context of a batch with every response of that batch.
 
     Both sides are ``(batch_id, slot, vector)``; the result is the long form
-    ``(batch_id, i, j, score)``. The join is on the batch, so its size follows
-    the batch size, and a skewed batch is split by adaptive execution.
+    ``(batch_id, i, j, score)``, whose size follows the batch size. The join is
+    on batch and lane, so that no single batch has to fit one task.
     """
-    left = contexts.select("batch_id", F.col("slot").alias("i"), F.col("vector").alias("c"))
-    right = responses.select("batch_id", F.col("slot").alias("j"), F.col("vector").alias("r"))
+    left, right = _laned(
+        contexts.select("batch_id", F.col("slot").alias("i"), F.col("vector").alias("c")),
+        responses.select("batch_id", F.col("slot").alias("j"), F.col("vector").alias("r")),
+    )
     score = L.dot("c", "r")
-    return left.join(right, "batch_id").select(
+    return left.join(right, ["batch_id", "lane"]).select(
         "batch_id", "i", "j", (L.sigmoid(score) if squash else score).alias("score")
     )
 

@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import heapq
+import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -25,6 +25,9 @@ MERGES = T.StructType(
 )
 ROUNDS_PER_CUT = 3
 LARGEST_VOCABULARY = 1_000_000
+CACHED_WORDS = 500_000
+PLACEHOLDER = re.compile(r"(<\w+>)")
+WORD = re.compile(r"[^ \n]+")
 
 
 def word_counts(corpus: DataFrame, column: str = "text") -> DataFrame:
@@ -77,10 +80,9 @@ def _recounted(pairs: DataFrame, symbols: DataFrame, chosen: list) -> DataFrame:
         touched = touched | F.contains("spaced", F.lit(f" {p.left}  {p.right} "))
     after = _merged(F.col("spaced"), chosen)
     words = symbols.filter(touched).select("spaced", after.alias("after"), "n")
-    lost = words.select(F.explode(adjacent_pairs("spaced")).alias("pair"), F.expr("-n as n"))
-    gained = words.select(F.explode(adjacent_pairs("after")).alias("pair"), "n")
-    known = pairs.select(F.struct("left", "right").alias("pair"), "n")
-    return _summed(known.union(lost).union(gained))
+    forms = words.selectExpr("stack(2, spaced, -n, after, n) as (spaced, n)")
+    change = forms.select(F.explode(adjacent_pairs("spaced")).alias("pair"), "n")
+    return _summed(pairs.select(F.struct("left", "right").alias("pair"), "n").union(change))
 
 
 def disjoint_pairs(pairs: list, limit: int) -> list:
@@ -134,29 +136,29 @@ def learn_merges(
     choose = safe_prefix if strict else disjoint_pairs
     spark = counts.sparkSession
     symbols = counts.select(spaced("word").alias("spaced"), "n")
-    symbols = materialize(symbols.repartition(parallelism(spark)), "symbols").persist()
+    symbols = materialize(symbols.repartition(parallelism(spark)), "symbols")
     pairs = pair_counts(symbols).persist()
+    cached = [pairs]
     learned: list[tuple[int, str, str]] = []
-    stale: list[DataFrame] = []
     rounds = 0
     while len(learned) < merges:
         limit = min(merges_per_round, merges - len(learned))
         top = pairs.orderBy(F.desc("n"), "left", "right").limit(limit + 1).collect()
-        for old in stale:
-            old.unpersist()
         chosen = choose(top, limit)
         if not chosen:
             break
         learned += [(len(learned) + i, p.left, p.right) for i, p in enumerate(chosen)]
-        stale = [pairs, symbols]
         pairs = _recounted(pairs, symbols, chosen)
         symbols = symbols.select(_merged(F.col("spaced"), chosen).alias("spaced"), "n")
         rounds += 1
         if rounds % ROUNDS_PER_CUT == 0:
             pairs, symbols = materialize(pairs, "pairs"), materialize(symbols, "symbols")
-        pairs, symbols = pairs.persist(), symbols.persist()
-    for old in (*stale, pairs, symbols):
-        old.unpersist()
+            while cached:
+                cached.pop().unpersist()
+        pairs = pairs.persist()
+        cached.append(pairs)
+    for frame in cached:
+        frame.unpersist()
     return spark.createDataFrame(learned, MERGES)
 
 
@@ -268,43 +270,39 @@ class TurnEncoder:
         ranks = {(r.left, r.right): r.rank for r in merges.collect()}
         self._tables = base.sparkSession.sparkContext.broadcast((ranks, ids))
 
-    def _udf(self):
+    def encode_turns(self, turns: Column | str) -> Column:
+        """``array<string>`` of cleaned turns to ``array<array<int>>``."""
         tables = self._tables
 
         @F.pandas_udf("array<array<int>>")
         def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
             ranks, ids = tables.value
+            known: dict[str, list[int]] = {}
 
-            @lru_cache(maxsize=200_000)
             def word_ids(word: str) -> list[int]:
-                return [ids.get(s, V.UNKNOWN_ID) for s in split_word(WORD_START + word, ranks)]
-
-            def piece_ids(piece) -> list[int]:
-                return [i for word in piece for i in word_ids(word)]
-
-            def turn_ids(turn) -> list[int]:
+                found = known.get(word)
+                if found is None:
+                    if len(known) >= CACHED_WORDS:
+                        known.clear()
+                    pieces = split_word(WORD_START + word, ranks)
+                    found = known[word] = [ids.get(s, V.UNKNOWN_ID) for s in pieces]
+                return found
+
+            def turn_ids(text: str) -> list[int]:
+                parts = PLACEHOLDER.split(text)
                 out = [V.START_ID]
-                tokens = [*turn["tokens"], V.END_OF_PIECES]
-                for piece, token in zip(turn["pieces"], tokens):
-                    out += piece_ids(piece)
+                for piece, token in zip(parts[::2], [*parts[1::2], V.END_OF_PIECES]):
+                    for word in WORD.findall(piece):
+                        out += word_ids(word)
                     out.append(ids.get(token, V.UNKNOWN_ID))
-                return [*out, V.END_ID]
-
-            for turns in batches:
-                yield turns.map(lambda ts: [turn_ids(t) for t in ts])
-
-        return encode
-
-    def encode_turns(self, turns: Column | str) -> Column:
-        """``array<string>`` of cleaned turns to ``array<array<int>>``."""
+                out.append(V.END_ID)
+                return out
 
-        def parts(t: Column) -> Column:
-            return F.struct(
-                F.transform(X.text_pieces(t), X.words).alias("pieces"),
-                X.placeholder_tokens(t).alias("tokens"),
-            )
+            for some in batches:
+                yield some.map(lambda texts: [turn_ids(t) for t in texts])
 
-        return self._udf()(F.transform(X._col(turns), parts))
+        # Kept whole: a filter on the result must not run the encoding twice.
+        return encode.asNondeterministic()(X._col(turns))
 
     def encode(self, text: Column | str) -> Column:
         """One cleaned turn to ``array<int>``."""
