@@ -66,6 +66,13 @@ def mine_conversations(spark, sf_dir):
     return mining.mine(D.reply_graph(spark, sf_dir), gate_english=False).select(*sample_columns())
 
 
+@query
+def mine_by_ids(spark, sf_dir):
+    """The flagship's result with texts attached after the walk."""
+    samples = prepare.mine_by_ids(D.reply_graph(spark, sf_dir), gate_english=False)
+    return samples.select(*sample_columns())
+
+
 @query
 def mine_gated(spark, sf_dir):
     return mining.mine(D.boundary_graph(spark, sf_dir)).select(*sample_columns())

@@ -6,6 +6,7 @@ from collections import Counter
 import pytest
 
 from threadloom.operators import mining, reply_hop
+from threadloom.plans import prepare
 
 COLUMNS = (
     "tweet_id long, author_id string, text string, response_tweet_id string, "
@@ -84,6 +85,12 @@ def test_hand_graph(spark):
     assert len(cycle) == 20 and max(len(s[0]) for s in cycle) == 20
 
 
+def test_walk_by_ids_gives_the_same(spark):
+    rows = random_graph(5)
+    got = bag(prepare.mine_by_ids(graph(spark, rows), 6, gate_english=False))
+    assert got == brute_force(rows, 6)
+
+
 def test_depth_bound_and_cut_chains(spark):
     levels = mining.mine_levels(graph(spark, GRAPH), max_depth=3, gate_english=False)
     assert bag(mining.samples_of(levels)) == brute_force(GRAPH, 3)

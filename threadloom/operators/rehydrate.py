@@ -16,11 +16,14 @@ def _turn_text(parts, place):
     return F.when(F.size(found) > 0, joined)
 
 
-def rehydrate(paths: DataFrame, messages: DataFrame, words_above: int = V.MIN_WORDS) -> DataFrame:
+def rehydrate(
+    paths: DataFrame, messages: DataFrame, words_above: int | None = V.MIN_WORDS
+) -> DataFrame:
     """Samples with texts from paths ``(id, sender, context, response, author_id)``.
 
     A context message that is missing leaves its turn NULL; a sample whose
-    response is missing or has too few words is dropped. Context and response
+    response is missing or has too few words is dropped; with ``words_above`` None
+    all samples stay. Context and response
     ids go through one join and one regrouping by ``id``, which must be unique;
     a message named by very many paths makes a skewed join partition, which
     adaptive execution splits.
@@ -46,13 +49,16 @@ def rehydrate(paths: DataFrame, messages: DataFrame, words_above: int = V.MIN_WO
         F.array_sort(F.collect_list(F.struct("place", "step", "text"))).alias("parts"),
     )
     turn_places = F.sequence(F.lit(0), F.size("sender") - 1)
-    return samples.select(
+    filled = samples.select(
         "id",
         "sender",
         F.transform(turn_places, lambda i: _turn_text(F.col("parts"), i)).alias("tweets"),
         _turn_text(F.col("parts"), F.lit(-1)).alias("response"),
         "author_id",
-    ).filter(X.word_count("response") > words_above)
+    )
+    if words_above is None:
+        return filled
+    return filled.filter(X.word_count("response") > words_above)
 
 
 def turn_rows(paths: DataFrame) -> DataFrame:

@@ -12,9 +12,33 @@ from threadloom.functions import text as X
 from threadloom.operators.authors import account_names
 from threadloom.operators.mining import mine
 from threadloom.operators.packing import assign_split, pack
+from threadloom.operators.rehydrate import rehydrate
 from threadloom.operators.subwords import TurnEncoder, learn_subwords
 
 
+def mine_by_ids(
+    messages: DataFrame, max_depth: int = V.MAX_DEPTH, gate_english: bool = True
+) -> DataFrame:
+    """The samples of ``mine``, with texts left out of the walk.
+
+    For wide texts: the walk carries message ids, joined with blanks where
+    turns merge, and the texts are attached once at the end. Message ids must
+    be unique.
+    """
+    if gate_english:
+        messages = messages.filter(X.is_english("text"))
+    named = messages.withColumn("text", F.col("tweet_id").cast("string"))
+    walked = mine(named, max_depth, gate_english=False)
+    paths = walked.select(
+        "id",
+        "sender",
+        F.expr("transform(tweets, t -> cast(split(t, ' ') as array<bigint>))").alias("context"),
+        F.col("response").cast("bigint").alias("response"),
+        "author_id",
+    )
+    return rehydrate(paths, messages, words_above=None)
+
+
 @dataclass(frozen=True)
 class Prepared:
     """Packed rows with their split, and the vocabulary they were encoded with."""

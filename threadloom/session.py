@@ -47,13 +47,15 @@ def at_most(df: DataFrame, rows: int) -> bool:
     return df.limit(rows + 1).count() <= rows
 
 
-def broadcast_if_small(df: DataFrame, rows: int = 50_000) -> DataFrame:
-    """Broadcast hint for a dimension proven to hold at most ``rows`` rows.
+def broadcast_if_small(df: DataFrame, rows: int = 50_000, size: int = 64 << 20) -> DataFrame:
+    """Broadcast hint for a dimension proven small, in rows and in bytes.
 
-    Above the bound the frame comes back without a hint and the join is
+    Above either bound the frame comes back without a hint and the join is
     shuffled, with skewed partitions split by adaptive execution.
     """
-    return F.broadcast(df) if at_most(df, rows) else df
+    width = F.length(F.to_json(F.struct("*"))).cast("long")
+    seen = df.limit(rows + 1).agg(F.count("*").alias("n"), F.sum(width).alias("size")).first()
+    return F.broadcast(df) if seen.n <= rows and (seen.size or 0) <= size else df
 
 
 def parallelism(spark: SparkSession) -> int:
