@@ -502,12 +502,12 @@ ORACLES["embedding_table"] = f"""with n as (select count(*) as n from embeddings
 ids as (select unnest(range((select n + 7 from n))) as id),
 cells as (select id, unnest(range(64)) as dim from ids),
 known as (select vec_id as id, unnest(embedding)::double as x,
-  unnest(range(len(embedding))) as dim from embeddings where vec_id % 2 = 0)
-select id, dim, round(coalesce(x, (
+  unnest(range(len(embedding))) as dim from embeddings where vec_id % 2 = 0),
+filled as (select id, dim, round(coalesce(x, (
   sqrt(-2 * ln({UNIFORM.format(k="'7:' || id || ':' || dim || ':a'")}))
   * cos(2 * pi() * {UNIFORM.format(k="'7:' || id || ':' || dim || ':b'")}))::float::double), 4)
-  as value
-from cells left join known using (id, dim)"""
+  as value from cells left join known using (id, dim))
+select id, dim, case when value = 0 then 0 else value end as value from filled"""
 
 
 # --- metrics ----------------------------------------------------------------
