@@ -5,7 +5,7 @@ from collections import Counter
 
 import pytest
 
-from threadloom.operators import mining, reply_hop
+from threadloom.operators import fan_in, mining, reply_hop
 from threadloom.plans import prepare
 
 COLUMNS = (
@@ -133,13 +133,27 @@ def test_shuffled_and_salted_joins_give_the_same(spark, monkeypatch, hot_rows):
     assert got == brute_force(rows, 4)
 
 
+def test_long_reply_lists_in_parts(spark, monkeypatch):
+    rows = [(1, "u", "hub", ",".join(map(str, range(2, 40))), None)]
+    rows += [(i, "B", f"t{i}", str(i + 100), 1) for i in range(2, 40)]
+    rows += [(i + 100, "u", f"r{i}", None, i) for i in range(2, 40)] + GRAPH[5:]
+    whole = mining.mine(graph(spark, rows), gate_english=False).orderBy("id").collect()
+    monkeypatch.setattr(reply_hop, "LIST_PART", 3)
+    parts = mining.mine(graph(spark, rows), gate_english=False).orderBy("id").collect()
+    assert whole == parts and len(whole) > 76
+    merged = fan_in.mine_fan_in(graph(spark, rows), 5, gate_english=False)
+    monkeypatch.setattr(reply_hop, "LIST_PART", 10**6)
+    plain = fan_in.mine_fan_in(graph(spark, rows), 5, gate_english=False)
+    assert merged.count() == plain.count() and merged.exceptAll(plain).count() == 0
+
+
 def test_replies_are_not_shuffled_again(spark, monkeypatch):
     monkeypatch.setattr(reply_hop, "BROADCAST_BYTES", -1)
     messages = graph(spark, GRAPH)
     replies = reply_hop.reply_table(messages, ["author_id", "text"])
     replies.count()
     level = mining._roots_as_level(messages)
-    hop = mining.next_hops(level, replies, reply_hop.Fan(10, 10))
+    hop = mining.next_hops(level, replies, reply_hop.Fan(10, 10, 2))
     plan = hop._jdf.queryExecution().executedPlan().toString()
     replies.unpersist()
     shown = plan.split("InMemoryRelation")[0]

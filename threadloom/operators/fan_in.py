@@ -9,7 +9,14 @@ from pyspark.sql import types as T
 from threadloom import fixed_values as V
 from threadloom.functions import text as X
 from threadloom.operators import gates
-from threadloom.operators.reply_hop import Fan, fan_metrics, join_replies, links, reply_table
+from threadloom.operators.reply_hop import (
+    Fan,
+    fan_metrics,
+    in_parts,
+    join_replies,
+    links,
+    reply_table,
+)
 from threadloom.session import fresh_path
 
 PATH_LEVEL = T.StructType(
@@ -69,11 +76,13 @@ FRONT = (
     "author_id",
     "place",
     "response",
+    "first_place",
     "posexplode(next) as (onward, reply_id)",
 )
 # Messages of one author in one context that name the same reply become one
 # turn, in the order in which they were replies themselves.
-PARTS = "array_sort(collect_list(struct(place, response, onward)))"
+PARTS = """array_sort(collect_list(
+  named_struct('place', place, 'response', response, 'onward', first_place + onward)))"""
 CHAINS = (
     "reply_id",
     "array_append(sender, author_id) as sender",
@@ -84,8 +93,9 @@ HOP = ("sender", "context", "place", "tweet_id as response", "author_id", "next"
 
 
 def next_hops(level: DataFrame, replies: DataFrame, fan: Fan) -> DataFrame:
-    fronts = level.selectExpr(*FRONT).groupBy("context", "sender", "author_id", "reply_id")
-    chains = fronts.agg(F.expr(PARTS).alias("parts")).selectExpr(*CHAINS)
+    fronts = in_parts(level, fan, "response").selectExpr(*FRONT)
+    groups = fronts.groupBy("context", "sender", "author_id", "reply_id")
+    chains = groups.agg(F.expr(PARTS).alias("parts")).selectExpr(*CHAINS)
     return join_replies(chains, level, replies, fan, "context").selectExpr(*HOP)
 
 
@@ -119,8 +129,7 @@ def mine_fan_in(
     try:
         level = _roots_as_level(messages)
         sizes = fan_metrics(WIDTH)
-        first = level.agg(*sizes).first()
-        fan = Fan(first.fan_rows, first.fan_bytes)
+        fan = Fan.of(level.agg(*sizes).first())
         for depth in range(max_depth):
             folder = f"{path}/depth={depth}"
             seen = Observation()
@@ -129,7 +138,7 @@ def mine_fan_in(
             found = seen.get
             if not found["open"]:
                 break
-            fan = Fan(found["fan_rows"], found["fan_bytes"])
+            fan = Fan.of(found)
             level = spark.read.schema(PATH_LEVEL).parquet(folder)
     finally:
         replies.unpersist()

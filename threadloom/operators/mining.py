@@ -14,7 +14,14 @@ from pyspark.sql import types as T
 from threadloom import fixed_values as V
 from threadloom.functions import text as X
 from threadloom.operators import gates
-from threadloom.operators.reply_hop import Fan, fan_metrics, join_replies, links, reply_table
+from threadloom.operators.reply_hop import (
+    Fan,
+    fan_metrics,
+    in_parts,
+    join_replies,
+    links,
+    reply_table,
+)
 from threadloom.session import fresh_path
 
 LEVEL = T.StructType(
@@ -39,6 +46,7 @@ WIDTH = "64 + length(concat_ws('', tweets, response))"
 # the replies to it. ``if`` takes an unknown author for another one.
 CHAINS = (
     "trail",
+    "first_place",
     "posexplode(next) as (place, reply_id)",
     "if(self_response, sender, array_append(sender, author_id)) as sender",
     """if(self_response,
@@ -48,7 +56,7 @@ CHAINS = (
 )
 
 HOP = (
-    "md5(concat_ws(':', trail, tweet_id, place)) as trail",
+    "md5(concat_ws(':', trail, tweet_id, first_place + place)) as trail",
     "sender",
     "tweets",
     "text as response",
@@ -59,7 +67,7 @@ HOP = (
 
 
 def next_hops(level: DataFrame, replies: DataFrame, fan: Fan) -> DataFrame:
-    chains = level.selectExpr(*CHAINS)
+    chains = in_parts(level, fan, "trail").selectExpr(*CHAINS)
     return join_replies(chains, level, replies, fan, "trail").selectExpr(*HOP)
 
 
@@ -96,8 +104,7 @@ def mine_levels(
     try:
         level = _roots_as_level(messages)
         sizes = fan_metrics(WIDTH)
-        first = level.agg(*sizes).first()
-        fan = Fan(first.fan_rows, first.fan_bytes)
+        fan = Fan.of(level.agg(*sizes).first())
         for depth in range(max_depth):
             folder = f"{path}/depth={depth}"
             seen = Observation()
@@ -106,7 +113,7 @@ def mine_levels(
             found = seen.get
             if not found["open"]:
                 break
-            fan = Fan(found["fan_rows"], found["fan_bytes"])
+            fan = Fan.of(found)
             level = spark.read.schema(LEVEL).parquet(folder)
     finally:
         replies.unpersist()

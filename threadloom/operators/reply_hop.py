@@ -3,7 +3,8 @@
 Replies are partitioned by message id once and cached, so a hop shuffles only
 the chains. How the chains move is decided per hop from counted sizes: a small
 frontier is broadcast; otherwise chains are shuffled by reply id, and reply ids
-named by very many chains go through a salted join of their own.
+named by very many chains go through a salted join of their own. A message with
+a very long reply list is cut into parts that unfold in different tasks.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from threadloom.session import parallelism
 
 BROADCAST_BYTES = 8 * 1024 * 1024
 HOT_CHECK_ROWS = 1_000_000
+LIST_PART = 100_000
 
 
 @dataclass(frozen=True)
@@ -26,6 +28,11 @@ class Fan:
 
     rows: int
     bytes: int
+    longest: int
+
+    @classmethod
+    def of(cls, metrics) -> Fan:
+        return cls(metrics["fan_rows"], metrics["fan_bytes"], metrics["longest"])
 
 
 def fan_metrics(width: str) -> list[Column]:
@@ -35,6 +42,7 @@ def fan_metrics(width: str) -> list[Column]:
         F.expr("count_if(next is not null)").alias("open"),
         F.expr(f"coalesce(sum({fan}), 0)").alias("fan_rows"),
         F.expr(f"coalesce(sum({fan} * ({width})), 0)").alias("fan_bytes"),
+        F.expr(f"coalesce(max({fan}), 0)").alias("longest"),
     ]
 
 
@@ -55,6 +63,23 @@ def reply_table(messages: DataFrame, columns: list[str]) -> DataFrame:
     return table.repartition(partitions, "tweet_id").persist(StorageLevel.MEMORY_AND_DISK)
 
 
+def in_parts(level: DataFrame, fan: Fan, spread_by: str) -> DataFrame:
+    """The level with ``first_place``, the place of the first id of ``next``.
+
+    Reply lists longer than a part become several rows, spread over the tasks.
+    """
+    if fan.longest <= LIST_PART:
+        return level.withColumn("first_place", F.lit(0))
+    others = [c for c in level.columns if c != "next"]
+    parts = (
+        f"transform(sequence(0, (size(next) - 1) div {LIST_PART}),"
+        f" p -> slice(next, cast(p * {LIST_PART} as int) + 1, {LIST_PART}))"
+    )
+    cut = level.filter("size(next) > 0").selectExpr(*others, f"posexplode({parts}) as (part, next)")
+    spread = cut.repartition(parallelism(level.sparkSession), spread_by, "part")
+    return spread.withColumn("first_place", F.expr(f"part * {LIST_PART}")).drop("part")
+
+
 def hot_reply_ids(level: DataFrame, fan: Fan) -> list[int]:
     """Reply ids named by more than a quarter of an average partition.
 
