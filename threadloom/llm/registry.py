@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from threadloom.llm import pii, quality_classifier
+from threadloom.llm import minhash, mixing, pii, quality_classifier
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -21,9 +21,19 @@ def op3_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     return quality_classifier.classify(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
 
 
+def op4_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.report(_table(spark, folder, "documents"))
+
+
+def op7_dart_minhash(spark: SparkSession, folder: str) -> DataFrame:
+    return minhash.near_duplicates(_table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_pii": op2_pii,
     "op3_quality_classifier": op3_quality_classifier,
+    "op4_mixing": op4_mixing,
+    "op7_dart_minhash": op7_dart_minhash,
 }
 
 ORACLES: dict[str, str] = {}
