@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from threadloom.llm import pii, quality_classifier
+from threadloom.llm import decontamination, minhash, mixing, pii, quality_classifier
 from threadloom.session import materialize
 
 #: Sampling, learning and graph stages cannot be expressed in SQL; the stages are tested one by one.
@@ -20,14 +20,32 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return quality_classifier.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of every class of near duplicates."""
+    return minhash.keep_first(docs)
+
+
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item, whole or within its edit budget."""
+    return decontamination.without_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, personal data written as its kind."""
     return pii.redact(docs)
 
 
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the mix of sources takes, with how often as ``copies``."""
+    return mixing.mixture(docs)
+
+
 STAGES = [
     ("quality classifier", good_quality),
-    ("personal data", without_personal_data),
+    ("MinHash near-dedup", one_of_each),
+    ("benchmark decontamination", without_benchmark),
+    ("PII", without_personal_data),
+    ("mixing sources", mixed),
 ]
 
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from threadloom.llm import minhash, mixing, pii, quality_classifier
+from threadloom.llm import decontamination, minhash, mixing, pii, quality_classifier
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -29,11 +29,16 @@ def op7_dart_minhash(spark: SparkSession, folder: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, folder, "documents"))
 
 
+def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontamination.leaks(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_pii": op2_pii,
     "op3_quality_classifier": op3_quality_classifier,
     "op4_mixing": op4_mixing,
     "op7_dart_minhash": op7_dart_minhash,
+    "op10_decontamination": op10_decontamination,
 }
 
 ORACLES: dict[str, str] = {}
