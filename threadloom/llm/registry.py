@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from threadloom.llm import decontamination, minhash, mixing, pii, quality_classifier
+from threadloom.llm import decontamination, minhash, mixing, pii, quality_classifier, quality_rules, toxicity
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -33,11 +33,21 @@ def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontamination.leaks(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
 
 
+def op5_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return quality_rules.judge(_table(spark, folder, "documents"))
+
+
+def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.classify(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_pii": op2_pii,
     "op3_quality_classifier": op3_quality_classifier,
     "op4_mixing": op4_mixing,
+    "op5_quality_rules": op5_quality_rules,
     "op7_dart_minhash": op7_dart_minhash,
+    "op9_toxicity": op9_toxicity,
     "op10_decontamination": op10_decontamination,
 }
 

@@ -82,9 +82,9 @@ class Chunk:
     def n(self) -> int:
         return len(self.offsets) - 1
 
-    def words(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Start, end and document (in the chunk) of every word."""
-        solid = ~_SPACE[self.data]
+    def words(self, solid: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Start, end and document (in the chunk) of every word: runs of ``solid`` bytes, by default of non-blanks."""
+        solid = ~_SPACE[self.data] if solid is None else solid
         size = len(solid)
         if not size:
             none = np.zeros(0, np.int64)
