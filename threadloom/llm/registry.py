@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from threadloom.llm import decontamination, minhash, mixing, pii, quality_classifier, quality_rules, toxicity
+from threadloom.llm import decontamination, language_model, minhash, mixing, pii, quality_classifier, quality_rules, toxicity
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -37,6 +37,10 @@ def op5_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules.judge(_table(spark, folder, "documents"))
 
 
+def op8_subword_lattice(spark: SparkSession, folder: str) -> DataFrame:
+    return language_model.score(_table(spark, folder, "documents"))
+
+
 def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.classify(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
 
@@ -47,6 +51,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_mixing": op4_mixing,
     "op5_quality_rules": op5_quality_rules,
     "op7_dart_minhash": op7_dart_minhash,
+    "op8_subword_lattice": op8_subword_lattice,
     "op9_toxicity": op9_toxicity,
     "op10_decontamination": op10_decontamination,
 }
