@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from threadloom.llm import decontamination, language_model, minhash, mixing, pii, quality_classifier, quality_rules, toxicity
+from threadloom.llm import decontamination, language_model, minhash, mixing, pii, quality_classifier, quality_rules, toxicity, url_filter
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    return url_filter.judge(_table(spark, folder, "pages"))
+
+
 def op2_pii(spark: SparkSession, folder: str) -> DataFrame:
     return pii.report(_table(spark, folder, "documents"))
 
@@ -46,6 +50,7 @@ def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_url_filter": op1_url_filter,
     "op2_pii": op2_pii,
     "op3_quality_classifier": op3_quality_classifier,
     "op4_mixing": op4_mixing,
