@@ -11,9 +11,11 @@ similarity. Weights are 1 (sets, the default) or counts.
 
 Joining. ``BANDS`` bands of ``ROWS`` coordinates are bucket keys. Exact copies
 are one node from the start. A bucket never gives all its pairs: its members are
-compared with one center, linked members become components, and only members
-outside a bucket's largest component are compared further, in growing slices,
-until no two components are left to compare. Pairs are thinned by an estimate
+compared with one center (the member that meets most others over all bands),
+linked members become components, and only members outside a bucket's largest
+component are compared with the rest of it, where the sizes of both sets, the
+shingles that each has alone, and counts by parts leave them any chance (bounds
+that never lose a pair, tested inside the join). Pairs are thinned by an estimate
 from 16-bit sketches that is five standard errors below the threshold, then
 verified on their whole shingle sets.
 
@@ -43,7 +45,8 @@ BANDS, ROWS = 32, 5
 COORDINATES = BANDS * ROWS
 SKETCH_FLOOR = 0.64
 BROADCAST_IDS = 2_000_000
-SLICE = 16
+PART_BITS = 6
+PARTS = 1 << PART_BITS
 
 _MAX_RANK = 4096
 _FRACTION = 33
@@ -170,6 +173,13 @@ def _alike(left: pa.Array, right: pa.Array) -> pa.Array:
     return pa.array((a == b).mean(1))
 
 
+def _part_counts(elements: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Shingles of each document in each of PARTS parts of the hash space."""
+    doc = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+    part = (elements >> np.uint64(64 - PART_BITS)).astype(np.int64)
+    return np.bincount(doc * PARTS + part, minlength=(len(bounds) - 1) * PARTS).astype(np.int32)
+
+
 def _shingled(weighted: bool):
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -180,8 +190,11 @@ def _shingled(weighted: bool):
                     [
                         batch.column(0).slice(chunk.first, chunk.n),
                         pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(elements.view(np.int64))),
+                        pa.ListArray.from_arrays(
+                            pa.array(np.arange(chunk.n + 1, dtype=np.int32) * PARTS), pa.array(_part_counts(elements, bounds))
+                        ),
                     ],
-                    ["node", "shingles"],
+                    ["node", "shingles", "parts"],
                 )
 
     return shingled
@@ -201,8 +214,8 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, tables: Scrat
     close = close.where(F.arrow_udf(_alike, "double")("left", "right") >= SKETCH_FLOOR + similar - SIMILAR).select("a", "b")
     close = tables.table(close, "close")
     wanted = tables.table(close.select(F.col("a").alias("node")).union(close.select("b")).distinct(), "wanted")
-    sets = _only(docs, wanted).mapInArrow(_shingled(weighted), "node long, shingles array<long>")
-    sets = tables.table(sets, "sets")
+    sets = _only(docs, wanted).mapInArrow(_shingled(weighted), "node long, shingles array<long>, parts array<int>")
+    sets = tables.table(sets.drop("parts"), "sets")
     both = (
         close.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("left")), "a")
         .join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("right")), "b")
@@ -215,6 +228,51 @@ def _ordered(x: Column, y: Column) -> list[Column]:
     return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
 
+def _length(size: Column) -> Column:
+    """Steps of a tenth in size."""
+    return F.floor(F.log(size.cast("double")) * 10).cast("int")
+
+
+def _chances(wanted: DataFrame, docs: DataFrame, tables: Scratch, similar: float, weighted: bool) -> DataFrame:
+    """(node, size, least, most, parts): what a node could share; nodes that cannot be similar to any are left out.
+
+    Shingles that no other of the nodes has cannot be shared. With m shared at
+    most, a set of size y is at least ``similar`` only up to y = m (1 + s) / s - size.
+    ``parts`` counts the shingles that can be shared by parts of the hash space:
+    two nodes share at most the sum of the smaller counts.
+    """
+    wanted = tables.table(wanted, "wanted")
+    sets = _only(docs, wanted).mapInArrow(_shingled(weighted), "node long, shingles array<long>, parts array<int>")
+    sets = tables.table(sets.where(F.size("shingles") > 0), "sets")
+    part = F.expr(f"cast(shiftrightunsigned(shingle, {64 - PART_BITS}) as int)")
+    own = (
+        sets.select("node", F.explode("shingles").alias("shingle"))
+        .groupBy("shingle")
+        .agg(F.count("*").alias("n"), F.min("node").alias("node"))
+        .where("n = 1")
+        .groupBy("node", part.alias("part"))
+        .agg(F.count("*").cast("int").alias("n"))
+        .groupBy("node")  # at most PARTS entries
+        .agg(F.sum("n").alias("own"), F.map_from_entries(F.collect_list(F.struct("part", "n"))).alias("own_parts"))
+    )
+    shared = F.col("size") - F.coalesce("own", F.lit(0))
+    left = F.transform("parts", lambda n, i: n - F.coalesce(F.try_element_at("own_parts", i), F.lit(0)))
+    return (
+        sets.select("node", F.size("shingles").alias("size"), "parts")
+        .join(own, "node", "left")
+        .select(
+            "node",
+            "size",
+            F.greatest(F.ceil(similar * F.col("size") - 1e-9), F.lit(1)).cast("long").alias("least"),
+            F.least(
+                F.floor(shared * (1 + similar) / similar - F.col("size") + 1e-9), F.floor(F.col("size") / similar + 1e-9)
+            ).cast("long").alias("most"),
+            left.alias("parts"),
+        )
+        .where("most >= least")
+    )
+
+
 def near_duplicates(docs: DataFrame, similar: float = SIMILAR, weighted: bool = False) -> DataFrame:
     """doc_id and class_id of every row: the class holds exact copies and everything linked to them."""
     spark = docs.sparkSession
@@ -235,48 +293,54 @@ def near_duplicates(docs: DataFrame, similar: float = SIMILAR, weighted: bool =
     )
     texts = plain.withColumnRenamed("doc_id", "node")
     keys = nodes.select("node", F.explode("bands").alias("key"))
-    buckets = keys.groupBy("key").agg(
-        F.count("*").alias("n"), F.min(F.struct(F.xxhash64("node", "key").alias("h"), "node"))["node"].alias("center")
-    )
-    members = tables.table(keys.join(buckets.where("n > 1"), "key"), "members")
+    buckets = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    shared = tables.table(keys.join(buckets, "key"), "shared")
+    # a bucket's center is the member that meets most others over all bands: what near copies were copied from
+    meets = shared.groupBy("node").agg(F.sum("n").alias("meets"))
+    ranked = tables.table(shared.join(meets, "node").select("key", "node", "meets"), "ranked")
+    centers = ranked.groupBy("key").agg(F.max(F.struct("meets", "node"))["node"].alias("center"))
+    members = tables.table(ranked.join(centers, "key").select("key", "node", "center"), "members")
 
     pairs = members.where("node <> center").select(*_ordered(F.col("node"), F.col("center"))).distinct()
     pairs = tables.table(pairs, "pairs")
     links = tables.table(_verified(pairs, nodes, texts, tables, similar, weighted), "links")
     seen = pairs
-    served = members.where("node = center").select("key", "node")
     labels = components(links, tables)
-    reach = SLICE
-    while True:
-        placed = members.join(labels, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
-        shares = placed.groupBy("key", "comp").agg(F.count("*").alias("n"))
-        split = (
-            shares.groupBy("key")
-            .agg(F.count("*").alias("comps"), F.sum("n").alias("n"), F.max(F.struct("n", "comp")).alias("main"))
-            .where("comps > 1")
-            .select("key", F.col("main.comp").alias("main"), (F.col("n") - F.col("main.n")).alias("rest"))
-        )
-        open_ = tables.table(placed.join(split, "key"), "open")
-        waiting = open_.where("comp <> main").join(served, ["key", "node"], "left_anti")
-        # the next members outside the largest component are compared with all others of their bucket
-        turn = F.pmod(F.xxhash64("node", "key", F.lit(3)), F.lit(1 << 30)) * F.col("rest") < reach * (1 << 30)
-        waiting = tables.table(waiting.withColumn("turn", turn), "waiting")
-        if not waiting.limit(1).count():
-            break
-        centers = waiting.where("turn").select("key", F.col("node").alias("center"), F.col("comp").alias("center_comp"))
-        pairs = (
-            open_.join(centers, "key")
-            .where(F.col("comp") != F.col("center_comp"))
-            .select(*_ordered(F.col("node"), F.col("center")))
-            .distinct()
-            .join(seen, ["a", "b"], "left_anti")
-        )
-        pairs = tables.table(pairs, "pairs")
-        more = tables.table(_verified(pairs, nodes, texts, tables, similar, weighted), "links")
-        seen, links = seen.union(pairs), links.union(more)
-        served = served.union(centers.select("key", F.col("center").alias("node")))
-        labels = components(links, tables)
-        reach *= 8
+
+    # the other pairs of buckets that still hold several components, where sizes and own shingles leave them a chance
+    placed = members.join(labels, "node", "left").select("key", "node", "center", F.coalesce("comp", "node").alias("comp"))
+    shares = placed.groupBy("key", "comp").agg(F.count("*").alias("n"))
+    split = (
+        shares.groupBy("key")
+        .agg(F.count("*").alias("comps"), F.max(F.struct("n", "comp"))["comp"].alias("main"))
+        .where("comps > 1")
+        .select("key", "main")
+    )
+    open_ = tables.table(placed.join(split, "key"), "open")
+    chances = tables.table(_chances(open_.select("node").distinct(), texts, tables, similar, weighted), "chances")
+    open_ = tables.table(open_.join(chances, "node"), "open")
+    others = open_.select("key", "node", "comp", "size", "least", "most", "parts", _length(F.col("size")).alias("length"))
+    centers = open_.where("comp <> main and node <> center").select(
+        "key",
+        F.col("node").alias("x"),
+        F.col("comp").alias("x_comp"),
+        F.col("size").alias("x_size"),
+        F.col("least").alias("x_least"),
+        F.col("most").alias("x_most"),
+        F.col("parts").alias("x_parts"),
+        F.explode(F.sequence(_length(F.col("least")), _length(F.col("most")))).alias("length"),
+    )
+    at_most = F.aggregate(F.zip_with("parts", "x_parts", lambda m, n: F.least(m, n)), F.lit(0), lambda m, n: m + n)
+    fitting = (
+        (F.col("comp") != F.col("x_comp"))
+        & F.col("size").between(F.col("x_least"), F.col("x_most"))
+        & F.col("x_size").between(F.col("least"), F.col("most"))
+        & (at_most * (1 + similar) / similar >= F.col("size") + F.col("x_size") - 1e-9)
+    )
+    pairs_left = centers.join(others, ["key", "length"]).where(fitting).select(*_ordered(F.col("node"), F.col("x"))).distinct()
+    pairs_left = tables.table(pairs_left.join(pairs, ["a", "b"], "left_anti"), "pairs")
+    more = tables.table(_verified(pairs_left, nodes, texts, tables, similar, weighted), "links")
+    labels = components(links.union(more), tables)
     classes = copies.join(labels, "node", "left").select("digest", F.coalesce("comp", "node").alias("class_id"))
     return signed.select("doc_id", "digest").join(classes, "digest", "left").select("doc_id", "class_id")
 
