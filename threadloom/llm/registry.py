@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from threadloom.llm import decontamination, language_model, minhash, mixing, pii, quality_classifier, quality_rules, toxicity, url_filter
+from threadloom.llm import decontamination, language_model, minhash, mixing, pii, quality_classifier, quality_rules, suffix_dedup, toxicity, url_filter
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -29,6 +29,10 @@ def op4_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.report(_table(spark, folder, "documents"))
 
 
+def op6_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return suffix_dedup.dedup(_table(spark, folder, "documents"))
+
+
 def op7_dart_minhash(spark: SparkSession, folder: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, folder, "documents"))
 
@@ -55,6 +59,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality_classifier": op3_quality_classifier,
     "op4_mixing": op4_mixing,
     "op5_quality_rules": op5_quality_rules,
+    "op6_suffix_dedup": op6_suffix_dedup,
     "op7_dart_minhash": op7_dart_minhash,
     "op8_subword_lattice": op8_subword_lattice,
     "op9_toxicity": op9_toxicity,

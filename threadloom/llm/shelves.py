@@ -123,13 +123,19 @@ def answer(letters: DataFrame, merge: Callable) -> DataFrame:
     return letters.groupBy("bucket").applyInArrow(merged, "bucket int, shelf long, body binary")
 
 
-def open_answers(shelves: DataFrame, answers: DataFrame, result: Callable, schema: str) -> DataFrame:
-    """What ``result(ids, known, chunk, {bucket: body})`` gives for each shelf and the answers to it."""
+def open_answers(shelves: DataFrame, answers: DataFrame, result: Callable, schema: str, named: bool = False) -> DataFrame:
+    """What ``result(ids, known, chunk, {bucket: body})`` gives for each shelf and the answers to it.
+
+    ``named`` puts the shelf beside each row. A shelf to which nothing was
+    answered has no bodies.
+    """
+    schema = f"shelf long, {schema}" if named else schema
 
     def opened(shelf: pa.Table, got: pa.Table) -> pa.Table:
         n, body = shelf.column("n_docs")[0].as_py(), shelf.column("body")[0].as_py()
         found = {b.as_py(): x.as_py() for b, x in zip(got.column("bucket"), got.column("body"), strict=True)}
-        return result(*unpack(n, body), found)
+        made = result(*unpack(n, body), found)
+        return made.add_column(0, "shelf", pa.array([shelf.column("shelf")[0].as_py()] * made.num_rows, pa.int64())) if named else made
 
     left = shelves.select("shelf", "n_docs", "body").groupBy("shelf")
     return left.cogroup(answers.select("shelf", "bucket", "body").groupBy("shelf")).applyInArrow(opened, schema)
