@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 from threadloom.llm.spans import Chunk, text_bytes
 from threadloom.session import Scratch
 
-SHELF_BYTES = 8 << 20
-BUCKET_BYTES = 16 << 20
+SHELF_BYTES = 4 << 20
+BUCKET_BYTES = 8 << 20
 SHELF_SCHEMA = "shelf long, n_docs int, n_bytes long, body binary"
 
 

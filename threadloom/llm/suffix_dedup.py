@@ -87,7 +87,8 @@ def _parse(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     low = _smallest(hashes, _RUN)
     edge = np.flatnonzero(low[1:] != low[:-1]) + 1
     first = np.append(0, edge)
-    return first, np.append(edge, len(low)) - 1, low[first]
+    # smallest hashes crowd near 0, buckets of triggers need them spread
+    return first, np.append(edge, len(low)) - 1, mix(low[first] + np.uint64(_BASE))
 
 
 class _Phrases:
