@@ -102,6 +102,8 @@ def _candidates(chunk: Chunk, data: np.ndarray, items: Items) -> tuple[np.ndarra
     doc = chunk.owner(at)
     inside = at + Q <= chunk.offsets[doc + 1]
     at, found, doc = at[inside], found[inside], doc[inside]
+    if not len(at):
+        return none, none, none
     often = items.first[found + 1] - items.first[found]
     which = np.arange(often.sum()) - np.repeat(np.cumsum(often) - often, often) + np.repeat(items.first[found], often)
     item = items.item[which]
@@ -251,21 +253,23 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return made
 
 
+def _is_clean(shared):
+    def clean(texts: pa.Array) -> pa.Array:
+        data, offsets = text_bytes(texts)
+        out = np.ones(len(texts), bool)
+        for chunk in chunks(data, offsets):
+            low = lower_ascii(chunk.data)
+            for d, *_ in _verified(chunk, low, shared.value, _candidates(chunk, low, shared.value)):
+                out[chunk.first + d] = False
+        return pa.array(out)
+
+    return F.arrow_udf(clean, "boolean")
+
+
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that leak no item, with their own columns only."""
     context = docs.sparkSession.sparkContext
     kept = docs
     for rows in _blocks(benchmark):
-        shared = context.broadcast(index(rows))
-
-        def clean(texts: pa.Array, shared=shared) -> pa.Array:
-            data, offsets = text_bytes(texts)
-            out = np.ones(len(texts), bool)
-            for chunk in chunks(data, offsets):
-                low = lower_ascii(chunk.data)
-                for d, *_ in _verified(chunk, low, shared.value, _candidates(chunk, low, shared.value)):
-                    out[chunk.first + d] = False
-            return pa.array(out)
-
-        kept = kept.where(F.arrow_udf(clean, "boolean")(kept["text"]))
+        kept = kept.where(_is_clean(context.broadcast(index(rows)))(kept["text"]))
     return kept

@@ -356,7 +356,7 @@ def keep_first(docs: DataFrame) -> DataFrame:
     lost = classes.where(F.col("doc_id") != F.col("class_id")).select(F.col("doc_id").alias("node"))
     few = lost.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     lost = F.broadcast(lost) if few else lost
-    kept = docs.where(F.col("doc_id").isNotNull()).join(lost, F.col("doc_id") == F.col("node"), "left_anti")
+    kept = docs.where(F.col("doc_id").isNotNull()).join(lost, docs["doc_id"] == lost["node"], "left_anti")
     if seen["named"] > seen["ids"]:
         kept = kept.dropDuplicates(["doc_id"])
     if seen["rows"] > seen["named"]:

@@ -81,11 +81,15 @@ def _account(text: str, stop: int, cue: str) -> tuple[int, int] | None:
     found = _VALUE.match(text, stop)
     if not found:
         return None
-    start, end = found.span(1)
+    start = found.start(1)
     value = found.group(1)
     if cue.lower() == "iban":
-        packed = re.sub(r"[ -]", "", value).upper()
-        return (start, end) if 15 <= len(packed) <= 34 and _iban(packed) else None
+        # the value may run on into the next words: the longest whole words that pass
+        for cut in sorted((m.end() for m in re.finditer(r"[A-Za-z0-9]+", value)), reverse=True):
+            packed = re.sub(r"[ -]", "", value[:cut]).upper()
+            if 15 <= len(packed) <= 34 and _iban(packed):
+                return start, start + cut
+        return None
     word = re.match(r"[A-Za-z0-9-]+", value).group(0)
     return (start, start + len(word)) if len(word) >= 6 and sum(c.isdigit() for c in word) >= 4 else None
 
