@@ -272,6 +272,7 @@ ctx as (select id, string_agg(
   from turn left join authors using (author_id) group by id)
 select s.id, sender_ids, case when a.code is null then 1 else 2 end as author_class
 from samples s join ctx using (id) left join authors a on a.author_id = s.author_id"""
+ORACLES["speaker_ids_joined"] = ORACLES["speaker_ids"]
 
 
 # --- subwords ---------------------------------------------------------------
@@ -368,6 +369,8 @@ LETTERS = f"""letters as (select tweet_id, unnest(c) as subword, unnest(range(le
   from (select tweet_id, {CHARS.format(t="text")} as c from msgs)),
 vocab as (select character as subword, row_number() over (order by n desc, character) as id
   from ({CHAR_COUNTS}))"""
+ORACLES["word_vectors"] = f"""with {messages(D.LINEAR_GRAPH)}, {LETTERS}
+select distinct coalesce(id, 0)::int as id, 16 as dim from letters left join vocab using (subword)"""
 ORACLES["vocab_lookup"] = f"""with {messages(D.LINEAR_GRAPH)}, {LETTERS}
 select tweet_id, string_agg(coalesce(id, 0)::varchar, ' ' order by pos) as ids
 from letters left join vocab using (subword) group by tweet_id"""
@@ -489,10 +492,13 @@ cells as (select vec_id as id, unnest(embedding)::double as x,
   unnest(range(len(embedding))) as dim from embeddings)
 select doc_id, dim, round(sum(n * x) / sum(n), 6) as value
 from counted join cells using (id) group by doc_id, dim"""
+MILLIONTHS = (
+    "array_to_string(list_transform(embedding, lambda x: round(x::double * 1e6)::bigint::varchar), ',')"
+)
+ORACLES["mean_pool_joined"] = ORACLES["mean_pool"]
 ORACLES["vector_lookup"] = f"""with {SIZES},
 ids as (select tweet_id, unnest(ids) as id, unnest(range(len(ids))) as pos from sized)
-select tweet_id, pos, id, round(embedding[1]::double, 6) as v0,
-  round(embedding[2]::double, 6) as v1
+select tweet_id, pos, id, md5({MILLIONTHS}) as vector
 from ids left join embeddings on vec_id = id"""
 ORACLES["logistic_score"] = f"""select vec_id as id, round(1 / (1 + exp(
   -(list_dot_product(embedding::double[], {WEIGHTS}::double[]) + 0.25))), 6) as score
@@ -522,8 +528,8 @@ ORACLES["evaluation_means"] = f"""with {STEPS}
 select epoch, round(avg(loss), 6) as loss, round(avg(all_loss), 6) as all_loss
 from steps group by epoch"""
 ORACLES["weighted_cross_entropy"] = """with cells as (
-  select vec_id, unnest(embedding[1:8])::double as x, unnest(range(8)) as k from embeddings),
-ce as (select vec_id, ln(sum(exp(x))) - max(x) filter (where k = vec_id % 8) as ce,
+  select vec_id, unnest(embedding)::double as x, unnest(range(64)) as k from embeddings),
+ce as (select vec_id, ln(sum(exp(x))) - max(x) filter (where k = vec_id % 64) as ce,
   case when vec_id % 3 = 0 then 0 else 1 end as w from cells group by vec_id)
 select round(sum(w * ce) / count(*), 6) as loss, round(sum(w * ce) / sum(w), 6) as metric from ce"""
 
@@ -538,8 +544,6 @@ from msgs where {english("text")}"""
 ORACLES["vocab_file"] = rf"""select character as subword,
   (row_number() over (order by n desc, character) - 1)::int as id from ({CHAR_COUNTS})
 where regexp_matches(character, '^[\p{{L}}\p{{N}}]$')"""
-ORACLES["embeddings_sink"] = (
-    "select vec_id as id, round(embedding[64]::double, 6) as last from embeddings"
-)
+ORACLES["embeddings_sink"] = f"select vec_id as id, {MILLIONTHS} as vector from embeddings"
 ORACLES["sql_view"] = f"""with {messages(D.LINEAR_GRAPH)}
 select author_id, count(*) as n from msgs group by author_id"""

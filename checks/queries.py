@@ -338,6 +338,19 @@ def speaker_ids(spark, sf_dir):
     )
 
 
+@query
+def speaker_ids_joined(spark, sf_dir):
+    """The same rows with a dictionary too long to be compared in place."""
+    samples = mining.mine(D.linear_graph(spark, sf_dir), gate_english=False)
+    classed = authors.speaker_classes(samples, small_authors(spark, sf_dir), inline=0)
+    turns = F.transform("tweets", lambda t: F.split(t, " "))
+    return classed.select(
+        "id",
+        F.array_join(A.repeat_over_turns("sender_class", turns), "").alias("sender_ids"),
+        "author_class",
+    )
+
+
 # --- subwords ---------------------------------------------------------------
 
 
@@ -533,6 +546,7 @@ def select_responses(spark, sf_dir):
             contexts.select(F.col("vec_id").alias("context_id"), "vector"),
             responses.select(F.col("vec_id").alias("response_id"), "vector"),
             5,
+            digits=9,
         ),
         "score",
     )
@@ -548,11 +562,19 @@ def select_responses_blocked(spark, sf_dir):
             responses.select(F.col("vec_id").alias("response_id"), "vector"),
             5,
             context_values=0,
+            digits=9,
         ),
         "score",
     )
 
 
+def _millionths(column: str):
+    """All numbers of a vector, as whole millionths, in one text."""
+    return F.array_join(
+        F.transform(column, lambda x: F.round(x.cast("double") * 1e6).cast("long").cast("string")), ","
+    )
+
+
 def _vector_table(spark, sf_dir) -> DataFrame:
     return D.table(spark, sf_dir, "embeddings").select(
         F.col("vec_id").cast("int").alias("id"), F.col("embedding").alias("vector")
@@ -573,13 +595,20 @@ def _pooled_out(rows: DataFrame) -> DataFrame:
 @query
 def mean_pool(spark, sf_dir):
     return _pooled_out(
-        embeddings.mean_pool(_token_rows(spark, sf_dir), _vector_table(spark, sf_dir), "doc_id")
+        embeddings.mean_pool(_token_rows(spark, sf_dir), _vector_table(spark, sf_dir))
     )
 
 
+@query
+def mean_pool_joined(spark, sf_dir):
+    """The same means with a table that no executor holds."""
+    rows, table = _token_rows(spark, sf_dir), _vector_table(spark, sf_dir)
+    return _pooled_out(embeddings.mean_pool(rows, table, matrix_values=0))
+
+
 @query
 def vector_lookup(spark, sf_dir):
-    """Vectors of the turns' ids, shown by their first two numbers."""
+    """Vectors of the turns' ids, all numbers of a vector in one digest."""
     found = embeddings.lookup_vectors(
         _turn_sizes(spark, sf_dir), _vector_table(spark, sf_dir), "tweet_id"
     )
@@ -587,8 +616,7 @@ def vector_lookup(spark, sf_dir):
         "tweet_id",
         "pos",
         "id",
-        F.round(F.col("vector")[0].cast("double"), 6).alias("v0"),
-        F.round(F.col("vector")[1].cast("double"), 6).alias("v1"),
+        F.md5(_millionths("vector")).alias("vector"),
     )
 
 
@@ -643,8 +671,8 @@ def evaluation_means(spark, sf_dir):
 @query
 def weighted_cross_entropy(spark, sf_dir):
     rows = D.table(spark, sf_dir, "embeddings").selectExpr(
-        "slice(embedding, 1, 8) as logits",
-        "cast(vec_id % 8 as int) as target",
+        "embedding as logits",
+        "cast(vec_id % 64 as int) as target",
         "if(vec_id % 3 = 0, 0, 1) as weight",
     )
     return rounded(metrics.weighted_cross_entropy(rows), "loss", "metric")
@@ -714,7 +742,7 @@ def embeddings_sink(spark, sf_dir):
     path = fresh_path(spark, "embeddings")
     files.write_embeddings(_vector_table(spark, sf_dir), path)
     back = files.read_embeddings(spark, path)
-    return back.select("id", F.round(F.col("vector")[63].cast("double"), 6).alias("last"))
+    return back.select("id", _millionths("vector").alias("vector"))
 
 
 @query

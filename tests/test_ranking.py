@@ -99,7 +99,7 @@ def test_pooling_in_place_and_by_join(spark, monkeypatch):
     )
 
     def pooled():
-        return {r.k: r.pooled for r in embeddings.mean_pool(rows, table, "k").collect()}
+        return {r.k: r.pooled for r in embeddings.mean_pool(rows, table).collect()}
 
     in_place = pooled()
     assert in_place == {1: [3.0, 10.0], 2: [11 / 3, 17.0], 3: None, 4: [3.0, 9.0]}
@@ -113,7 +113,7 @@ def test_pooling_in_place_and_by_join(spark, monkeypatch):
 def test_pooling_runs_once(spark):
     table = spark.createDataFrame([(1, [1.0])], "id int, vector array<float>")
     rows = spark.createDataFrame([(1, [1])], "k int, ids array<int>")
-    pooled = embeddings.mean_pool(rows, table, "k").select(F.explode("pooled"))
+    pooled = embeddings.mean_pool(rows, table).select(F.explode("pooled"))
     plan = pooled._jdf.queryExecution().executedPlan().toString()
     assert plan.count("ArrowEvalPython") == 1
 

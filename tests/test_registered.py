@@ -1,6 +1,7 @@
 """Registered queries against their SQL on the smallest tables."""
 
 import math
+import re
 from decimal import Decimal
 from pathlib import Path
 
@@ -33,8 +34,9 @@ def table(columns, rows):
 
 
 def test_every_query_has_sql_or_a_reason():
-    # Training is not repeatable in SQL; the end-to-end run is checked by parts.
-    assert set(entry.queries()) - set(entry.oracle_sql()) == {"word_vectors", "prepared_splits"}
+    # The end-to-end run is checked by parts; learned, flow and graph operators by tests of their own.
+    without = {q for q in entry.queries() if not re.match(r"op\d+_|pipeline$", q)} - set(entry.oracle_sql())
+    assert without == {"prepared_splits"}
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 

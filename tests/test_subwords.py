@@ -109,7 +109,7 @@ def test_encode(spark, tables):
         found = rows.select("i", encoder.encode("text").alias("ids")).orderBy("i").collect()
         return [r.ids for r in found]
 
-    assert ids("reference") == [
+    assert ids("unknown") == [
         [1, 4, 12, 5, 8, 9, 15, 2],
         [1, 0, 4, 15, 2],
         [1, 4, 5, 0, 0, 15, 2],

@@ -35,14 +35,3 @@ def padding_mask(ids: Column | str) -> Column:
 def packed_line(*rows: Column | str) -> Column:
     """The rows one after another as one comma-separated line."""
     return F.array_join(F.flatten(F.array(*[_col(r) for r in rows])), ",")
-
-
-def append(items: Column | str, item: Column | str) -> Column:
-    return F.array_append(_col(items), _col(item))
-
-
-def merge_into_last(items: Column | str, item: Column | str) -> Column:
-    """Join ``item`` to the last element with one blank."""
-    a = _col(items)
-    joined = F.concat(F.element_at(a, -1), F.lit(" "), _col(item))
-    return F.concat(F.slice(a, F.lit(1), F.size(a) - 1), F.array(joined))

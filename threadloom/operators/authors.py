@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from threadloom.functions import arrays as A
-from threadloom.session import at_most, broadcast_if_small
+from threadloom.session import at_most, broadcast_if_small, materialize
 
 INLINE_ACCOUNTS = 5_000
 
@@ -16,9 +16,12 @@ def distinct_authors(messages: DataFrame) -> DataFrame:
 
 
 def encode_authors(rows: DataFrame, authors: DataFrame, column: str = "author_id") -> DataFrame:
-    """Add ``author_code``: the dictionary's code, 0 for an unknown author."""
+    """Add ``author_code``: the dictionary's code, 0 for an unknown author.
+
+    A name listed twice has its last code, as in ``read_authors``.
+    """
     codes = broadcast_if_small(
-        authors.select(F.col("author_id").alias(column), F.col("code").alias("author_code"))
+        authors.groupBy(F.col("author_id").alias(column)).agg(F.max("code").alias("author_code"))
     )
     joined = rows.join(codes, column, "left")
     return joined.withColumn("author_code", F.coalesce("author_code", F.lit(0)))
@@ -40,30 +43,44 @@ def _class_if_listed(name: Column, accounts: list[str]) -> Column:
     return A.speaker_class(F.coalesce(known, F.lit(False)).cast("int"))
 
 
-def speaker_classes(samples: DataFrame, authors: DataFrame, key: str = "id") -> DataFrame:
+def speaker_classes(
+    samples: DataFrame, authors: DataFrame, inline: int = INLINE_ACCOUNTS
+) -> DataFrame:
     """Add ``sender_class`` per turn and ``author_class``: 2 account, 1 customer.
 
-    A short dictionary is compared in place, without moving the samples.
-    Otherwise the turns are unfolded, joined, and regrouped by ``key``.
+    A dictionary of up to ``inline`` names is compared in place, without moving
+    the samples. Otherwise the turns are unfolded, joined, and regrouped by a
+    number given to each row, so both ways treat empty and missing senders, repeated
+    samples and repeated names alike.
     """
-    if at_most(authors, INLINE_ACCOUNTS):
-        accounts = account_names(authors)
+    if at_most(authors, inline):
+        accounts = account_names(authors, inline)
         return samples.withColumns(
             {
                 "sender_class": F.transform("sender", lambda s: _class_if_listed(s, accounts)),
                 "author_class": _class_if_listed(F.col("author_id"), accounts),
             }
         )
-    turns = samples.select(key, F.posexplode("sender").alias("pos", "author_id"))
+    # written once, so that both readings see the same row numbers
+    numbered = materialize(
+        samples.select(F.struct("*").alias("sample"), F.monotonically_increasing_id().alias("row")),
+        "numbered-samples",
+    )
+    turns = numbered.select("row", F.posexplode("sample.sender").alias("pos", "author_id"))
     coded = encode_authors(turns, authors).select(
-        key, "pos", A.speaker_class("author_code").alias("cls")
+        "row", "pos", A.speaker_class("author_code").alias("cls")
     )
-    grouped = coded.groupBy(key).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("pos", "cls"))), lambda p: p["cls"]).alias(
-            "sender_class"
+    ordered = F.array_sort(F.collect_list(F.struct("pos", "cls")))
+    grouped = coded.groupBy("row").agg(F.transform(ordered, lambda p: p["cls"]).alias("classes"))
+    named = numbered.select("row", "sample", F.col("sample.author_id").alias("author_id"))
+    none = F.array().cast("array<int>")
+    sender_class = F.when(F.col("sample.sender").isNotNull(), F.coalesce("classes", none))
+    return (
+        encode_authors(named, authors)
+        .join(grouped, "row", "left")
+        .select(
+            "sample.*",
+            sender_class.alias("sender_class"),
+            A.speaker_class("author_code").alias("author_class"),
         )
     )
-    with_author = encode_authors(samples, authors).withColumn(
-        "author_class", A.speaker_class("author_code")
-    )
-    return with_author.drop("author_code").join(grouped, key)

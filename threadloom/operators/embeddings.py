@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from threadloom import fixed_values as V
 from threadloom.functions import vectors as L
-from threadloom.session import at_most, broadcast_if_small, parallelism
+from threadloom.session import at_most, broadcast_if_small, materialize, parallelism
 
 MATRIX_VALUES = 32_000_000
 
@@ -71,56 +71,76 @@ def lookup_vectors(rows: DataFrame, table: DataFrame, key: str, column: str = "i
 
 def _pool_on_matrix(rows: DataFrame, table: DataFrame, column: str) -> DataFrame:
     """Pooling in place with the (small) table held by every executor."""
-    held = table.select("id", "vector").toPandas()
-    matrix = np.array(held["vector"].tolist(), dtype=np.float64)
-    row_of = {int(i): n for n, i in enumerate(held["id"])}
-    shared = rows.sparkSession.sparkContext.broadcast((matrix, row_of))
+    held = table.toPandas().sort_values("id")
+    ids = held["id"].to_numpy(dtype=np.int64)
+    matrix = np.array(held["vector"].tolist(), dtype=np.float64).reshape(len(ids), -1)
+    shared = rows.sparkSession.sparkContext.broadcast((matrix, ids))
 
     @F.pandas_udf("array<double>")
     def pool(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        vectors, places = shared.value
-
-        def mean(ids):
-            used = [places[i] for i in ids if i != V.UNKNOWN_ID and i in places]
-            return vectors[used].mean(axis=0) if used else None
-
-        for ids in batches:
-            yield ids.map(mean, na_action="ignore")
+        vectors, known = shared.value
+        for lists in batches:
+            sizes = np.array([0 if x is None else len(x) for x in lists])
+            parts = [np.asarray(x, dtype=np.float64) for x in lists if x is not None and len(x)]
+            flat = np.concatenate([*parts, np.zeros(0)])
+            owner = np.repeat(np.arange(len(sizes)), sizes)
+            used = np.isfinite(flat) & (flat != V.UNKNOWN_ID) & np.isin(flat, known)
+            owner, place = owner[used], np.searchsorted(known, flat[used])
+            n = np.bincount(owner, minlength=len(sizes))
+            out: list = [None] * len(sizes)
+            if len(owner):
+                starts = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
+                means = np.add.reduceat(vectors[place], starts) / n[owner[starts], None]
+                for row, mean in zip(owner[starts], means):
+                    out[row] = mean
+            yield pd.Series(out, index=lists.index, dtype=object)
 
     # Kept whole: a filter on the result must not run the pooling twice.
     return rows.withColumn("pooled", pool.asNondeterministic()(column))
 
 
-def _pool_by_join(rows: DataFrame, table: DataFrame, key: str, column: str) -> DataFrame:
+def _pool_by_join(rows: DataFrame, table: DataFrame, column: str) -> DataFrame:
     """Pooling for a table of any size: count ids per row, join, sum per dimension."""
+    numbered = materialize(
+        rows.select(F.struct("*").alias("row"), F.monotonically_increasing_id().alias("n_row")),
+        "numbered-rows",
+    )
     counted = (
-        rows.select(key, F.explode(column).alias("id"))
+        numbered.select("n_row", F.explode(F.col("row")[column]).alias("id"))
         .filter(F.col("id") != V.UNKNOWN_ID)
-        .groupBy(key, "id")
+        .groupBy("n_row", "id")
         .agg(F.count("*").alias("n"))
     )
     sums = (
         counted.join(table, "id")
-        .select(key, "n", F.posexplode("vector").alias("dim", "x"))
-        .groupBy(key, "dim")
+        .select("n_row", "n", F.posexplode("vector").alias("dim", "x"))
+        .groupBy("n_row", "dim")
         .agg((F.sum(F.col("x").cast("double") * F.col("n")) / F.sum("n")).alias("mean"))
     )
     ordered = F.array_sort(F.collect_list(F.struct("dim", "mean")))
-    pooled = sums.groupBy(key).agg(F.transform(ordered, lambda p: p["mean"]).alias("pooled"))
-    return rows.join(pooled, key, "left")
+    pooled = sums.groupBy("n_row").agg(F.transform(ordered, lambda p: p["mean"]).alias("pooled"))
+    return numbered.join(pooled, "n_row", "left").select("row.*", "pooled")
 
 
-def mean_pool(rows: DataFrame, table: DataFrame, key: str, column: str = "ids") -> DataFrame:
+def mean_pool(
+    rows: DataFrame, table: DataFrame, column: str = "ids", matrix_values: int = MATRIX_VALUES
+) -> DataFrame:
     """Add ``pooled``: the mean vector of a row's ids other than 0, or NULL.
 
-    A table of bounded size is shared with the executors and rows stay in
-    place; a larger one is joined.
+    A table of at most ``matrix_values`` numbers is shared with the executors
+    and rows stay in place; a larger one is joined. Of an id listed twice the
+    greater vector counts, NULL vectors are left out, and rows need no key.
     """
+    table = (
+        table.filter("id is not null and vector is not null")
+        .groupBy("id")
+        .agg(F.max("vector").alias("vector"))
+    )
     first = table.select(F.size("vector").alias("dim")).first()
-    limit = MATRIX_VALUES // max(1, first.dim) if first else 0
-    if at_most(table, limit):
+    limit = matrix_values // max(1, first.dim) if first else 0
+    if first and at_most(table, limit):
         return _pool_on_matrix(rows, table, column)
-    return _pool_by_join(rows, table, key, column)
+    return _pool_by_join(rows, table, column)
 
 
 def logistic_scores(

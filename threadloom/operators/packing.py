@@ -14,6 +14,7 @@ from threadloom.operators.authors import speaker_classes
 from threadloom.operators.gates import reject_reason
 from threadloom.operators.subwords import TurnEncoder
 
+FEED_BUCKETS = 1_024
 ROW_PARTS = ("context", "sender_ids", "response_ids", "author_ids")
 
 
@@ -28,25 +29,27 @@ def with_reject_reason(samples: DataFrame) -> DataFrame:
 
 
 def encode_samples(
-    samples: DataFrame, encoder: TurnEncoder, accounts: list[str], signature: str = "strict"
+    samples: DataFrame,
+    encoder: TurnEncoder,
+    accounts: list[str],
+    signature: str = "strict",
+    max_response: int | None = V.MAX_RESPONSE_IDS,
 ) -> DataFrame:
     """Clean and encode every turn and the response; add ``turns`` and ``answer``.
 
-    Responses of more than 70 ids are dropped; contexts of any length stay.
+    Responses of more than ``max_response`` ids are dropped; contexts of any
+    length stay. With None all stay, to be counted or kept by the caller.
     """
     texts = F.concat("tweets", F.array("response"))
     cleaned = F.transform(texts, lambda t: X.clean_text(t, accounts, signature))
     coded = samples.withColumn("coded", encoder.encode_turns(cleaned))
-    return (
-        coded.withColumns(
-            {
-                "turns": F.slice("coded", F.lit(1), F.size("coded") - 1),
-                "answer": F.element_at("coded", -1),
-            }
-        )
-        .drop("coded")
-        .filter(F.size("answer") <= V.MAX_RESPONSE_IDS)
-    )
+    made = coded.withColumns(
+        {
+            "turns": F.slice("coded", F.lit(1), F.size("coded") - 1),
+            "answer": F.element_at("coded", -1),
+        }
+    ).drop("coded")
+    return made if max_response is None else made.filter(F.size("answer") <= max_response)
 
 
 def pack_encoded(samples: DataFrame, length: int = V.SEQUENCE_LENGTH) -> DataFrame:
@@ -116,17 +119,15 @@ def batch_feed(
     batch_size: int = V.BATCH_SIZE,
     seed: int = V.SPLIT_SEED,
     epoch: int = 0,
-    buckets: int | None = None,
-    rows_per_bucket: int = 500_000,
+    buckets: int = FEED_BUCKETS,
 ) -> DataFrame:
     """Rows in a repeatable random order, in batches of ``batch_size``.
 
     Rows fall into buckets by the digest of their unique key and are numbered
     inside their bucket, so no window sees the whole table; only the last
-    batch of a bucket may be short. Another ``epoch`` gives another order.
+    batch of a bucket may be short. Another ``epoch`` gives another order, and
+    so does another number of ``buckets``, which never follows the row count.
     """
-    if buckets is None:
-        buckets = max(1, math.ceil(rows.count() / rows_per_bucket))
     digest = _digest(seed, F.lit(epoch), key)
     bucket = (F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % buckets).alias("bucket")
     order = Window.partitionBy("bucket").orderBy("digest", key)

@@ -19,33 +19,36 @@ CONTEXT_BLOCK = 2_048
 RESPONSE_BLOCK = 8_192
 STRIP = 256
 LANE_ROWS = 1_024
-DIGITS = 9
 
 
 def _laned(contexts: DataFrame, responses: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Both sides with a ``lane`` that splits batches larger than usual.
+    """Both sides with lanes that split batches larger than usual on either side.
 
-    A context of a large batch goes to one of its batch's lanes, a response to
-    all of them; other batches have a single lane.
+    A context goes to one of its batch's context lanes and to all its response
+    lanes, a response the other way round; usual batches have one of each.
     """
-    sizes = contexts.groupBy("batch_id").agg(F.count("*").alias("n"))
+    sides = contexts.select("batch_id", F.lit(1).alias("c"), F.lit(0).alias("r")).unionByName(
+        responses.select("batch_id", F.lit(0).alias("c"), F.lit(1).alias("r"))
+    )
+    sizes = sides.groupBy("batch_id").agg(F.sum("c").alias("c"), F.sum("r").alias("r"))
+    lanes = [F.greatest(F.ceil(F.col(x) / LANE_ROWS), F.lit(1)).alias(f"{x}_lanes") for x in "cr"]
     large = materialize(
-        sizes.filter(F.col("n") > LANE_ROWS).select(
-            "batch_id", F.ceil(F.col("n") / LANE_ROWS).alias("lanes")
-        ),
+        sizes.filter((F.col("c") > LANE_ROWS) | (F.col("r") > LANE_ROWS)).select("batch_id", *lanes),
         "large-batches",
     )
     if large.isEmpty():
-        one = F.lit(0).cast("long").alias("lane")
-        return contexts.select("*", one), responses.select("*", one)
+        one = [F.lit(0).cast("long").alias(f"{x}_lane") for x in "cr"]
+        return contexts.select("*", *one), responses.select("*", *one)
     large = broadcast_if_small(large)
-    lanes = F.coalesce("lanes", F.lit(1).cast("long"))
-    of_context = F.pmod(F.xxhash64("i"), lanes)
-    all_lanes = F.explode(F.sequence(F.lit(0).cast("long"), lanes - 1))
-    return (
-        contexts.join(large, "batch_id", "left").withColumn("lane", of_context).drop("lanes"),
-        responses.join(large, "batch_id", "left").withColumn("lane", all_lanes).drop("lanes"),
-    )
+
+    def spread(side: DataFrame, own: str, other: str, slot: str) -> DataFrame:
+        of_own = F.pmod(F.xxhash64(slot), F.coalesce(f"{own}_lanes", F.lit(1).cast("long")))
+        last = F.coalesce(f"{other}_lanes", F.lit(1).cast("long")) - 1
+        laned = side.join(large, "batch_id", "left").withColumn(f"{own}_lane", of_own)
+        copies = F.explode(F.sequence(F.lit(0).cast("long"), last))
+        return laned.withColumn(f"{other}_lane", copies).drop("c_lanes", "r_lanes")
+
+    return spread(contexts, "c", "r", "i"), spread(responses, "r", "c", "j")
 
 
 def score_matrix(contexts: DataFrame, responses: DataFrame, squash: bool = False) -> DataFrame:
@@ -53,14 +56,14 @@ def score_matrix(contexts: DataFrame, responses: DataFrame, squash: bool = False
 
     Both sides are ``(batch_id, slot, vector)``; the result is the long form
     ``(batch_id, i, j, score)``, whose size follows the batch size. The join is
-    on batch and lane, so that no single batch has to fit one task.
+    on batch and lanes, so that no single batch has to fit one task.
     """
     left, right = _laned(
         contexts.select("batch_id", F.col("slot").alias("i"), F.col("vector").alias("c")),
         responses.select("batch_id", F.col("slot").alias("j"), F.col("vector").alias("r")),
     )
     score = L.dot("c", "r")
-    return left.join(right, ["batch_id", "lane"]).select(
+    return left.join(right, ["batch_id", "c_lane", "r_lane"]).select(
         "batch_id", "i", "j", (L.sigmoid(score) if squash else score).alias("score")
     )
 
@@ -139,13 +142,14 @@ def hard_triplets(scores: DataFrame, margin: float = V.TRIPLET_MARGIN) -> DataFr
     )
 
 
-def _best_of(context_ids, contexts, response_ids, responses, k: int):
+def _best_of(context_ids, contexts, response_ids, responses, k: int, digits: int | None):
     """Top ``k`` responses of this block for each context, ties by response id."""
     order = np.argsort(response_ids, kind="stable")
     response_ids, responses = response_ids[order], responses[order]
     k = min(k, len(response_ids))
     for start in range(0, len(context_ids), STRIP):
-        scores = np.round(contexts[start : start + STRIP] @ responses.T, DIGITS)
+        scores = contexts[start : start + STRIP] @ responses.T
+        scores = scores if digits is None else np.round(scores, digits)
         bar = -np.partition(-scores, k - 1, axis=1)[:, k - 1 : k]
         for row, line in enumerate(scores):
             # Everything as good as the k-th, so that ties are cut by id.
@@ -159,8 +163,18 @@ def _matrix(vectors) -> np.ndarray:
     return np.array(vectors.tolist(), dtype=np.float64)
 
 
-def _shared_contexts(contexts: DataFrame, responses: DataFrame, k: int, schema: str) -> DataFrame:
-    """Few contexts: every task holds them and streams its own responses."""
+COLUMNS = ["context_id", "response_id", "score"]
+
+
+def _best_so_far(parts: list[pd.DataFrame], k: int) -> pd.DataFrame:
+    every = pd.concat(parts).sort_values(COLUMNS[::2] + COLUMNS[1:2], ascending=[True, False, True])
+    return every.groupby("context_id", sort=False).head(k)
+
+
+def _shared_contexts(
+    contexts: DataFrame, responses: DataFrame, k: int, schema: str, digits: int | None
+) -> DataFrame:
+    """Few contexts: every task holds them, streams its responses, and emits its best once."""
     held = contexts.toPandas()
     if held.empty:
         return contexts.sparkSession.createDataFrame([], schema)
@@ -170,10 +184,18 @@ def _shared_contexts(contexts: DataFrame, responses: DataFrame, k: int, schema:
 
     def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ids, matrix = shared.value
+        held, size = [], 0
         for b in batches:
             if len(b):
-                found = _best_of(ids, matrix, b["response_id"].to_numpy(), _matrix(b["vector"]), k)
-                yield pd.DataFrame(found, columns=["context_id", "response_id", "score"])
+                vectors = _matrix(b["vector"])
+                found = _best_of(ids, matrix, b["response_id"].to_numpy(), vectors, k, digits)
+                held.append(pd.DataFrame(found, columns=COLUMNS))
+                size += len(held[-1])
+                if size > 4 * k * len(ids):
+                    held = [_best_so_far(held, k)]
+                    size = len(held[0])
+        if held:
+            yield _best_so_far(held, k)
 
     return responses.mapInPandas(best, schema)
 
@@ -185,7 +207,9 @@ def _blocked(rows: DataFrame, size: int, name: str) -> tuple[DataFrame, int]:
     return kept.withColumn(name, F.pmod(F.xxhash64(*rows.columns), F.lit(blocks))), blocks
 
 
-def _grid(contexts: DataFrame, responses: DataFrame, k: int, schema: str) -> DataFrame:
+def _grid(
+    contexts: DataFrame, responses: DataFrame, k: int, schema: str, digits: int | None
+) -> DataFrame:
     """Many contexts: each pair of blocks meets in one task, which emits its best."""
     left, n_left = _blocked(contexts, CONTEXT_BLOCK, "c_block")
     right, n_right = _blocked(responses, RESPONSE_BLOCK, "r_block")
@@ -201,8 +225,9 @@ def _grid(contexts: DataFrame, responses: DataFrame, k: int, schema: str) -> Dat
             b["response_id"].to_numpy(),
             _matrix(b["vector"]),
             k,
+            digits,
         )
-        return pd.DataFrame(found, columns=["context_id", "response_id", "score"])
+        return pd.DataFrame(found, columns=COLUMNS)
 
     keys = ["c_block", "r_block"]
     cells = left.withColumn("r_block", F.col("r_block").cast("long")).groupBy(*keys)
@@ -211,7 +236,11 @@ def _grid(contexts: DataFrame, responses: DataFrame, k: int, schema: str) -> Dat
 
 
 def select_responses(
-    contexts: DataFrame, responses: DataFrame, k: int, context_values: int = CONTEXT_VALUES
+    contexts: DataFrame,
+    responses: DataFrame,
+    k: int,
+    context_values: int = CONTEXT_VALUES,
+    digits: int | None = None,
 ) -> DataFrame:
     """The ``k`` best stored responses of every context, exactly.
 
@@ -219,8 +248,13 @@ def select_responses(
     ``(response_id, vector)``. Pairs are scored as matrix products inside the
     tasks and only each block's best leave them, so pairs are never rows.
     Contexts are shared with the executors when they are few, and otherwise
-    meet the responses block by block.
+    meet the responses block by block: every context is copied to every response
+    block and every response to every context block. Rows with a NULL vector are
+    left out. With ``digits`` scores are rounded first, and what is then equal is
+    ranked by response id.
     """
+    contexts = contexts.filter("vector is not null")
+    responses = responses.filter("vector is not null")
     first = contexts.select(F.size("vector").alias("dim")).first()
     kind = contexts.schema["context_id"].dataType.simpleString()
     other = responses.schema["response_id"].dataType.simpleString()
@@ -228,6 +262,6 @@ def select_responses(
     contexts = contexts.select("context_id", "vector")
     responses = responses.select("response_id", "vector")
     few = at_most(contexts, context_values // max(1, first.dim)) if first else True
-    found = (_shared_contexts if few else _grid)(contexts, responses, k, schema)
+    found = (_shared_contexts if few else _grid)(contexts, responses, k, schema, digits)
     order = Window.partitionBy("context_id").orderBy(F.desc("score"), "response_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)

@@ -19,6 +19,7 @@ from threadloom.session import parallelism
 
 BROADCAST_BYTES = 8 * 1024 * 1024
 HOT_CHECK_ROWS = 1_000_000
+HOT_CHECK_BYTES = 256 * 1024 * 1024
 LIST_PART = 100_000
 
 
@@ -52,7 +53,7 @@ def links(column: str = "response_tweet_id") -> Column:
 
 
 def reply_table(messages: DataFrame, columns: list[str]) -> DataFrame:
-    """Messages ready to be joined as replies: partitioned by id, cached.
+    """Messages ready to be joined as replies: partitioned and sorted by id, cached.
 
     ``tweet_id`` is the table's key; rows without one can never be a reply.
     """
@@ -60,7 +61,8 @@ def reply_table(messages: DataFrame, columns: list[str]) -> DataFrame:
         "tweet_id", *columns, links().alias("next")
     )
     partitions = parallelism(messages.sparkSession)
-    return table.repartition(partitions, "tweet_id").persist(StorageLevel.MEMORY_AND_DISK)
+    placed = table.repartition(partitions, "tweet_id").sortWithinPartitions("tweet_id")
+    return placed.persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def in_parts(level: DataFrame, fan: Fan, spread_by: str) -> DataFrame:
@@ -83,10 +85,10 @@ def in_parts(level: DataFrame, fan: Fan, spread_by: str) -> DataFrame:
 def hot_reply_ids(level: DataFrame, fan: Fan) -> list[int]:
     """Reply ids named by more than a quarter of an average partition.
 
-    Fewer than ``4 * partitions`` ids can pass, whatever the data. Only large
-    frontiers are counted.
+    Fewer than ``4 * partitions`` ids can pass, whatever the data. Only frontiers
+    of many rows or many bytes are counted.
     """
-    if fan.rows < HOT_CHECK_ROWS:
+    if fan.rows < HOT_CHECK_ROWS and fan.bytes < HOT_CHECK_BYTES:
         return []
     bar = max(1, fan.rows // (4 * parallelism(level.sparkSession)))
     named = level.select(F.explode("next").alias("reply_id"))

@@ -257,11 +257,11 @@ class TurnEncoder:
     Merges and vocabulary go to the executors once; their size is bounded by
     the vocabulary size. Turns stay where they are: encoding shuffles nothing,
     and a word is split once per task while it stays in the cache.
-    ``phone_id="reference"`` leaves phone placeholders unknown (their key has a
+    ``phone_id="unknown"`` leaves phone placeholders unknown (their key has a
     trailing blank); ``"fixed"`` gives them their own id.
     """
 
-    def __init__(self, merges: DataFrame, base: DataFrame, phone_id: str = "reference"):
+    def __init__(self, merges: DataFrame, base: DataFrame, phone_id: str = "unknown"):
         if not (at_most(merges, LARGEST_VOCABULARY) and at_most(base, LARGEST_VOCABULARY)):
             raise ValueError(f"a vocabulary holds at most {LARGEST_VOCABULARY} entries")
         ids = {r.subword: r.id for r in with_placeholders(base).collect()}

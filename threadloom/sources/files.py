@@ -2,22 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from threadloom import schemas as S
 from threadloom.functions import arrays as A
 from threadloom.operators.packing import ROW_PARTS, packed_lines, unpack_lines
 
-LIST_FILE_BYTES = 64 * 1024 * 1024
-
 
 def read_messages(spark: SparkSession, path: str) -> DataFrame:
     """Message CSV with a header; quoted texts may hold line ends and quotes.
 
     Columns are matched by their header names, so extra columns do no harm. A
     file with line ends inside texts cannot be split, so give large inputs as
-    many files, and keep a Parquet copy for repeated use.
+    many files, and keep a Parquet copy for repeated use (``parquet_copy``). A
+    value that is no number or boolean is NULL, not an error.
     """
     raw = (
         spark.read.option("header", True)
@@ -25,7 +24,7 @@ def read_messages(spark: SparkSession, path: str) -> DataFrame:
         .option("escape", '"')
         .csv(path)
     )
-    return raw.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in S.MESSAGES.fields])
+    return raw.select(*[F.col(f.name).try_cast(f.dataType).alias(f.name) for f in S.MESSAGES.fields])
 
 
 def write_messages(messages: DataFrame, path: str) -> None:
@@ -34,21 +33,50 @@ def write_messages(messages: DataFrame, path: str) -> None:
     messages.select(*columns).write.option("header", True).option("escape", '"').csv(path)
 
 
+def parquet_copy(spark: SparkSession, path: str, to: str) -> DataFrame:
+    """Messages of ``path`` written once as Parquet, which splits and prunes, and read from there."""
+    read_messages(spark, path).write.parquet(to)
+    return spark.read.schema(S.MESSAGES).parquet(to)
+
+
 def read_list(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of a list file as ``(place, entry)``, places counted from 0.
+    """Lines of a list as ``(place, entry)``, places counted from 0 over all files in name order.
 
-    The place of a line is its code, so the file is read whole as one row; that
-    is for name and vocabulary lists, and a larger file is refused.
+    Blocks of the files are numbered first, and lines then inside their block,
+    so a list may be of any size. Empty lines at the end are no entries.
     """
-    whole = spark.read.text(path, wholetext=True).select("value", "_metadata.file_size")
-    too_long = F.assert_true(
-        F.col("file_size") <= LIST_FILE_BYTES, f"{path} is too long for a list file"
+    lines = spark.read.text(path, lineSep="\n").select(
+        "value",
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("at"),
+    )
+    blocks = lines.groupBy("file", "block").agg(
+        F.min("at").alias("first"),
+        F.count("*").alias("n"),
+        F.max(F.when(F.col("value") != "", F.col("at"))).alias("last"),
     )
-    lines = F.split(F.rtrim(F.col("value"), F.lit("\n")), "\n")
-    checked = whole.select(F.when(too_long.isNull(), lines).alias("lines"))
-    return checked.select(F.posexplode("lines").alias("place", "entry")).select(
-        "place", F.regexp_replace("entry", r"(?U)^\s+|\s+$", "").alias("entry")
+    before = Window.orderBy("file", "block")  # one row per block
+    placed = blocks.select(
+        "file",
+        "block",
+        "first",
+        (F.sum("n").over(before) - F.col("n")).alias("offset"),
+        "last",
     )
+    ends = placed.withColumn(
+        "end",
+        F.max(F.col("offset") + F.col("last") - F.col("first")).over(
+            Window.partitionBy(F.lit(1))
+        ),
+    ).drop("last")
+    numbered = lines.join(F.broadcast(ends), ["file", "block"])
+    place = (F.col("offset") + F.col("at") - F.col("first")).cast("int")
+    return numbered.select(
+        place.alias("place"),
+        F.regexp_replace("value", r"(?U)^\s+|\s+$", "").alias("entry"),
+        "end",
+    ).filter("place <= end").drop("end")
 
 
 def read_authors(spark: SparkSession, path: str) -> DataFrame:
