@@ -39,14 +39,14 @@ def test_base_statistics(spark):
 def test_outliers_of_their_group_go(spark):
     rng = random.Random(20)
     rows = []
-    for i in range(900):
+    for i in range(1200):
         text = frames.words(rng, rng.randint(60, 200), 3000)
         bad = i % 5 == 0
         if bad:
             text = " ".join(w + "###" for w in text.split())
         rows.append((i, text, rng.choice(("en", None)), rng.choice(("a", "b")), 0))
     made = {r["doc_id"]: r for r in quality_rules.judge(spark.createDataFrame(rows, frames.DOCS)).collect()}
-    assert all(made[i]["kept"] == (i % 5 != 0) for i in range(900))
+    assert all(made[i]["kept"] == (i % 5 != 0) for i in range(1200))
 
 
 def test_small_groups_are_pooled_or_left_alone(spark):
