@@ -495,6 +495,13 @@ from counted join cells using (id) group by doc_id, dim"""
 MILLIONTHS = (
     "array_to_string(list_transform(embedding, lambda x: round(x::double * 1e6)::bigint::varchar), ',')"
 )
+ORACLES["mask_many_accounts"] = f"""with handles as (
+  select o_orderkey, 'C' || o_custkey as handle from orders),
+debtors as (select 'C' || c_custkey as name, c_custkey from customer where c_acctbal < 0),
+first as (select handle, first(name order by c_custkey) as name
+  from (select distinct handle from handles) join debtors on starts_with(handle, name) group by handle)
+select o_orderkey, 'hi ' || coalesce('{V.BOT_TOKEN}' || substr(handle, length(name) + 1), '@' || handle) || ' bye'
+  as text from handles left join first using (handle)"""
 ORACLES["mean_pool_joined"] = ORACLES["mean_pool"]
 ORACLES["vector_lookup"] = f"""with {SIZES},
 ids as (select tweet_id, unnest(ids) as id, unnest(range(len(ids))) as pos from sized)

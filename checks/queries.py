@@ -599,6 +599,18 @@ def mean_pool(spark, sf_dir):
     )
 
 
+@query
+def mask_many_accounts(spark, sf_dir):
+    """Handles of all orders, masked by a dictionary of customers whose names begin one another."""
+    debtors = D.table(spark, sf_dir, "customer").filter("c_acctbal < 0").select(
+        F.concat(F.lit("C"), "c_custkey").alias("author_id"), F.col("c_custkey").alias("code")
+    )
+    text = F.concat(F.lit("hi @C"), "o_custkey", F.lit(" bye"))
+    return D.table(spark, sf_dir, "orders").select(
+        "o_orderkey", X.mask_bots(text, authors.account_names(debtors)).alias("text")
+    )
+
+
 @query
 def mean_pool_joined(spark, sf_dir):
     """The same means with a table that no executor holds."""

@@ -1,11 +1,18 @@
 """Both ways of every size switch give the same rows, also for awkward input."""
 
+import random
+import re
+
 from pyspark.sql import functions as F
 
-from threadloom.operators import authors, embeddings, packing, ranking
+from threadloom.functions import text
+from threadloom.operators import authors, embeddings, mining, packing, ranking
+from threadloom.plans import prepare
 from threadloom.session import Scratch, scratch, shared_folder
 from threadloom.sources import files
 
+MESSAGES = "tweet_id long, author_id string, text string, response_tweet_id string, in_response_to_tweet_id long"
+
 
 def rows_of(frame):
     return frame.columns, sorted(map(repr, frame.collect()))
@@ -101,3 +108,28 @@ def test_scratch_leaves_nothing_behind(spark):
     first = kept.table(spark.range(2), "first")
     kept.drop(first)
     assert kept.root.startswith(shared_folder(spark))
+
+
+def test_names_tree_is_the_alternation():
+    rng = random.Random(7)
+    for _ in range(300):
+        names = ["".join(rng.choice("ab.") for _ in range(rng.randint(1, 4))) for _ in range(rng.randint(1, 8))]
+        plain = re.compile("|".join(map(re.escape, names)))
+        tree = re.compile(text.names_pattern(names))
+        for _ in range(10):
+            probe = "".join(rng.choice("ab.") for _ in range(6))
+            want, got = plain.match(probe), tree.match(probe)
+            assert (want and want.group()) == (got and got.group()), (names, probe)
+
+
+def test_no_depth_gives_no_samples(spark):
+    messages = spark.createDataFrame([(1, "a", "hi there", "2", None), (2, "b", "yes ok", None, 1)], MESSAGES)
+    assert mining.mine(messages, max_depth=0).count() == 0
+
+
+def test_a_missing_text_makes_its_turn_null_in_both_walks(spark):
+    messages = spark.createDataFrame(
+        [(1, "a", None, "2", None), (2, "a", "hi", "3", 1), (3, "b", "yo", "4", 2), (4, "a", "so", None, 3)], MESSAGES
+    )
+    both = [f(messages, gate_english=False).select("tweets", "response") for f in (mining.mine, prepare.mine_by_ids)]
+    assert rows_of(both[0]) == rows_of(both[1])

@@ -9,6 +9,7 @@ from threadloom.functions import arrays as A
 from threadloom.session import at_most, broadcast_if_small, materialize
 
 INLINE_ACCOUNTS = 5_000
+PATTERN_ACCOUNTS = 1_000_000
 
 
 def distinct_authors(messages: DataFrame) -> DataFrame:
@@ -27,14 +28,14 @@ def encode_authors(rows: DataFrame, authors: DataFrame, column: str = "author_id
     return joined.withColumn("author_code", F.coalesce("author_code", F.lit(0)))
 
 
-def account_names(authors: DataFrame, limit: int = INLINE_ACCOUNTS) -> list[str]:
+def account_names(authors: DataFrame, limit: int = PATTERN_ACCOUNTS) -> list[str]:
     """The dictionary's names in code order, for patterns and short lists.
 
-    Only for a dictionary proven short; a longer one is an error here, and
-    ``speaker_classes`` joins it instead.
+    They are held by the driver and sent with every task that cleans texts, so
+    their number is checked: more than ``limit`` (some 20 MB of names) are an error.
     """
     if not at_most(authors, limit):
-        raise ValueError(f"more than {limit} accounts; use the join form")
+        raise ValueError(f"more than {limit} accounts")
     return [r.author_id for r in authors.select("author_id", "code").orderBy("code").collect()]
 
 

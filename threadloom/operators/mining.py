@@ -97,6 +97,8 @@ def mine_levels(
     ``path`` keeps the levels there; otherwise they go to the shared folder.
     """
     spark = messages.sparkSession
+    if max_depth < 1:
+        return spark.createDataFrame([], LEVELS)
     path = path or fresh_path(spark, "mined")
     if gate_english:
         messages = messages.filter(X.is_english("text"))

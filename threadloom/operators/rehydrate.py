@@ -9,19 +9,24 @@ from threadloom import fixed_values as V
 from threadloom.functions import text as X
 
 
-def _turn_text(parts, place):
-    """Texts of one turn joined in order; NULL if no message was found."""
-    found = F.filter(parts, lambda p: (p["place"] == place) & p["text"].isNotNull())
+def _turn_text(parts, place, whole):
+    """Texts of one turn joined in order; NULL if no message, or with ``whole`` not each, was found."""
+    own = F.filter(parts, lambda p: p["place"] == place)
+    found = F.filter(own, lambda p: p["text"].isNotNull())
     joined = F.array_join(F.transform(found, lambda p: p["text"]), " ")
-    return F.when(F.size(found) > 0, joined)
+    return F.when(F.size(found) == F.size(own) if whole else F.size(found) > 0, joined)
 
 
 def rehydrate(
-    paths: DataFrame, messages: DataFrame, words_above: int | None = V.MIN_WORDS
+    paths: DataFrame,
+    messages: DataFrame,
+    words_above: int | None = V.MIN_WORDS,
+    whole_turns: bool = False,
 ) -> DataFrame:
     """Samples with texts from paths ``(id, sender, context, response, author_id)``.
 
-    A context message that is missing leaves its turn NULL; a sample whose
+    A turn of which no message has a text is NULL, with ``whole_turns`` also one
+    of which some message has none, as in mining with texts. A sample whose
     response is missing or has too few words is dropped; with ``words_above`` None
     all samples stay. Context and response
     ids go through one join and one regrouping by ``id``, which must be unique;
@@ -52,8 +57,8 @@ def rehydrate(
     filled = samples.select(
         "id",
         "sender",
-        F.transform(turn_places, lambda i: _turn_text(F.col("parts"), i)).alias("tweets"),
-        _turn_text(F.col("parts"), F.lit(-1)).alias("response"),
+        F.transform(turn_places, lambda i: _turn_text(F.col("parts"), i, whole_turns)).alias("tweets"),
+        _turn_text(F.col("parts"), F.lit(-1), True).alias("response"),
         "author_id",
     )
     if words_above is None:

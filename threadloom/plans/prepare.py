@@ -22,8 +22,8 @@ def mine_by_ids(
     """The samples of ``mine``, with texts left out of the walk.
 
     For wide texts: the walk carries message ids, joined with blanks where
-    turns merge, and the texts are attached once at the end. Message ids must
-    be unique.
+    turns merge, and the texts are attached once at the end. A message
+    without a text makes its turn NULL either way. Message ids must be unique.
     """
     if gate_english:
         messages = messages.filter(X.is_english("text"))
@@ -36,7 +36,7 @@ def mine_by_ids(
         F.col("response").cast("bigint").alias("response"),
         "author_id",
     )
-    return rehydrate(paths, messages, words_above=None)
+    return rehydrate(paths, messages, words_above=None, whole_turns=True)
 
 
 @dataclass(frozen=True)
