@@ -26,6 +26,7 @@ MERGES = T.StructType(
 ROUNDS_PER_CUT = 3
 LARGEST_VOCABULARY = 1_000_000
 CACHED_WORDS = 500_000
+CACHED_TURNS = 20_000
 PLACEHOLDER = re.compile(r"(<\w+>)")
 WORD = re.compile(r"[^ \n]+")
 
@@ -288,7 +289,18 @@ class TurnEncoder:
                     found = known[word] = [ids.get(s, V.UNKNOWN_ID) for s in pieces]
                 return found
 
+            turns_seen: dict[str, list[int]] = {}
+
             def turn_ids(text: str) -> list[int]:
+                # a turn stands in every sample below it, mostly in the same task
+                found = turns_seen.get(text)
+                if found is None:
+                    if len(turns_seen) >= CACHED_TURNS:
+                        turns_seen.clear()
+                    found = turns_seen[text] = encoded(text)
+                return found
+
+            def encoded(text: str) -> list[int]:
                 parts = PLACEHOLDER.split(text)
                 out = [V.START_ID]
                 for piece, token in zip(parts[::2], [*parts[1::2], V.END_OF_PIECES]):
