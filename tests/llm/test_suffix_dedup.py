@@ -73,3 +73,12 @@ def test_awkward_rows(spark):
     assert by_id[5]["n_removed"] == 0 and by_id[6]["n_removed"] == by_id[6]["n_bytes"]
     assert by_id[1]["n_bytes"] == by_id[2]["n_bytes"] == 0
     assert suffix_dedup.dedup(frames.empty(spark)).count() == 0
+
+
+def test_hot_triggers_give_the_same_bytes(spark, monkeypatch):
+    monkeypatch.setattr(shelves, "SHELF_BYTES", 1500)
+    monkeypatch.setattr(suffix_dedup, "HOT_SHELVES", 3)
+    texts = corpus(random.Random(22))
+    docs = frames.documents(spark, texts)
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffix_dedup.dedup(docs).collect()}
+    assert got == brute(list(enumerate(texts)))

@@ -18,8 +18,11 @@ shelf sends its distinct triggers, and learns which of them other documents
 have too; a trigger of a third of all documents is one entry per shelf. Then it
 sends its distinct phrases of these triggers, each with its smallest doc_id, to
 the trigger's bucket, which sorts their suffixes and returns to each shelf, run by
-run, the smallest doc_id that has the string. Triggers are told apart by 64-bit
-hashes at first, which may only send more; suffixes of 50 bytes by 64-bit hashes.
+run, the smallest doc_id that has the string. Where very many shelves hold a trigger
+(``HOT_SHELVES``), phrases that only begin or end in a common passage would all
+meet in one bucket; their strings are sent one by one instead, to buckets by
+their own hash, with the same result. Triggers are told apart by 64-bit hashes at
+first, which may only send more; strings of 50 bytes by 64-bit hashes.
 
 Null and empty texts have no bytes. A null id counts as larger than any other.
 Rows with the same id are one document for the comparison: neither makes the
@@ -42,6 +45,7 @@ from threadloom.session import Scratch
 
 LENGTH = 50
 WINDOW = 16
+HOT_SHELVES = 256
 _RUN = LENGTH - WINDOW + 1
 _LAST = np.iinfo(np.int64).max
 _PIECE = 1 << 19
@@ -136,28 +140,68 @@ class _Phrases:
         return at[order[new]], of, least
 
 
+def _strings(phrases: _Phrases, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the strings of some phrases, and how many each phrase has."""
+    parts = [
+        mix(_rolling(phrases.data[phrases.first[i] : phrases.last[i] + LENGTH], LENGTH)) for i in at
+    ]
+    return np.concatenate([np.zeros(0, np.uint64), *parts]), phrases.last[at] - phrases.first[at] + 1
+
+
 def _repeats(bodies: list[bytes]) -> list[bytes]:
-    """For each letter of (trigger, smallest id, largest id) its triggers that several documents have."""
+    """For each letter of (trigger, smallest id, largest id) its triggers that several documents have, hot ones apart."""
     got = [np.frombuffer(b, np.int64).reshape(3, -1) for b in bodies]
     trigger = np.concatenate([g[0] for g in got]).view(np.uint64)
     order = np.argsort(trigger, kind="stable")
     new = np.flatnonzero(np.append(True, trigger[order][1:] != trigger[order][:-1]))
     low = np.minimum.reduceat(np.concatenate([g[1] for g in got])[order], new)
     high = np.maximum.reduceat(np.concatenate([g[2] for g in got])[order], new)
-    shared = trigger[order][new][low < high]
+    often = np.diff(np.append(new, len(trigger)))
+    shared, often = trigger[order][new][low < high], often[low < high]
     out = []
     for g in got:
         own = g[0].view(np.uint64)
         at = np.minimum(np.searchsorted(shared, own), max(0, len(shared) - 1))
-        out.append(own[shared[at] == own].tobytes() if len(shared) else b"")
+        good = shared[at] == own if len(shared) else np.zeros(len(own), bool)
+        hot = often[at[good]] >= HOT_SHELVES
+        out.append(np.int64((~hot).sum()).tobytes() + own[good][~hot].tobytes() + own[good][hot].tobytes())
     return out
 
 
+def _learned(found: dict[int, bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """All repeated triggers that a shelf was told of, and the hot ones among them, sorted."""
+    parts: list[list[np.ndarray]] = [[np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]]
+    for body in found.values():
+        n = int(np.frombuffer(body, np.int64, 1)[0])
+        parts[0].append(np.frombuffer(body, np.uint64, n, 8))
+        parts[1].append(np.frombuffer(body, np.uint64, offset=8 + 8 * n))
+    hot = np.sort(np.concatenate(parts[1]))
+    return np.sort(np.concatenate([*parts[0], hot])), hot
+
+
+def _merged_strings(bodies: list[bytes]) -> list[bytes]:
+    """For each letter of (string hash, smallest id): the smallest id over all letters."""
+    got = [np.frombuffer(b, np.int64, offset=1).reshape(2, -1) for b in bodies]
+    key = np.concatenate([g[0] for g in got])
+    order = np.argsort(key, kind="stable")
+    new = np.append(True, key[order][1:] != key[order][:-1])
+    group = np.empty(len(key), np.int64)
+    group[order] = np.cumsum(new) - 1
+    least = np.minimum.reduceat(np.concatenate([g[1] for g in got])[order], np.flatnonzero(new))[group]
+    cuts = np.cumsum([g.shape[1] for g in got])[:-1]
+    return [x.tobytes() for x in np.split(least, cuts)]
+
+
+def _resolved(bodies: list[bytes]) -> list[bytes]:
+    """Letters of a bucket are all phrases or all strings."""
+    return _merged_strings(bodies) if bodies[0][:1] == b"s" else _sorted_suffixes(bodies)
+
+
 def _sorted_suffixes(bodies: list[bytes]) -> list[bytes]:
     """For each letter of phrases: the runs of their strings, with the smallest id that has them."""
     letters = []
     for body in bodies:
-        raw = zstandard.ZstdDecompressor().decompress(body)
+        raw = zstandard.ZstdDecompressor().decompress(body[1:])
         n = int(np.frombuffer(raw, np.int64, 1)[0])
         ids = np.frombuffer(raw, np.int64, n, 8)
         size = np.frombuffer(raw, np.int32, n, 8 + 8 * n).astype(np.int64)
@@ -232,34 +276,49 @@ def _removed(docs: DataFrame, texts: bool) -> DataFrame:
     with arrow_rows(spark, 1):
         answers = tables.table(shelves.answer(shelves.send(made, triggers), _repeats), "repeated")
 
-    def phrases_of(ids, known, chunk, found) -> tuple[_Phrases, np.ndarray]:
-        repeated = np.sort(np.concatenate([np.frombuffer(b, np.uint64) for b in found.values()])) if found else np.zeros(0, np.uint64)
+    def phrases_of(ids, known, chunk, found) -> tuple:
+        """Phrases of the shelf; those of repeated triggers with what stands for them; which stand for hot ones."""
+        repeated, hot = _learned(found)
         phrases = _Phrases(ids, known, chunk)
-        return phrases, phrases.pick(repeated)
+        at = phrases.pick(repeated)
+        stand, of, least = phrases.distinct(at)
+        return phrases, at, stand, of, least, np.isin(phrases.trigger[stand], hot)
 
     def dictionary(ids: np.ndarray, known: np.ndarray, chunk: Chunk, found: dict[int, bytes]) -> pa.Table:
-        phrases, at = phrases_of(ids, known, chunk, found)
-        stand, _, least = phrases.distinct(at)
+        phrases, _, stand, _, least, hot = phrases_of(ids, known, chunk, found)
         size = (phrases.last[stand] - phrases.first[stand] + LENGTH).astype(np.int32)
         pack = zstandard.ZstdCompressor(level=3)
         rows, bodies = [], []
-        for b, own in enumerate(shelves.by_bucket(phrases.trigger[stand], buckets)):
+        plain = np.flatnonzero(~hot)
+        for b, own in enumerate(shelves.by_bucket(phrases.trigger[stand[plain]], buckets)):
             if len(own):
+                own = plain[own]
                 text = b"".join(phrases.data[f : f + n].tobytes() for f, n in zip(phrases.first[stand[own]], size[own], strict=True))
                 rows.append(b)
-                bodies.append(pack.compress(np.int64(len(own)).tobytes() + least[own].tobytes() + size[own].tobytes() + text))
+                bodies.append(b"p" + pack.compress(np.int64(len(own)).tobytes() + least[own].tobytes() + size[own].tobytes() + text))
+        key, n = _strings(phrases, stand[hot])
+        order = np.argsort(key, kind="stable")
+        new = np.flatnonzero(np.append(True, key[order][1:] != key[order][:-1])) if len(key) else np.zeros(0, np.int64)
+        if len(new):
+            low = np.minimum.reduceat(np.repeat(least[hot], n)[order], new)
+            key = key[order][new]
+            for b, own in enumerate(shelves.by_bucket(key, buckets)):
+                if len(own):
+                    rows.append(buckets + b)
+                    bodies.append(b"s" + np.stack([key[own].view(np.int64), low[own]]).tobytes())
         return pa.table({"bucket": pa.array(rows, pa.int32()), "body": pa.array(bodies, pa.binary())})
 
     sent = shelves.open_answers(made, answers, dictionary, "bucket int, body binary", named=True)
-    runs = tables.table(shelves.answer(sent, _sorted_suffixes), "runs")
+    runs = tables.table(shelves.answer(sent, _resolved), "runs")
 
     def result(ids: np.ndarray, known: np.ndarray, chunk: Chunk, both: dict[int, bytes]) -> pa.Table:
         found = {b: x for b, x in both.items() if b >= 0}
-        phrases, at = phrases_of(ids, known, chunk, found)
-        stand, of, _ = phrases.distinct(at)
+        phrases, at, stand, of, _, hot = phrases_of(ids, known, chunk, found)
         lengths, least = [np.zeros(0, np.int32)] * len(stand), [np.zeros(0, np.int64)] * len(stand)
-        for b, own in enumerate(shelves.by_bucket(phrases.trigger[stand], buckets)):
+        plain = np.flatnonzero(~hot)
+        for b, own in enumerate(shelves.by_bucket(phrases.trigger[stand[plain]], buckets)):
             if len(own):
+                own = plain[own]
                 raw = zstandard.ZstdDecompressor().decompress(both[-1 - b])
                 per = np.frombuffer(raw, np.int32, len(own))
                 n = int(per.sum())
@@ -268,6 +327,14 @@ def _removed(docs: DataFrame, texts: bool) -> DataFrame:
                     own, np.split(np.frombuffer(raw, np.int32, n, 4 * len(own)), cut), np.split(np.frombuffer(raw, np.int64, n, 4 * (len(own) + n)), cut), strict=True
                 ):
                     lengths[s], least[s] = x, y
+        key, n = _strings(phrases, stand[hot])
+        distinct, back = np.unique(key, return_inverse=True)
+        low = np.zeros(len(distinct), np.int64)
+        for b, own in enumerate(shelves.by_bucket(distinct, buckets)):
+            if len(own):
+                low[own] = np.frombuffer(both[-1 - buckets - b], np.int64, len(own))
+        for s, x in zip(np.flatnonzero(hot), np.split(low[back], np.cumsum(n)[:-1]), strict=False):
+            lengths[s], least[s] = np.ones(len(x), np.int32), x
         # marks: +1 where a repeated run of strings begins, -1 after its last byte
         edge = np.zeros(len(chunk.data) + 1, np.int32)
         if len(at):
