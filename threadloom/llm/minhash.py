@@ -362,5 +362,5 @@ def keep_first(docs: DataFrame) -> DataFrame:
     if seen["rows"] > seen["named"]:
         named = docs.where(F.col("doc_id").isNotNull()).select(F.coalesce("text", F.lit("")).alias("held"))
         nameless = docs.where(F.col("doc_id").isNull()).dropDuplicates(["text"])
-        kept = kept.unionByName(nameless.join(named, F.coalesce("text", F.lit("")) == F.col("held"), "left_anti"))
+        kept = kept.unionByName(nameless.join(named, F.coalesce(nameless["text"], F.lit("")) == named["held"], "left_anti"))
     return kept
