@@ -51,7 +51,7 @@ PARTS = 1 << PART_BITS
 _MAX_RANK = 4096
 _FRACTION = 33
 _NONE = np.uint64((1 << 45) - 1)
-_BLOCK = 1000
+_BLOCK = 200
 _K1, _K2, _K3 = (np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93))
 _POISSON = np.cumsum([np.exp(-1.0) / float(np.prod(np.arange(1, k + 1))) for k in range(18)])
 
