@@ -100,7 +100,7 @@ def _shared(value: np.ndarray, doc: np.ndarray) -> np.ndarray:
     return order[both]
 
 
-_SCHEMA = "s struct<n_words:bigint,word_chars:bigint,n_symbols:bigint,n_dup_lines:bigint,n_repeat_words:bigint,upper:bigint,lines:bigint>"
+_SCHEMA = "struct<n_words:bigint,word_chars:bigint,n_symbols:bigint,n_dup_lines:bigint,n_repeat_words:bigint,upper:bigint,lines:bigint>"
 _FIELDS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "upper", "lines")
 
 
@@ -113,7 +113,7 @@ def _measured(texts: pa.Array) -> pa.Array:
 
 def statistics(text: Column) -> Column:
     """Struct of the base statistics of a text, with capital letters and lines."""
-    return F.arrow_udf(_measured, _SCHEMA.removeprefix("s "))(text)
+    return F.arrow_udf(_measured, _SCHEMA)(text)
 
 
 def _vector(s: Column) -> list[Column]:
