@@ -15,23 +15,38 @@ from threadloom.session import materialize
 ORACLE_SQL = None
 
 
+#: Rows that go to Python at once: with whole texts, Spark's 10,000 fill tens of MB beside each task.
+ARROW_ROWS = 1_000
+
+
+def _whole_texts(spark: SparkSession) -> None:
+    """From here on the session hands texts to Python in batches that suit their length."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(name)) > ARROW_ROWS:
+        spark.conf.set(name, str(ARROW_ROWS))
+
+
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier predicts as good."""
+    _whole_texts(spark)
     return quality_classifier.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of every class of near duplicates."""
+    _whole_texts(spark)
     return minhash.keep_first(docs)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item, whole or within its edit budget."""
+    _whole_texts(spark)
     return decontamination.without_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, personal data written as its kind."""
+    _whole_texts(spark)
     return pii.redact(docs)
 
 
