@@ -49,6 +49,27 @@ def test_outliers_of_their_group_go(spark):
     assert all(made[i]["kept"] == (i % 5 != 0) for i in range(1200))
 
 
+def test_moderate_junk_goes_and_mild_repetition_stays(spark):
+    rng = random.Random(22)
+    rows, junk = [], {}
+    for i in range(1000):
+        own = frames.words(rng, rng.randint(60, 300), 3000).split()
+        lines = [" ".join(own[j : j + 12]) for j in range(0, len(own), 12)]
+        if i % 20 == 0:  # about 10 % of the characters are separators
+            lines, junk[i] = [" | ".join(" ".join(own[j : j + 2]) for j in range(0, len(own), 2))], "separators"
+        elif i % 20 == 1:
+            lines, junk[i] = [" ".join(w.upper() if j % 3 == 0 else w for j, w in enumerate(own))], "capitals"
+        elif i % 20 == 2:
+            lines, junk[i] = [" ".join(a + b for a, b in zip(own[::2], own[1::2], strict=False))], "long words"
+        elif i % 20 in (3, 4):
+            lines = lines + lines[: max(1, len(lines) // 6)]
+        rows.append((i, "\n".join(lines), "en", "a", 0))
+    made = {r["doc_id"]: r for r in quality_rules.judge(spark.createDataFrame(rows, frames.DOCS)).collect()}
+    made = {i: r for i, r in made.items() if not r["base_failed"]}
+    assert sum(i % 20 in (3, 4) for i in made) > 80
+    assert [(i, junk.get(i)) for i, r in sorted(made.items()) if r["kept"] == (i in junk)] == []
+
+
 def test_small_groups_are_pooled_or_left_alone(spark):
     rng = random.Random(21)
     texts = [frames.words(rng, 80, 3000) for _ in range(260)]

@@ -4,15 +4,17 @@ Each document becomes a vector of transformed statistics. For every (lang,
 source) the minimum-covariance-determinant estimate, found by concentration
 steps from a median-and-spread start, gives a center and a scatter that junk
 cannot pull along; a document is rejected if its squared Mahalanobis distance
-is beyond the ``QUANTILE`` of the matching chi-squared law, widened by ``SLACK``.
+is beyond the ``QUANTILE`` of the matching chi-squared law.
 
 Every concentration step covers all rows in one job: rows look their group's
 estimate up, are counted with their moments into bins of log distance, and the
 bins (bounded per group) up to half of the rows give the next estimate. No
 group is gathered, however large. Groups under ``LEAST`` rows are pooled, per
 language first and then all together; a pool still under ``LEAST`` judges
-nothing. Scatters get a floor of ``FLOOR`` per statistic, so that a statistic
-which is the same in most documents does not make any other value an outlier.
+nothing. Scatters get a floor per statistic (``FLOORS``), so that a statistic
+which is the same in most documents does not make any other value an outlier,
+but only one beyond what is usual in prose: lines and words are repeated in good
+documents too, symbols hardly are there.
 
 Null and empty texts have no words and fail the base rules. Null languages and
 sources are groups of their own. Repeated rows are judged alike.
@@ -36,9 +38,10 @@ VECTOR = ("v0", "v1", "v2", "v3", "v4")
 LEAST = 200
 STEPS = 4
 HALF = 0.5
-FLOOR = 0.12
+#: By the quantile below, a statistic that is 0 elsewhere rejects alone from about 5 % of symbols, 30 % of repeated lines or 50 %
+#: of repeated words (the base rule's limit) on, a word length from 1.36 times its group's.
+FLOORS = (0.12, 0.089, 0.229, 0.31, 0.12)
 QUANTILE = 0.9999
-SLACK = 3.2
 BINS_PER_OCTAVE = 16
 
 _SYMBOL = np.zeros(256, bool)
@@ -117,7 +120,7 @@ def statistics(text: Column) -> Column:
 
 
 def _vector(s: Column) -> list[Column]:
-    """Transformed statistics. Rates are smoothed towards 0 by 50 words, so that short texts scatter less."""
+    """Transformed statistics. Rates are smoothed towards 0 by 50 words, so that short texts scatter less; that of symbols by 20."""
     words = s["n_words"].cast("double")
     chars = s["word_chars"].cast("double")
 
@@ -126,7 +129,7 @@ def _vector(s: Column) -> list[Column]:
 
     return [
         F.log((chars + 50 * 5) / (words + 50)) * 2,
-        rate(s["n_symbols"], chars, 250.0),
+        rate(s["n_symbols"], chars, 100.0),
         rate(s["n_dup_lines"], s["lines"].cast("double"), 10.0),
         rate(s["n_repeat_words"], words, 50.0),
         rate(s["upper"], chars, 250.0),
@@ -177,7 +180,7 @@ def _concentrate(pdf: pd.DataFrame) -> pd.DataFrame:
     if share < 1:
         cut = _chi_squared(share, k)
         scatter *= share / max(_chi_inside(cut, k + 2), 1e-9)
-    scatter += np.eye(k) * FLOOR**2
+    scatter += np.diag(np.square(FLOORS))
     return pd.DataFrame({"part": [pdf["part"].iloc[0]], "center": [center], "inverse": [np.linalg.inv(scatter).ravel()]})
 
 
@@ -231,7 +234,7 @@ def judge(docs: DataFrame) -> DataFrame:
     spread = [F.percentile_approx(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 200).alias(v) for v in VECTOR]
     n = len(VECTOR)
     start = placed.groupBy("part").agg(*spread)
-    scale = [F.lit(1.0) / (F.pow((F.col(v)[2] - F.col(v)[0]) / 1.35, 2) + FLOOR**2) for v in VECTOR]
+    scale = [F.lit(1.0) / (F.pow((F.col(v)[2] - F.col(v)[0]) / 1.35, 2) + floor**2) for v, floor in zip(VECTOR, FLOORS, strict=True)]
     estimate = tables.table(
         start.select(
             "part",
@@ -247,7 +250,7 @@ def judge(docs: DataFrame) -> DataFrame:
         estimate = tables.table(new, "estimate")
     sizes = rows.where(judged).join(parts, "fine").groupBy("part").agg(F.count("*").alias("size"))
     known = tables.table(estimate.join(sizes, "part").where(F.col("size") >= LEAST).drop("size"), "known")
-    cut = SLACK * _chi_squared(QUANTILE, n)
+    cut = _chi_squared(QUANTILE, n)
     return (
         rows.join(parts, "fine", "left")
         .join(known, "part", "left")
