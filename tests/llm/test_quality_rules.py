@@ -79,6 +79,15 @@ def test_small_groups_are_pooled_or_left_alone(spark):
     assert made[900]["kept"] and made[900]["distance"] is None
 
 
+@pytest.mark.parametrize("main", [260, 50])
+def test_a_remainder_is_judged_by_the_whole_table(spark, main):
+    rng = random.Random(23)
+    texts = [frames.words(rng, 120, 3000) for _ in range(main + 4)]
+    rows = [(i, t + " #$%&" * 60 * (i >= main + 2), "fr" if i >= main else "en", "x", 0) for i, t in enumerate(texts)]
+    made = {r["doc_id"]: r for r in quality_rules.judge(spark.createDataFrame(rows, frames.DOCS)).collect()}
+    assert [i for i, r in made.items() if not r["kept"]] == [main + 2, main + 3]
+
+
 @pytest.mark.parametrize(("p", "k", "want"), [(0.95, 1, 3.841), (0.5, 5, 4.351), (0.999, 5, 20.515)])
 def test_chi_squared(p, k, want):
     assert quality_rules._chi_squared(p, k) == pytest.approx(want, abs=2e-3)

@@ -10,8 +10,10 @@ Every concentration step covers all rows in one job: rows look their group's
 estimate up, are counted with their moments into bins of log distance, and the
 bins (bounded per group) up to half of the rows give the next estimate. No
 group is gathered, however large. Groups under ``LEAST`` rows are pooled, per
-language first and then all together; a pool still under ``LEAST`` judges
-nothing. Scatters get a floor per statistic (``FLOORS``), so that a statistic
+language first and then all together. If that last pool is still under ``LEAST``,
+its rows are held against an estimate over all rows of the table and have no
+distance of their own; a table under ``LEAST`` has a cut that widens as its rows
+get fewer (``FEW``). Scatters get a floor per statistic (``FLOORS``), so that a statistic
 which is the same in most documents does not make any other value an outlier,
 but only one beyond what is usual in prose: lines and words are repeated in good
 documents too, symbols hardly are there.
@@ -42,6 +44,7 @@ HALF = 0.5
 #: of repeated words (the base rule's limit) on, a word length from 1.36 times its group's.
 FLOORS = (0.12, 0.089, 0.229, 0.31, 0.12)
 QUANTILE = 0.9999
+FEW = 15.0
 BINS_PER_OCTAVE = 16
 
 _SYMBOL = np.zeros(256, bool)
@@ -226,11 +229,15 @@ def judge(docs: DataFrame) -> DataFrame:
     fine = rows.where(judged).groupBy("fine", "coarse").agg(F.count("*").alias("n")).withColumn("own", F.col("n") >= LEAST)
     coarse = fine.where("not own").groupBy("coarse").agg(F.sum("n").alias("rest"))
     parts = fine.join(coarse, "coarse", "left").select(
-        "fine", F.when(F.col("own"), F.col("fine")).when(F.col("rest") >= LEAST, F.col("coarse")).otherwise("all").alias("part")
+        "fine", "n", F.when(F.col("own"), F.col("fine")).when(F.col("rest") >= LEAST, F.col("coarse")).otherwise("all").alias("part")
     )
     parts = tables.table(parts, "parts")
     # rows of no part were all failed by the base rules
-    placed = rows.join(parts, "fine").where(judged).select("part", *VECTOR)
+    placed = rows.join(parts.drop("n"), "fine").where(judged).select("part", *VECTOR)
+    left = parts.where("part = 'all'").agg(F.sum("n").alias("n")).first()["n"] or 0
+    few = 0 < left < LEAST
+    if few:
+        placed = placed.where("part <> 'all'").unionByName(rows.where(judged).select(F.lit("all").alias("part"), *VECTOR))
     spread = [F.percentile_approx(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 200).alias(v) for v in VECTOR]
     n = len(VECTOR)
     start = placed.groupBy("part").agg(*spread)
@@ -248,14 +255,19 @@ def judge(docs: DataFrame) -> DataFrame:
         bins = placed.join(estimate, "part").withColumn("bin", bin_).groupBy("part", "bin").agg(*_moments())
         new = bins.groupBy("part").applyInPandas(_concentrate, "part string, center array<double>, inverse array<double>")
         estimate = tables.table(new, "estimate")
-    sizes = rows.where(judged).join(parts, "fine").groupBy("part").agg(F.count("*").alias("size"))
-    known = tables.table(estimate.join(sizes, "part").where(F.col("size") >= LEAST).drop("size"), "known")
-    cut = _chi_squared(QUANTILE, n)
+    sizes = placed.groupBy("part").agg(F.count("*").alias("size"))
+    wider = 1 + FEW * F.greatest(2 / F.col("size") - 2 / LEAST, F.lit(0.0))
+    known = estimate.join(sizes, "part").select("part", "center", "inverse", (_chi_squared(QUANTILE, n) * wider).alias("cut"))
+    known = tables.table(known, "known")
+    own = F.lit(True) if not few else F.col("part") != "all"
     return (
-        rows.join(parts, "fine", "left")
+        rows.join(parts.drop("n"), "fine", "left")
         .join(known, "part", "left")
         .select(
-            "doc_id", *STATS, "base_failed", F.when(judged, _distance()).alias("distance")
+            "doc_id",
+            *STATS,
+            "base_failed",
+            F.when(judged & own, _distance()).alias("distance"),
+            (~F.col("base_failed") & F.coalesce(_distance() <= F.col("cut"), F.lit(True))).alias("kept"),
         )
-        .withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("distance") <= cut, F.lit(True)))
     )
