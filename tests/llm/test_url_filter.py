@@ -5,6 +5,7 @@ import pytest
 
 from tests.llm import frames
 from threadloom.llm import url_filter
+from threadloom.session import Scratch
 
 PAGES = "page_id long, url string, html string"
 URLS = [
@@ -67,6 +68,16 @@ def test_scores_are_those_of_a_dense_walk(spark):
     assert rows["y.org"]["verdict"] == "block" and rows["n.org"]["verdict"] == "allow"
 
 
+def test_large_webs_settle_per_host(spark, monkeypatch):
+    damping, weight = 0.2, 1e6
+    monkeypatch.setattr(url_filter, "DAMPING", damping)
+    edges = spark.createDataFrame([("trust", "a", "b", 1), ("trust", "b", "a", 1)], "kind string, src string, dst string, n long")
+    seeds = spark.createDataFrame([("trust", "a", weight), ("distrust", "b", 0.0)], "kind string, host string, weight double")
+    made = {r["host"]: r["mass"] for r in url_filter.propagate(edges, seeds, Scratch(spark, "cycle")).collect()}
+    assert made["a"] == pytest.approx(weight / (1 + damping), abs=1e-5)
+    assert made["b"] == pytest.approx(weight * damping / (1 + damping), abs=1e-5)
+
+
 def test_awkward_pages(spark):
     pages = spark.createDataFrame(
         [(None, None, None, "a"), (1, "http://x.org/", None, "b"), (1, "http://x.org/", None, "b"), (2, "http://y.org", "<a href=", "c")],

@@ -10,7 +10,8 @@ and scores are scaled so that an unlinked host has its own seed's weight. A host
 is blocked if its distrust exceeds its trust by more than ``THRESHOLD``.
 
 Edges are summed before they are shuffled, and both propagations share one
-vector table, written between rounds until it moves by less than ``TOLERANCE``.
+vector table, written between rounds until a round moves all scores of a kind
+together by less than ``TOLERANCE``. The damping bounds the rounds that this needs.
 
 A url that is null or has no ``://`` has an empty host and path, fits no rule and
 is allowed. Relative links stay on their host and make no edge. Null html has no
@@ -20,6 +21,7 @@ links. Repeated pages count as often as they occur. An empty table gives no rows
 from __future__ import annotations
 
 from dataclasses import dataclass
+from math import ceil, log
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,7 +31,8 @@ from threadloom.session import Scratch
 DAMPING = 0.85
 THRESHOLD = 0.3
 TOLERANCE = 1e-6
-MAX_ROUNDS = 50
+#: Of the whole mass; sums of doubles settle no further.
+LEAST_MOVE = 1e-12
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _LINK = r"""(?is)<a\s[^>]*?\bhref\s*=\s*["']?\s*(?:https?:)?//([^/?#"'\s>]+)"""
@@ -95,7 +98,10 @@ def propagate(edges: DataFrame, seeds: DataFrame, tables: Scratch) -> DataFrame:
         scale = F.when(F.col("kind") == kind, F.lit(float(value) or 1.0)).otherwise(scale)
     seeds = tables.table(seeds.where("weight > 0").select("kind", "host", (F.col("weight") / scale).alias("seed")), "seeds")
     ranks = tables.table(seeds.select("kind", "host", F.col("seed").alias("mass")), "ranks")
-    for _ in range(MAX_ROUNDS):
+    enough = {kind: max(TOLERANCE / (float(value) or 1.0), LEAST_MOVE) for kind, value in total.items()}
+    # the first move is below 2, and each is at most DAMPING of the one before
+    rounds = 2 + ceil(log(min(enough.values(), default=1.0) / 2) / log(DAMPING))
+    for _ in range(rounds):
         moved = (
             shares.join(ranks, (shares["kind"] == ranks["kind"]) & (shares["src"] == ranks["host"]))
             .select(shares["kind"], F.col("dst").alias("host"), (F.col("mass") * F.col("share")).alias("got"))
@@ -112,16 +118,20 @@ def propagate(edges: DataFrame, seeds: DataFrame, tables: Scratch) -> DataFrame:
             "kind", "host", ((1 - DAMPING) * seed + DAMPING * (got + back * seed)).alias("mass")
         )
         new = tables.table(new, "ranks")
-        change = (
-            new.join(ranks.withColumnRenamed("mass", "was"), ["kind", "host"], "full")
+        change = {
+            r["kind"]: r["change"]
+            for r in new.join(ranks.withColumnRenamed("mass", "was"), ["kind", "host"], "full")
+            .groupBy("kind")
             .agg(F.sum(F.abs(F.coalesce("mass", F.lit(0.0)) - F.coalesce("was", F.lit(0.0)))).alias("change"))
-            .first()["change"]
-        )
+            .collect()
+        }
         tables.drop(ranks)
         tables.drop(moved)
         ranks = new
-        if (change or 0.0) < TOLERANCE:
+        if all(value < enough[kind] for kind, value in change.items()):
             break
+    else:
+        raise RuntimeError(f"trust and distrust still move after {rounds} rounds: {change}")
     return ranks.select("kind", "host", (F.col("mass") * scale).alias("mass"))
 
 
