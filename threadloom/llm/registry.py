@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from threadloom.llm import decontamination, language_model, minhash, mixing, pii, quality_classifier, quality_rules, suffix_dedup, toxicity, url_filter
+from threadloom.llm import decontamination, language_model, line_dedup, minhash, mixing, pii, quality_classifier, quality_rules, suffix_dedup, toxicity, url_filter
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -53,6 +53,10 @@ def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.classify(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
 
 
+def op12_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return line_dedup.digest(_table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_pii": op2_pii,
@@ -64,6 +68,27 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_subword_lattice": op8_subword_lattice,
     "op9_toxicity": op9_toxicity,
     "op10_decontamination": op10_decontamination,
+    "op12_line_dedup": op12_line_dedup,
 }
 
-ORACLES: dict[str, str] = {}
+LINE_DEDUP_SQL = """
+with whole as (
+  select doc_id, string_split(coalesce(text, ''), chr(10)) as lines from documents
+), lines as (
+  select doc_id, unnest(lines) as line, generate_subscripts(lines, 1) as pos from whole
+), keyed as (
+  select doc_id, line, pos, translate(trim(line, concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13))),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as line_key
+  from lines
+), shared as (
+  select line_key, min(doc_id) as head from keyed where length(line_key) >= 10
+  group by line_key having count(distinct doc_id) > 1
+), marked as (
+  select k.doc_id, k.line, k.pos, coalesce(k.doc_id <> s.head, false) as gone
+  from keyed k left join shared s on k.line_key = s.line_key
+)
+select doc_id, count(*) as n_lines, count(*) filter (where gone) as n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) order by pos) filter (where not gone), '')) as kept_sha256
+from marked group by doc_id"""
+
+ORACLES: dict[str, str] = {"op12_line_dedup": LINE_DEDUP_SQL}
