@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from threadloom.llm import conversation_repair, decontamination, language_model, line_dedup, minhash, mixing, pii, quality_classifier, quality_rules, suffix_dedup, toxicity, url_filter
+from threadloom.llm import conversation_repair, decontamination, language_model, line_dedup, minhash, mixing, pii, quality_classifier, quality_rules, suffix_dedup, token_alignment, toxicity, url_filter
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -53,6 +53,10 @@ def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.classify(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
 
 
+def op11_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    return token_alignment.align(_table(spark, folder, "documents"))
+
+
 def op12_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return line_dedup.digest(_table(spark, folder, "documents"))
 
@@ -72,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_subword_lattice": op8_subword_lattice,
     "op9_toxicity": op9_toxicity,
     "op10_decontamination": op10_decontamination,
+    "op11_token_alignment": op11_token_alignment,
     "op12_line_dedup": op12_line_dedup,
     "op13_conversation_repair": op13_conversation_repair,
 }
