@@ -13,7 +13,8 @@ from pyspark.sql import types as T
 
 from threadloom import fixed_values as V
 from threadloom.functions import text as X
-from threadloom.session import at_most, broadcast_if_small, materialize, parallelism
+from threadloom.operators import merge_index
+from threadloom.session import at_most, broadcast_if_small, materialize
 
 WORD_START = "▁"
 MERGES = T.StructType(
@@ -23,7 +24,6 @@ MERGES = T.StructType(
         T.StructField("right", T.StringType()),
     ]
 )
-ROUNDS_PER_CUT = 3
 LARGEST_VOCABULARY = 1_000_000
 CACHED_WORDS = 500_000
 CACHED_TURNS = 20_000
@@ -68,24 +68,6 @@ def pair_counts(symbols: DataFrame) -> DataFrame:
     return _summed(symbols.select(F.explode(adjacent_pairs("spaced")).alias("pair"), "n"))
 
 
-def _merged(form: Column, chosen: list) -> Column:
-    for p in chosen:
-        form = F.replace(form, F.lit(f" {p.left}  {p.right} "), F.lit(f" {p.left}{p.right} "))
-    return form
-
-
-def _recounted(pairs: DataFrame, symbols: DataFrame, chosen: list) -> DataFrame:
-    """Pair counts after the chosen merges, unfolding only the words they touch."""
-    touched = F.lit(False)
-    for p in chosen:
-        touched = touched | F.contains("spaced", F.lit(f" {p.left}  {p.right} "))
-    after = _merged(F.col("spaced"), chosen)
-    words = symbols.filter(touched).select("spaced", after.alias("after"), "n")
-    forms = words.selectExpr("stack(2, spaced, -n, after, n) as (spaced, n)")
-    change = forms.select(F.explode(adjacent_pairs("spaced")).alias("pair"), "n")
-    return _summed(pairs.select(F.struct("left", "right").alias("pair"), "n").union(change))
-
-
 def disjoint_pairs(pairs: list, limit: int) -> list:
     """Top pairs without common symbols, passing over those that share one."""
     seen: set[str] = set()
@@ -128,39 +110,16 @@ def learn_merges(
 
     The most frequent pair is merged first, pair text breaking ties. Several
     merges share a round where that provably changes nothing, so any
-    ``merges_per_round`` gives the same result. Pair counts are carried from
-    round to round: only words that hold a merged pair are unfolded again, and
-    only the top pairs reach the driver. ``strict=False`` needs far fewer rounds
+    ``merges_per_round`` gives the same result. An index from pairs to words
+    lets a round read only the words that hold its pairs (see ``merge_index``);
+    its tables are deleted at the end. ``strict=False`` needs far fewer rounds
     for large vocabularies: it merges all top pairs without common symbols, so
     merges of close counts may swap ranks.
     """
     choose = safe_prefix if strict else disjoint_pairs
-    spark = counts.sparkSession
-    symbols = counts.select(spaced("word").alias("spaced"), "n")
-    symbols = materialize(symbols.repartition(parallelism(spark)), "symbols")
-    pairs = pair_counts(symbols).persist()
-    cached = [pairs]
-    learned: list[tuple[int, str, str]] = []
-    rounds = 0
-    while len(learned) < merges:
-        limit = min(merges_per_round, merges - len(learned))
-        top = pairs.orderBy(F.desc("n"), "left", "right").limit(limit + 1).collect()
-        chosen = choose(top, limit)
-        if not chosen:
-            break
-        learned += [(len(learned) + i, p.left, p.right) for i, p in enumerate(chosen)]
-        pairs = _recounted(pairs, symbols, chosen)
-        symbols = symbols.select(_merged(F.col("spaced"), chosen).alias("spaced"), "n")
-        rounds += 1
-        if rounds % ROUNDS_PER_CUT == 0:
-            pairs, symbols = materialize(pairs, "pairs"), materialize(symbols, "symbols")
-            while cached:
-                cached.pop().unpersist()
-        pairs = pairs.persist()
-        cached.append(pairs)
-    for frame in cached:
-        frame.unpersist()
-    return spark.createDataFrame(learned, MERGES)
+    learned = merge_index.learn(counts, merges, merges_per_round, choose)
+    rows = [(rank, left, right) for rank, (left, right) in enumerate(learned)]
+    return counts.sparkSession.createDataFrame(rows, MERGES)
 
 
 def character_counts(counts: DataFrame) -> DataFrame:
