@@ -1,15 +1,18 @@
 """Learning byte-pair merges with an index from pairs to the words that hold them.
 
 Words never change: a word's symbols at any time follow from the merges so far.
-An index row (left, right, word, n) says that the word holds, or once held, the
-pair side by side. Index tables are sorted by pair, so that a round reads the
-rows of its own pairs only, works out those words anew, and adds the rows of
-pairs that came to be. Sixteen tables of a level become one of the next.
+The index has a row for each word and each two letters side by side in it. Two
+symbols can only meet at such a junction, the last letter of one and the first of
+the other, so a round reads the index rows of its pairs' junctions, keeps the words
+that hold the pairs' letters in a row, replays those words, and sends what changed
+as counts per pair of symbols. Nothing is written in a round.
+
+Index files are dealt by word and sorted by junction: each task has its share
+of every junction, however frequent, and skips the pages of all others.
 
 The driver holds the most frequent pairs with exact counts and a bound that no
-other pair exceeds, both kept up by the count changes each round sends (rows
-per pair of symbols, not per word). When the bound no longer tells pairs
-apart, the top is read again from the written counts.
+other pair exceeds, both kept up by the count changes. When the bound no longer
+tells pairs apart, the top is read again from the written counts.
 """
 
 from __future__ import annotations
@@ -27,10 +30,10 @@ from pyspark.sql import functions as F
 from threadloom.session import Scratch, parallelism, scratch
 
 TRACKED = 65_536
-FAN = 16
+INDEX_BYTES = 64 << 20
 #: Merges up to which all words of a batch are replayed at once, one replacement per merge.
 REPLACED = 256
-_ROWS = "left string, right string, word string, n long, change int, fresh boolean"
+_CHANGES = "left string, right string, change long"
 
 
 class Pair(NamedTuple):
@@ -99,7 +102,7 @@ def _pairs_of(forms: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
 
 
 def _changes(words: pa.Array, n: pa.Array, old: list, new: list) -> pa.RecordBatch:
-    """What the new merges change in each word: pairs with their change in number."""
+    """What the new merges change in the words: pairs with the change of their count."""
     before = _forms(words, old)
     after = _merged(before, new)
     touched = pc.not_equal(before, after)
@@ -111,77 +114,52 @@ def _changes(words: pa.Array, n: pa.Array, old: list, new: list) -> pa.RecordBat
     is_after = np.repeat([False, True], [len(s) for s, _, _ in sides])
     inside = (owner[1:] == owner[:-1]) & (is_after[1:] == is_after[:-1])
     d = max(1, len(names))
-    key = ((owner[:-1] * d + codes[:-1]) * d + codes[1:])[inside]
-    found, at = np.unique(key, return_inverse=True)
-    late = is_after[:-1][inside]
-    had = np.bincount(at[~late], minlength=len(found))
-    change = np.bincount(at[late], minlength=len(found)) - had
-    moved = change != 0
-    found, had, change = found[moved], had[moved], change[moved]
-    word = pa.array(found // (d * d))
+    key = (codes[:-1] * d + codes[1:])[inside]
+    weight = n.to_numpy(zero_copy_only=False).astype(np.int64)[owner[:-1][inside]]
+    weight = np.where(is_after[:-1][inside], weight, -weight)
+    order = np.argsort(key, kind="stable")
+    key, weight = key[order], weight[order]
+    starts = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+    found, change = key[starts], np.add.reduceat(weight, starts) if len(key) else weight
+    found, change = found[change != 0], change[change != 0]
     return pa.record_batch(
-        [
-            names.take(pa.array(found // d % d)),
-            names.take(pa.array(found % d)),
-            words.take(word),
-            n.take(word),
-            pa.array(change, pa.int32()),
-            pa.array((had == 0) & (change > 0)),
-        ],
-        ["left", "right", "word", "n", "change", "fresh"],
+        [names.take(pa.array(found // d)), names.take(pa.array(found % d)), pa.array(change, pa.int64())],
+        ["left", "right", "change"],
     )
 
 
 # --- the index -----------------------------------------------------------------------
 
 
-def _is_one_of(pairs: list[tuple[str, str]]):
-    chosen = F.lit(False)
-    for left, right in pairs:
-        chosen = chosen | ((F.col("left") == F.lit(left)) & (F.col("right") == F.lit(right)))
-    return chosen
-
-
-class _Index:
-    """Index tables by level; a level's tables become one of the next when there are ``FAN``."""
-
-    def __init__(self, words: DataFrame, tables: Scratch) -> None:
-        self.tables, self.tasks = tables, parallelism(words.sparkSession)
-        letters = "transform(sequence(1, length(word) - 1), i -> struct(substring(word, i, 1) as left, substring(word, i + 1, 1) as right))"
-        rows = words.filter("length(word) > 1").select(F.explode(F.array_distinct(F.expr(letters))).alias("pair"), "word", "n")
-        self.levels: list[list[DataFrame]] = [[self._sorted(rows.select("pair.*", "word", "n"))]]
-
-    def _sorted(self, rows: DataFrame) -> DataFrame:
-        """Written by range of pair and word, so that a frequent pair is in many files."""
-        dealt = rows.repartitionByRange(self.tasks, "left", "right", "word")
-        return self.tables.table(dealt.sortWithinPartitions("left", "right"), "index")
-
-    def words_of(self, pairs: list[tuple[str, str]]) -> DataFrame:
-        """``(word, n)`` of each word under any of the pairs, once."""
-        held = None
-        for table in (t for level in self.levels for t in level):
-            some = table.filter(_is_one_of(pairs)).select("word", "n")
-            held = some if held is None else held.union(some)
-        return held.dropDuplicates(["word"])
-
-    def add(self, rows: DataFrame) -> None:
-        if len(self.levels) == 1:
-            self.levels.append([])
-        self.levels[1].append(rows)
-        k = 1
-        while len(self.levels[k]) >= FAN:
-            full = self.levels[k]
-            whole = full[0]
-            for table in full[1:]:
-                whole = whole.union(table)
-            made = self._sorted(whole)
-            for table in full:
-                self.tables.drop(table)
-            self.levels[k] = []
-            if len(self.levels) == k + 1:
-                self.levels.append([])
-            self.levels[k + 1].append(made)
-            k += 1
+_LETTERS = (
+    "transform(sequence(1, length(word) - 1),"
+    " i -> struct(substring(word, i, 1) as left, substring(word, i + 1, 1) as right))"
+)
+
+
+def _written(words: DataFrame, tables: Scratch) -> DataFrame:
+    """Rows (left, right, word, n): words under their junctions, sorted by these within each file."""
+    size = words.agg(F.sum(F.length("word").cast("long") * (F.length("word") + 12))).first()[0] or 0
+    tasks = max(parallelism(words.sparkSession), -(-size // INDEX_BYTES))
+    rows = words.repartition(tasks, "word").filter("length(word) > 1")
+    rows = rows.select(F.explode(F.array_distinct(F.expr(_LETTERS))).alias("pair"), "word", "n")
+    return tables.table(rows.select("pair.*", "word", "n").sortWithinPartitions("left", "right"), "index")
+
+
+def _words_of(index: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
+    """``(word, n)`` of every word that holds the letters of one of the pairs in a row, once."""
+    junctions = list(dict.fromkeys((left[-1], right[0]) for left, right in pairs))
+    some = F.lit(False)
+    for left, right in junctions:
+        some = some | ((F.col("left") == F.lit(left)) & (F.col("right") == F.lit(right)))
+    # a word under several junctions is read at that of the first pair it holds
+    place = F.lit(-1)
+    for left, right in reversed(pairs):
+        place = F.when(F.contains("word", F.lit(left + right)), junctions.index((left[-1], right[0]))).otherwise(place)
+    here = F.lit(-2)
+    for k, (left, right) in enumerate(junctions):
+        here = F.when((F.col("left") == F.lit(left)) & (F.col("right") == F.lit(right)), k).otherwise(here)
+    return index.filter(some).filter(place == here).select("word", "n")
 
 
 class _Top:
@@ -252,29 +230,27 @@ def learn(
     learned: list[tuple[str, str]] = []
     symbols: set[str] = set()
     with scratch(spark, "merges") as tables:
-        words = tables.table(counts.select("word", "n").repartition(parallelism(spark), "word"), "words")
-        index = _Index(words, tables)
-        letters = "transform(sequence(1, length(word) - 1), i -> struct(substring(word, i, 1) as left, substring(word, i + 1, 1) as right))"
-        single = words.filter("length(word) > 1").select(F.explode(F.expr(letters)).alias("pair"), "n")
-        top = _Top(single.groupBy("pair").agg(F.sum("n").alias("n")).select("pair.left", "pair.right", "n"), tables, tracked)
+        words = tables.table(counts.select("word", "n"), "words")
+        index = _written(words, tables)
+        single = words.filter("length(word) > 1").select(F.explode(F.expr(_LETTERS)).alias("pair"), "n")
+        summed = single.groupBy("pair").agg(F.sum("n").alias("n")).select("pair.left", "pair.right", "n")
+        top = _Top(summed, tables, tracked)
         while len(learned) < merges:
             limit = min(per_round, merges - len(learned))
             new = [(p.left, p.right) for p in choose(top.first(limit + 1), limit)]
-            if not new:
-                break
             old = list(learned)
             learned += new
-            if len(learned) >= merges:
+            if not new or len(learned) >= merges:
                 break
 
             def update(batches: Iterator[pa.RecordBatch], old=old, new=new) -> Iterator[pa.RecordBatch]:
                 for batch in batches:
                     yield _changes(batch.column(0), batch.column(1), old, new)
 
-            rows = tables.table(index.words_of(new).mapInArrow(update, _ROWS), "round")
-            changes = rows.groupBy("left", "right").agg(F.sum(F.col("n") * F.col("change")).alias("change"))
-            made = {a + b for a, b in new}
-            top.move(changes.filter("change != 0").collect(), made - symbols)
+            sent = _words_of(index, new).mapInArrow(update, _CHANGES)
+            changes = sent.groupBy("left", "right").agg(F.sum("change").alias("change")).filter("change != 0")
+            made = {left + right for left, right in new}
+            # rows per pair of symbols that a merge touches: bounded by the vocabulary
+            top.move(changes.collect(), made - symbols)
             symbols |= made
-            index.add(rows.filter("fresh").select("left", "right", "word", "n"))
     return learned
