@@ -96,14 +96,14 @@ def unpack_lines(lines: DataFrame, length: int = V.SEQUENCE_LENGTH) -> DataFrame
     return with_ids.withColumns(parts).withColumn("bad_record", bad).drop("all_ids", "line")
 
 
-def _digest(seed: int, *key: Column | str) -> Column:
+def order_digest(seed: int, *key: Column | str) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), *[X._col(k).cast("string") for k in key]))
 
 
 def is_test(key: Column | str, rate: float = V.TEST_RATE, seed: int = V.SPLIT_SEED) -> Column:
     """True for about ``rate`` of the keys, always the same ones."""
     bar = format(math.ceil(rate * 2**32), "08x")
-    return F.substring(_digest(seed, key), 1, 8) < F.lit(bar)
+    return F.substring(order_digest(seed, key), 1, 8) < F.lit(bar)
 
 
 def assign_split(
@@ -128,7 +128,7 @@ def batch_feed(
     batch of a bucket may be short. Another ``epoch`` gives another order, and
     so does another number of ``buckets``, which never follows the row count.
     """
-    digest = _digest(seed, F.lit(epoch), key)
+    digest = order_digest(seed, F.lit(epoch), key)
     bucket = (F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % buckets).alias("bucket")
     order = Window.partitionBy("bucket").orderBy("digest", key)
     numbered = rows.withColumns({"digest": digest, "bucket": bucket}).withColumn(
