@@ -66,6 +66,27 @@ select event_id as tweet_id,
        when event_id % 4 = 2 then event_id - 2 else event_id - 1 end as in_response_to_tweet_id
 from events"""
 
+# Chains of 500 messages, rings of 50, and chains of 450 below each ring.
+RINGS = """
+select event_id as tweet_id,
+  case when event_id % 1000 = 0 then null
+       when event_id % 1000 = 500 then event_id + 49
+       else event_id - 1 end as in_response_to_tweet_id
+from events"""
+
+# Conversation turns with placeholders beside and inside their words.
+MARKED_TURNS = """
+select conv_id*1000+turn as tweet_id,
+  concat(text, case turn % 3 when 0 then ' <url>' when 1 then '<usr> ok' else '' end) as text
+from conversations"""
+
+# Messages of few groups, some of them large.
+CROWDS = """
+select event_type as context, concat('u', cast(user_id % 3 as {S})) as author_id,
+  event_id {div} 5000 as next, event_id % 7 as rpos, event_id as tweet_id,
+  concat(event_type, ' ', cast(event_id as {S})) as text
+from events"""
+
 SCORE_ITEMS = """
 select vec_id {div} 64 as batch_id, (vec_id % 64) {div} 2 as slot,
   vec_id % 2 = 0 as is_context, vec_id, embedding

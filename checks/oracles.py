@@ -554,3 +554,95 @@ where regexp_matches(character, '^[\p{{L}}\p{{N}}]$')"""
 ORACLES["embeddings_sink"] = f"select vec_id as id, {MILLIONTHS} as vector from embeddings"
 ORACLES["sql_view"] = f"""with {messages(D.LINEAR_GRAPH)}
 select author_id, count(*) as n from msgs group by author_id"""
+
+
+# --- unigram pieces, digits, positions and chains -------------------------------
+
+SEEDS_SQL = rf"""{{words}},
+subs as (select substring(word, i, l) as piece, n
+  from (select word, n, i, unnest(range(1, least({{longest}}, length(word) - i + 1) + 1)) as l
+        from (select word, n, unnest(range(1, length(word) + 1)) as i from words))),
+summed as (select piece, sum(n)::bigint as n, (sum(n) * length(piece))::bigint as gain
+  from subs group by piece),
+seeds as materialized (select * from summed where length(piece) = 1
+  union all select * from (select * from summed where length(piece) > 1 and n > 1
+    order by gain desc, piece limit {{size}}))""".format(
+    words=f"""marked as materialized ({D.on_duckdb(D.MARKED_TURNS)}),
+""" + WORDS.replace("from documents", "from marked"),
+    longest=6,
+    size=300,
+)
+PROTECTED = [p.strip() for p in V.PLACEHOLDERS if p.strip()]
+FIXED_ENTRIES = ", ".join(
+    [f"(0, {i}, {q(t)}, 0)" for i, t in enumerate(V.BASE_SPECIALS)]
+    + [f"(1, {i}, {q(t)}, 0)" for i, t in enumerate(PROTECTED)]
+)
+UNIGRAM_SQL = f"""{SEEDS_SQL},
+scored as (select piece, round(ln(gain / (select sum(gain) from seeds)) * 1000000)::bigint as score
+  from seeds),
+vocab as materialized (select subword, row_number() over (order by kind, place, subword) - 1 as id, score
+  from (select * from (values {FIXED_ENTRIES}) t(kind, place, subword, score)
+        union all select 2, -score, piece, score from scored
+          where piece not in ({", ".join(q(t) for t in [*V.BASE_SPECIALS, *PROTECTED])})))"""
+ORACLES["unigram_seeds"] = f"with {SEEDS_SQL} select piece, n, gain from seeds"
+ORACLES["unigram_vocabulary"] = f"with {UNIGRAM_SQL} select subword, id, score from vocab"
+
+# The best segmentation of a word, end by end; of equal scores the longest last piece.
+MARK = "chr(2)"
+ORACLES["digit_sentences"] = f"""with recursive {UNIGRAM_SQL},
+pieces as materialized (select subword as piece, id, score from vocab where id >= {len(V.BASE_SPECIALS) + len(PROTECTED)}),
+vit(word, e, best, path) as (
+  select word, 0, [0::bigint], [''] from words
+  union all
+  select p.word, p.e + 1,
+    list_append(any_value(p.best), max(p.best[p.e + 2 - l] + v.score)),
+    list_append(any_value(p.path), arg_max(p.path[p.e + 2 - l] || ' ' || v.id,
+      (p.best[p.e + 2 - l] + v.score) * 100 + l))
+  from vit p cross join (select unnest(range(1, 7)) as l) s
+  join pieces v on v.piece = substring(p.word, p.e + 2 - l, l)
+  where l <= p.e + 1 and p.e < length(p.word)
+  group by p.word, p.e),
+coded as materialized (select word, path[e + 1] as ids from vit where e = length(word)),
+items as (select tweet_id, item, place
+  from (select tweet_id, unnest(i) as item, unnest(range(len(i))) as place
+    from (select tweet_id, string_split_regex(regexp_replace(text, {q("(" + TOKEN + ")")},
+      ' ' || chr(2) || '\\1 ', 'g'), '[ \n]+') as i from marked)) where item <> ''),
+bits as (
+  select tweet_id, place, ids from items join coded on coded.word = '▁' || item where not starts_with(item, chr(2))
+  union all
+  select tweet_id, place, ' ' || coalesce(v.id, 0) from items left join vocab v
+    on v.subword = item[2:] and v.id between {len(V.BASE_SPECIALS)} and {len(V.BASE_SPECIALS) + len(PROTECTED) - 1}
+    where starts_with(item, chr(2))),
+whole as (select tweet_id, string_agg(ids, '' order by place) as ids from bits group by tweet_id)
+select tweet_id, '1' || coalesce(ids, '') || ' 2' as sentence from marked left join whole using (tweet_id)"""
+ORACLES["noise_table"] = f"""with {messages(D.LINEAR_GRAPH)},
+tokens as (select unnest(list_transform(string_split(text, ' '), lambda w: length(w))) as token from msgs),
+counts as (select token, count(*) as n from tokens group by token)
+select token, n, round(pow(n, 0.75) / (select sum(pow(n, 0.75)) from counts), 9) as share from counts"""
+FEED_SQL = """select event_id, place // 32 as batch_no, place % 32 as slot from (
+  select event_id, row_number() over (order by md5('1234:{epoch}:' || event_id), event_id) - 1 as place
+  from events)"""
+ORACLES["batch_feed_global"] = FEED_SQL.format(epoch=0)
+ORACLES["batch_feed_resumed"] = FEED_SQL.format(epoch=3) + " where place // 32 >= 10"
+ORACLES["running_parts"] = """select conv_id, (i - 1) // 3 as part,
+  string_agg(coalesce(role, ' '), ',' order by i) as roles
+from (select *, row_number() over (partition by conv_id order by turn) as i from conversations)
+group by conv_id, (i - 1) // 3"""
+ORACLES["fan_in_parts"] = f"""select context, author_id, next, (i - 1) // 50 as part,
+  min(rpos) as rpos, string_agg(tweet_id::varchar, ',' order by i) as tweet_ids,
+  string_agg(text, ' ' order by i) as text
+from (select *, row_number() over (partition by context, author_id, next order by rpos, tweet_id) as i
+      from ({D.on_duckdb(D.CROWDS)}))
+group by context, author_id, next, (i - 1) // 50"""
+RINGS_SQL = f"""with recursive g as materialized (select tweet_id, in_response_to_tweet_id as up
+  from ({D.on_duckdb(D.RINGS)})),
+down as (select tweet_id, tweet_id as root, 0::bigint as depth from g
+    where up is null or up not in (select tweet_id from g)
+  union all select g.tweet_id, d.root, d.depth + 1 from g join down d on g.up = d.tweet_id)"""
+ORACLES["reply_depths"] = RINGS_SQL + " select tweet_id, root, depth from down"
+ORACLES["reply_cycles"] = RINGS_SQL + """,
+rest as materialized (select * from g where tweet_id not in (select tweet_id from down)),
+ringed as (select tweet_id as start, up as here, least(tweet_id, up) as low, 1 as steps from rest
+  union all select start, g.up, least(low, g.up), steps + 1 from ringed join g on g.tweet_id = here
+    where here <> start and steps < 1000)
+select start as tweet_id, low as root from ringed where here = start"""

@@ -13,16 +13,21 @@ from threadloom.functions import arrays as A
 from threadloom.functions import text as X
 from threadloom.operators import (
     authors,
+    cbow,
     embeddings,
     fan_in,
     gates,
     metrics,
     mining,
+    numbering,
     packing,
     ranking,
     rehydrate,
+    reply_chains,
     stats,
     subwords,
+    unigram,
+    word_encoding,
 )
 from threadloom.plans import prepare
 from threadloom.session import fresh_path, materialize
@@ -145,6 +150,26 @@ def fan_in_merge(spark, sf_dir):
     return merged.select("author_id", "next", "rpos", *flat("tweet_ids", sep=","), "text")
 
 
+@query
+def fan_in_parts(spark, sf_dir):
+    """Large groups of messages merged in parts of bounded size."""
+    parts = numbering.merged_parts(D.derive(spark, sf_dir, D.CROWDS), part=CROWD)
+    return parts.select(
+        "context", "author_id", "next", "part", "rpos", *flat("tweet_ids", sep=","), "text"
+    )
+
+
+@query
+def reply_depths(spark, sf_dir):
+    """Roots and depths of chains far longer than any walk goes."""
+    return reply_chains.reply_depths(D.derive(spark, sf_dir, D.RINGS))
+
+
+@query
+def reply_cycles(spark, sf_dir):
+    return reply_chains.reply_cycles(D.derive(spark, sf_dir, D.RINGS))
+
+
 def _paths_out(paths: DataFrame) -> DataFrame:
     context = F.array_join(F.transform("context", lambda ids: F.array_join(ids, "+")), ",")
     return paths.select(
@@ -310,6 +335,14 @@ def running_lists(spark, sf_dir):
     )
 
 
+@query
+def running_parts(spark, sf_dir):
+    """Roles of every conversation in order, in lists of three."""
+    turns = D.table(spark, sf_dir, "conversations")
+    parts = numbering.list_parts(turns, ["conv_id"], ["turn"], ["role"], part=3)
+    return parts.select("conv_id", "part", F.array_join("role", ",", " ").alias("roles"))
+
+
 @query
 def top_texts(spark, sf_dir):
     documents = D.table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars")
@@ -419,6 +452,69 @@ def decode_ids(spark, sf_dir):
     return subwords.decode_ids(ids, vocab, "tweet_id")
 
 
+SEEDS = 300
+LONGEST_SEED = 6
+CROWD = 50
+
+
+def _seeds(spark, sf_dir) -> DataFrame:
+    counts = subwords.word_counts(D.derive(spark, sf_dir, D.MARKED_TURNS))
+    return unigram.seed_pieces(materialize(counts, "words"), SEEDS, LONGEST_SEED)
+
+
+@query
+def unigram_seeds(spark, sf_dir):
+    """Characters and best substrings of the words of all turns."""
+    return _seeds(spark, sf_dir)
+
+
+@query
+def learn_unigram(spark, sf_dir):
+    """A unigram vocabulary of the usual 8,000 entries, learned from all turns."""
+    counts = subwords.word_counts(D.derive(spark, sf_dir, D.MARKED_TURNS))
+    return unigram.learn_unigram_vocabulary(materialize(counts, "words"))
+
+
+def _seed_vocabulary(spark, sf_dir) -> DataFrame:
+    """Seeds with the scores that learning starts from."""
+    seeds = materialize(_seeds(spark, sf_dir), "seeds")
+    total = seeds.agg(F.sum("gain").alias("total"))
+    score = F.round(F.log(F.col("gain") / F.col("total")) * unigram.MICRO).cast("long")
+    pieces = seeds.crossJoin(F.broadcast(total)).select("piece", score.alias("score"))
+    return materialize(unigram.unigram_vocabulary(pieces), "vocabulary")
+
+
+@query
+def unigram_vocabulary(spark, sf_dir):
+    return _seed_vocabulary(spark, sf_dir)
+
+
+def _digits(spark, sf_dir) -> DataFrame:
+    turns = D.derive(spark, sf_dir, D.MARKED_TURNS)
+    return word_encoding.digit_sentences(turns, _seed_vocabulary(spark, sf_dir), "tweet_id")
+
+
+@query
+def digit_sentences(spark, sf_dir):
+    """Raw turns as digit strings of their best segmentations."""
+    return _digits(spark, sf_dir).select("tweet_id", *flat("sentence", sep=" "))
+
+
+@query
+def noise_table(spark, sf_dir):
+    """How likely each word length of all turns is drawn as noise."""
+    counts = cbow.token_counts(_turn_sizes(spark, sf_dir), "ids")
+    return rounded(cbow.noise_table(counts), "share", digits=9)
+
+
+@query
+def cbow_vectors(spark, sf_dir):
+    """Vectors trained on the digit sentences of all turns, all numbers of a vector as text."""
+    sentences = materialize(_digits(spark, sf_dir).select("sentence"), "digits")
+    found = cbow.train_cbow(sentences, settings=cbow.Settings(dim=16, epochs=2))
+    return found.select("token", "n", *flat("vector", sep=" "))
+
+
 # --- packing ----------------------------------------------------------------
 
 
@@ -482,6 +578,20 @@ def batch_feed(spark, sf_dir):
     return packing.batch_feed(events, "event_id", buckets=8)
 
 
+@query
+def batch_feed_global(spark, sf_dir):
+    """All events in one random order, in full batches but for the last."""
+    events = D.table(spark, sf_dir, "events").select("event_id")
+    return numbering.global_feed(events, "event_id")
+
+
+@query
+def batch_feed_resumed(spark, sf_dir):
+    """The same feed in another epoch, from its tenth batch on."""
+    events = D.table(spark, sf_dir, "events").select("event_id")
+    return numbering.global_feed(events, "event_id", epoch=3, start_batch=10)
+
+
 @query
 def prepared_splits(spark, sf_dir):
     """Messages to packed rows with their split, all steps at once."""
