@@ -13,8 +13,6 @@ from pyspark.sql import functions as F
 
 from threadloom.session import Scratch
 
-_STATE = ["tweet_id", "up", "steps", "rooted", "least"]
-
 
 def _jumped(open_: DataFrame, state: DataFrame) -> DataFrame:
     """One round: open pointers move to where their targets point."""
@@ -49,20 +47,18 @@ def reply_chains(messages: DataFrame, parent: str = "in_response_to_tweet_id", t
         F.col("known").isNull().alias("rooted"),
         F.when(F.col("known"), F.least("tweet_id", "up")).otherwise(F.col("tweet_id")).alias("least"),
     )
-    done = tables.table(start.filter("rooted"), "rooted")
-    parts, open_, span = [done], tables.table(start.filter("not rooted"), "open"), 1
-    left = open_.count()
+    # a round's table holds the pointers that were open; what got a root in it stays as it is
+    parts, span = [tables.table(start, "start")], 1
+    left = parts[0].filter("not rooted").count()
     while left and span < 2 * left:
-        state = open_
-        for rows in parts:
-            state = state.unionByName(rows)
-        moved = tables.table(_jumped(open_, state), "moved")
-        tables.drop(open_)
-        parts.append(moved.filter("rooted"))
-        open_, span = moved.filter("not rooted"), 2 * span
-        left = open_.count()
-        if left:
-            open_ = tables.table(open_, "open")
+        state = parts[-1]
+        for rows in parts[:-1]:
+            state = state.unionByName(rows.filter("rooted"))
+        moved = tables.table(_jumped(parts[-1].filter("not rooted"), state), "moved")
+        parts.append(moved)
+        span, left = 2 * span, moved.filter("not rooted").count()
+    open_ = parts[-1].filter("not rooted")
+    parts = [rows.filter("rooted") for rows in parts]
     found = parts[0]
     for rows in parts[1:]:
         found = found.unionByName(rows)
