@@ -98,3 +98,63 @@ def test_awkward_rows(spark):
     assert dc.leaks(frames.empty(spark), items).count() == 0
     assert dc.leaks(docs, frames.empty(spark, "item_id long, text string")).count() == 0
     assert dc.without_leaks(docs, frames.empty(spark, "item_id long, text string")).count() == docs.count()
+
+
+def test_a_long_item_of_which_a_text_holds_a_part_is_no_leak(spark):
+    rng = random.Random(21)
+    item = frames.words(rng, 6_700, 4_000)
+    assert len(item) > 33_000
+    docs = frames.documents(spark, [item[:9_600], "x " + edit(rng, item, 300) + " y", frames.words(rng, 50)])
+    rows = dc.leaks(docs, bench(spark, [item])).collect()
+    assert [r["doc_id"] for r in rows] == [1]
+    assert 0 <= rows[0]["edits"] <= 300
+    assert [r["doc_id"] for r in dc.without_leaks(docs, bench(spark, [item])).orderBy("doc_id").collect()] == [0, 2]
+
+
+def test_edits_of_long_items_do_not_overflow():
+    item, window = np.full(70_000, 1, np.uint8), np.full(70_100, 2, np.uint8)
+    edits, _ = dc._align([item], [window], np.array([100_000]))
+    assert edits[0] == 70_000
+    assert dc._align([item], [window], np.array([50]))[0][0] == 51
+
+
+def test_pairs_per_diagonal():
+    rng = np.random.default_rng(3)
+    text, item = np.sort(rng.choice(3_000, 900, False)), np.sort(rng.choice(700, 200, False))
+    at, n = dc._pairs_per_diagonal(text, item)
+    wanted, count = np.unique(text[:, None] - item[None], return_counts=True)
+    assert np.array_equal(at, wanted) and np.array_equal(n, count)
+
+
+@pytest.mark.parametrize("unfolded", [50, 1 << 20])
+def test_repeated_grams_are_counted_alike(monkeypatch, unfolded):
+    """The bound on unfolded pairs changes no cell."""
+    rng = random.Random(5)
+    items = dc.index([(0, "ab " * 40 + frames.words(rng, 20)), (1, frames.words(rng, 30) + " " * 60)])
+    text = ("ab " * 300 + frames.words(rng, 40) + " " * 400 + items.texts[0].tobytes().decode()).encode()
+    data = np.frombuffer(text * 2, np.uint8)
+    chunk = dc.Chunk(0, data, np.array([0, len(text), 2 * len(text)]))
+    whole = [sorted(zip(*x)) for x in [dc._candidates(chunk, data, items)]]
+    monkeypatch.setattr(dc, "_UNFOLDED", unfolded)
+    assert [sorted(zip(*x)) for x in [dc._candidates(chunk, data, items)]] == whole
+    assert whole[0]
+
+
+def test_a_text_of_blanks_against_an_item_of_blanks():
+    import tracemalloc
+
+    items = dc.index([(0, " " * 2_000)])
+    data = np.full(1 << 20, 32, np.uint8)
+    tracemalloc.start()
+    found = dc._candidates(dc.Chunk(0, data, np.array([0, len(data)])), data, items)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(found[0]) > 1_000 and peak < 600 << 20
+
+
+def test_items_under_q_bytes_match_texts_that_are_the_item(spark):
+    docs = frames.documents(spark, ["Yes.\n", "yes. and more", " 42", "42", "", None])
+    items = bench(spark, ["yes.", "42", " ", "x"])
+    got = sorted((r["doc_id"], r["item_id"], r["edits"]) for r in dc.leaks(docs, items).collect())
+    assert got == [(0, 0, 0), (2, 1, 0), (3, 1, 0)]
+    assert sorted(r["doc_id"] for r in dc.without_leaks(docs, items).collect()) == [1, 4, 5]

@@ -13,8 +13,13 @@ The items are sent to every task in blocks of at most ``BLOCK_BYTES``, one scan
 of the documents per block; the documents are never shuffled.
 
 For short items the budget is cut until the bound is at least ``LEAST`` shared
-q-grams; an item under ``q`` bytes has none and cannot be told from chance, so
-it matches nothing. Null or empty items and texts match nothing. Repeated
+q-grams. An item under ``q`` bytes has none and stands in texts by chance, so it
+matches only a text that is the item, blanks at the ends and ASCII case aside.
+Hits are unfolded a bounded number at a time; where a q-gram is so frequent in a
+text and an item that its pairs outnumber both by far, pairs per diagonal are
+counted by a convolution. Alignments hold a bounded number of window bytes (or one
+item), and leave a window as soon as it is above the budget. Clashing names of
+other columns do no harm; an empty table leaks nothing. Null or empty items and texts match nothing. Repeated
 documents, and repeated items, each give their own rows. Texts are whole.
 """
 
@@ -36,6 +41,9 @@ LEAST = 4
 BLOCK_BYTES = 8 << 20
 _FILTER_BITS = 22
 _GROUP = 256
+_GROUP_BYTES = 4 << 20
+_UNFOLDED = 1 << 20
+_BLANKS = b" \t\n\x0b\x0c\r"
 
 
 def budget(size: int) -> int:
@@ -56,6 +64,11 @@ class Items:
     item: np.ndarray
     place: np.ndarray
     known: np.ndarray
+    short: dict[bytes, list]
+
+
+def _bare(text: bytes) -> bytes:
+    return text.strip(_BLANKS).lower()
 
 
 def _codes(data: np.ndarray) -> np.ndarray:
@@ -72,7 +85,12 @@ def _slot(codes: np.ndarray) -> np.ndarray:
 
 
 def index(rows: list[tuple]) -> Items:
-    """Index of (id, text) rows whose texts are at least q bytes."""
+    """Index of (id, text) rows; texts under q bytes are kept by themselves."""
+    short: dict[bytes, list] = {}
+    for i, text in rows:
+        if len(text.encode()) < Q and _bare(text.encode()):
+            short.setdefault(_bare(text.encode()), []).append(i)
+    rows = [r for r in rows if len(r[1].encode()) >= Q]
     texts = [lower_ascii(np.frombuffer(text.encode(), np.uint8)) for _, text in rows]
     sizes = np.array([len(t) for t in texts], np.int64)
     budgets = np.array([budget(n) for n in sizes], np.int64)
@@ -86,7 +104,7 @@ def index(rows: list[tuple]) -> Items:
     known[_slot(grams)] = True
     bounds = np.maximum(1, sizes + 1 - Q - budgets * Q)
     return Items(
-        [i for i, _ in rows], texts, budgets, bounds, grams, np.append(first, len(code)), item[order], place[order], known
+        [i for i, _ in rows], texts, budgets, bounds, grams, np.append(first, len(code)), item[order], place[order], known, short
     )
 
 
@@ -104,18 +122,9 @@ def _candidates(chunk: Chunk, data: np.ndarray, items: Items) -> tuple[np.ndarra
     at, found, doc = at[inside], found[inside], doc[inside]
     if not len(at):
         return none, none, none
-    often = items.first[found + 1] - items.first[found]
-    which = np.arange(often.sum()) - np.repeat(np.cumsum(often) - often, often) + np.repeat(items.first[found], often)
-    item = items.item[which]
     longest = max(len(t) for t in items.texts)
-    # diagonals start from the document's own beginning, moved up so that none is negative
-    diagonal = np.repeat(at - chunk.offsets[doc], often) - items.place[which] + longest
-    cell = diagonal // (items.budgets[item] + 1)
-    doc = np.repeat(doc, often)
-    top = int(cell.max(initial=0)) + 3
-    key = np.sort((item * chunk.n + doc) * top + cell + 1)
-    new = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-    key, count = key[new], np.diff(np.append(new, len(key)))
+    top = int(np.diff(chunk.offsets).max()) + longest + 3
+    key, count = _counted_cells(chunk, items, at - chunk.offsets[doc], found, doc, longest, top)
     # the band from each cell on, and the band before a cell that follows none
     beside = np.append(key[1:] == key[:-1] + 1, False)
     total = count + np.where(beside, np.append(count[1:], 0), 0)
@@ -127,10 +136,83 @@ def _candidates(chunk: Chunk, data: np.ndarray, items: Items) -> tuple[np.ndarra
     return doc[good], item[good], cell[good]
 
 
-def _align(items: list[np.ndarray], windows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+def _added(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct ascending keys and their summed counts."""
+    key, count = np.concatenate(keys), np.concatenate(counts)
+    order = np.argsort(key, kind="stable")
+    key, count = key[order], count[order]
+    starts = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+    return key[starts], np.add.reduceat(count, starts) if len(key) else count
+
+
+def _counted_cells(
+    chunk: Chunk, items: Items, place: np.ndarray, gram: np.ndarray, doc: np.ndarray, longest: int, top: int
+) -> tuple[np.ndarray, np.ndarray]:
+    """Keys (item, document, cell + 1) and how many q-gram pairs fall into each cell.
+
+    Diagonals start from the document's own beginning, moved up by ``longest`` so
+    that none is negative.
+    """
+    keys, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    often = items.first[gram + 1] - items.first[gram]
+    # how often this q-gram stands in this document
+    order = np.lexsort((doc, gram))
+    new = np.flatnonzero(np.append(True, (gram[order][1:] != gram[order][:-1]) | (doc[order][1:] != doc[order][:-1])))
+    runs = np.diff(np.append(new, len(order)))
+    heavy = runs * often[order][new] > _UNFOLDED
+    for begin, n in zip(new[heavy], runs[heavy], strict=True):
+        hits = order[begin : begin + n]
+        g, d = int(gram[hits[0]]), int(doc[hits[0]])
+        span = slice(int(items.first[g]), int(items.first[g + 1]))
+        for i in np.unique(items.item[span]):
+            own = items.place[span][items.item[span] == i]
+            diagonal, pairs = _pairs_per_diagonal(place[hits], own)
+            cell = (diagonal + longest) // (items.budgets[i] + 1)
+            key, count = _added([(i * chunk.n + d) * top + cell + 1], [pairs])
+            keys.append(key)
+            counts.append(count)
+    light = np.ones(len(gram), bool)
+    light[order] = np.repeat(~heavy, runs)
+    gram, place, doc, often = gram[light], place[light], doc[light], often[light]
+    ends = np.cumsum(often)
+    begin = 0
+    while begin < len(gram):
+        # at least one hit, and pairs up to the bound
+        before = ends[begin - 1] if begin else 0
+        stop = max(begin + 1, int(np.searchsorted(ends, before + _UNFOLDED, side="right")))
+        some = often[begin:stop]
+        which = np.arange(some.sum()) - np.repeat(np.cumsum(some) - some, some) + np.repeat(items.first[gram[begin:stop]], some)
+        item = items.item[which]
+        diagonal = np.repeat(place[begin:stop], some) - items.place[which] + longest
+        cell = diagonal // (items.budgets[item] + 1)
+        key = (item * chunk.n + np.repeat(doc[begin:stop], some)) * top + cell + 1
+        key, count = np.unique(key, return_counts=True)
+        keys.append(key)
+        counts.append(count)
+        if sum(map(len, keys)) > 4 * _UNFOLDED:
+            key, count = _added(keys, counts)
+            keys, counts = [key], [count]
+        begin = stop
+    return _added(keys, counts)
+
+
+def _pairs_per_diagonal(text: np.ndarray, item: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Differences of text places and item places, and how many pairs have each, by convolution."""
+    low, high = int(text.min()), int(item.max())
+    n, m = int(text.max()) - low + 1, high - int(item.min()) + 1
+    size = 1 << (n + m - 1).bit_length()
+    left, right = np.zeros(size), np.zeros(size)
+    left[text - low] = 1
+    right[high - item] = 1
+    pairs = np.rint(np.fft.irfft(np.fft.rfft(left) * np.fft.rfft(right), size)).astype(np.int64)
+    at = np.flatnonzero(pairs[: n + m - 1])
+    return at + low - high, pairs[at]
+
+
+def _align(items: list[np.ndarray], windows: list[np.ndarray], most: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Least edits of each item to a stretch of its window, and the window place where it ends.
 
-    Row i, column b of the table stands for i item bytes against a stretch that
+    What is above ``most`` edits is given up, as ``most`` + 1. Row i, column b of the table stands for i item bytes against a stretch that
     ends at window place i + b; a window is as long as its item and band together.
     """
     n = len(items)
@@ -141,28 +223,46 @@ def _align(items: list[np.ndarray], windows: list[np.ndarray]) -> tuple[np.ndarr
     for i, (t, w) in enumerate(zip(items, windows, strict=True)):
         item[i, : len(t)] = t
         window[i, : len(w)] = w
-    slope = np.arange(width, dtype=np.int16)
-    cost = np.zeros((n, width), np.int16)
-    best, end = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    slope = np.arange(width, dtype=np.int32)
+    cost = np.zeros((n, width), np.int32)
+    best, end = most.astype(np.int64) + 1, np.zeros(n, np.int64)
+    live = np.arange(n)
     for i in range(1, rows + 1):
         change = cost + (window[:, i - 1 : i - 1 + width] != item[:, i - 1 : i])
         change[:, :-1] = np.minimum(change[:, :-1], cost[:, 1:] + 1)
-        cost = (np.minimum.accumulate(change - slope, axis=1) + slope).astype(np.int16)
-        done = np.flatnonzero(size == i)
+        cost = np.minimum.accumulate(change - slope, axis=1) + slope
+        done = np.flatnonzero(size[live] == i)
         if len(done):
             least = cost[done].argmin(1)
-            best[done], end[done] = cost[done, least], i + least
+            best[live[done]], end[live[done]] = cost[done, least], i + least
+        if i % 64 == 0:
+            stays = (cost.min(1) <= most[live]) & (size[live] > i)
+            if not stays.all():
+                live, cost, window, item = live[stays], cost[stays], window[stays], item[stays]
+            if not len(live):
+                break
     return best, end
 
 
+def _groups(sizes: np.ndarray) -> Iterator[slice]:
+    """Runs of ascending sizes whose tables stay within ``_GROUP_BYTES``, or one."""
+    low = 0
+    while low < len(sizes):
+        stop = low + 1
+        while stop < len(sizes) and stop - low < _GROUP and (stop + 1 - low) * sizes[stop] <= _GROUP_BYTES:
+            stop += 1
+        yield slice(low, stop)
+        low = stop
+
+
 def _verified(chunk: Chunk, data: np.ndarray, items: Items, found: tuple) -> Iterator[tuple[int, int, int, int, int]]:
     """(document, item, start, end, edits) in bytes of each band that holds a match; one per item and stretch."""
     doc, item, cell = found
     order = np.argsort([len(items.texts[i]) for i in item], kind="stable")
     longest = max((len(t) for t in items.texts), default=0)
     got: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
-    for low in range(0, len(order), _GROUP):
-        pick = order[low : low + _GROUP]
+    for run in _groups(np.array([len(items.texts[item[c]]) for c in order])):
+        pick = order[run]
         texts, windows, begins = [], [], []
         for c in pick:
             text, k = items.texts[item[c]], int(items.budgets[item[c]])
@@ -175,12 +275,14 @@ def _verified(chunk: Chunk, data: np.ndarray, items: Items, found: tuple) -> Ite
             texts.append(text)
             windows.append(window)
             begins.append((begin, size))
-        edits, ends = _align(texts, windows)
-        good = np.flatnonzero(edits <= items.budgets[item[pick]])
+        most = items.budgets[item[pick]]
+        edits, ends = _align(texts, windows, most)
+        good = np.flatnonzero(edits <= most)
         if not len(good):
             continue
         reverse = [_backward(windows[g], int(ends[g]), texts[g]) for g in good]
-        _, lengths = _align([texts[g][::-1] for g in good], reverse)
+        # a window that ends the text may be short of its item, so nothing is given up here
+        _, lengths = _align([texts[g][::-1] for g in good], reverse, np.array([len(texts[g]) for g in good]))
         for g, size in zip(good, lengths, strict=True):
             begin, whole = begins[g]
             stop = min(whole, begin + int(ends[g]))
@@ -201,6 +303,15 @@ def _backward(window: np.ndarray, end: int, text: np.ndarray) -> np.ndarray:
     return np.concatenate([part, np.zeros(max(0, len(text) - len(part)), np.uint8)])
 
 
+def _equals(chunk: Chunk, items: Items) -> Iterator[tuple[int, int]]:
+    """(document, item id) of texts that are a short item."""
+    if items.short:
+        for d in np.flatnonzero(np.diff(chunk.offsets) < 1 << 16):
+            found = items.short.get(_bare(chunk.data[chunk.offsets[d] : chunk.offsets[d + 1]].tobytes()))
+            for i in found or ():
+                yield int(d), i
+
+
 def _points(data: np.ndarray, upto: int) -> int:
     """Code points in the first bytes."""
     return int(np.count_nonzero((data[:upto] & 0xC0) != 0x80))
@@ -217,6 +328,9 @@ def _matcher(shared):
                 for d, i, start, stop, edits in _verified(chunk, low, items, _candidates(chunk, low, items)):
                     text = chunk.data[chunk.offsets[d] : chunk.offsets[d + 1]]
                     rows.append((chunk.first + d, items.ids[i], _points(text, start), _points(text, stop), edits))
+                for d, i in _equals(chunk, items):
+                    text = chunk.data[chunk.offsets[d] : chunk.offsets[d + 1]]
+                    rows.append((chunk.first + d, i, 0, _points(text, len(text)), 0))
             if rows:
                 at, ids, starts, stops, edits = zip(*rows, strict=True)
                 yield pa.record_batch(
@@ -233,7 +347,7 @@ def _matcher(shared):
 
 def _blocks(benchmark: DataFrame) -> Iterator[list[tuple]]:
     """The items, a bounded number of bytes at a time."""
-    usable = benchmark.where(F.octet_length("text") >= Q).select(F.col("item_id").cast("long").alias("item_id"), "text")
+    usable = benchmark.where(F.octet_length("text") > 0).select(F.col("item_id").cast("long").alias("item_id"), "text")
     size = usable.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     n = -(-size // (BLOCK_BYTES // 2)) or 1
     for block in range(n):
@@ -261,6 +375,8 @@ def _is_clean(shared):
             low = lower_ascii(chunk.data)
             for d, *_ in _verified(chunk, low, shared.value, _candidates(chunk, low, shared.value)):
                 out[chunk.first + d] = False
+            for d, _ in _equals(chunk, shared.value):
+                out[chunk.first + d] = False
         return pa.array(out)
 
     return F.arrow_udf(clean, "boolean")
