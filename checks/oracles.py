@@ -545,6 +545,7 @@ select round(sum(w * ce) / count(*), 6) as loss, round(sum(w * ce) / sum(w), 6)
 
 ORACLES["messages_csv"] = f"""with {messages(D.LINEAR_GRAPH)}
 select tweet_id, author_id, inbound, text, response_tweet_id, in_response_to_tweet_id from msgs"""
+ORACLES["messages_csv_split"] = ORACLES["messages_csv"]
 ORACLES["corpus_text"] = f"""with {messages(D.LINEAR_GRAPH)}
 select regexp_replace({clean("text", "loose")}, '[\\r\\n]', ' ', 'g') as text
 from msgs where {english("text")}"""

@@ -811,6 +811,14 @@ def messages_csv(spark, sf_dir):
     return files.read_messages(spark, path)
 
 
+@query
+def messages_csv_split(spark, sf_dir):
+    """The same file read back by byte ranges."""
+    path = fresh_path(spark, "messages")
+    files.write_messages(D.linear_graph(spark, sf_dir).coalesce(1), path)
+    return files.read_messages_split(spark, path)
+
+
 @query
 def samples_json(spark, sf_dir):
     path = fresh_path(spark, "samples")

@@ -1,5 +1,7 @@
 """Files written and read back."""
 
+import random
+
 from threadloom.operators import fan_in
 from threadloom.plans import prepare
 from threadloom.sources import files
@@ -32,6 +34,29 @@ def test_messages_csv_by_header_name(spark, tmp_path):
     assert tuple(row) == (7, "u", True, "a, b", None, None)
 
 
+def test_split_messages_equal_the_whole_file_reader(spark, tmp_path):
+    rng = random.Random(5)
+    bits = ["a", "two words", 'say ""hi""', "line\nend", "", "x,y", "\n", 'one ""quote', "é"]
+    lines = ["tweet_id,author_id,inbound,created_at,text,response_tweet_id,in_response_to_tweet_id"]
+    for k in range(800):
+        text = "".join(rng.choice(bits) for _ in range(rng.randint(0, 5)))
+        lines.append(f'{k},u{k % 7},{k % 2 == 0},now,"{text}",{k + 1 if k % 3 else ""},')
+    (tmp_path / "a.csv").write_text("\n".join(lines) + "\n")
+    (tmp_path / "b.csv").write_text("\n".join([lines[0], '900,z,True,x,"no line end at the end"']) + ",,")
+    wanted = sorted(map(tuple, files.read_messages(spark, str(tmp_path)).collect()), key=str)
+    name = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(name)
+    try:
+        for size in ("700b", "128m"):
+            spark.conf.set(name, size)
+            got = files.read_messages_split(spark, str(tmp_path))
+            assert sorted(map(tuple, got.collect()), key=str) == wanted
+            if size == "700b":
+                assert spark.read.text(str(tmp_path / "a.csv")).rdd.getNumPartitions() > 20
+    finally:
+        spark.conf.set(name, before)
+
+
 def test_lists_keep_line_numbers(spark, tmp_path):
     (tmp_path / "names").write_text("b \na\nb\nc\n", encoding="utf-8")
     codes = {r.author_id: r.code for r in files.read_authors(spark, str(tmp_path / "names")).collect()}

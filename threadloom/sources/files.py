@@ -8,14 +8,15 @@ from pyspark.sql import functions as F
 from threadloom import schemas as S
 from threadloom.functions import arrays as A
 from threadloom.operators.packing import ROW_PARTS, packed_lines, unpack_lines
+from threadloom.session import Scratch, broadcast_if_small
 
 
 def read_messages(spark: SparkSession, path: str) -> DataFrame:
     """Message CSV with a header; quoted texts may hold line ends and quotes.
 
     Columns are matched by their header names, so extra columns do no harm. A
-    file with line ends inside texts cannot be split, so give large inputs as
-    many files, and keep a Parquet copy for repeated use (``parquet_copy``). A
+    file is read by one task; ``read_messages_split`` reads large ones by many. Keep
+    a Parquet copy for repeated use (``parquet_copy``). A
     value that is no number or boolean is NULL, not an error.
     """
     raw = (
@@ -27,6 +28,74 @@ def read_messages(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(*[F.col(f.name).try_cast(f.dataType).alias(f.name) for f in S.MESSAGES.fields])
 
 
+def _numbered_records(spark: SparkSession, path: str, tables: Scratch) -> DataFrame:
+    """Lines (value, file, block, at) with ``record``, the number of their record in the file, and ``alone``.
+
+    Whether a line begins inside quotes follows from the number of quotes before
+    it: those of the blocks before, over one row per block, and those of its own
+    block. Records are counted in the same way, for either state of the block's begin.
+    """
+    lines = spark.read.text(path, lineSep="\n").select(
+        "value",
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("at"),
+    )
+    quotes = (F.length("value") - F.length(F.replace("value", F.lit('"')))).cast("long")
+    lines = tables.table(lines.withColumn("quotes", quotes), "lines")
+    # a window sees one block of one file, which is what a task reads
+    inside = Window.partitionBy("file", "block").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    odd = F.col("upto") % 2 != F.col("quotes") % 2
+    counted = lines.withColumn("upto", F.sum("quotes").over(inside)).withColumn("odd", odd)
+    counted = counted.withColumn("starts_even", F.count_if(~F.col("odd")).over(inside))
+    counted = counted.withColumn("starts_odd", F.count_if(F.col("odd")).over(inside))
+    blocks = counted.groupBy("file", "block").agg(
+        F.sum("quotes").alias("n"), F.max("starts_even").alias("even"), F.max("starts_odd").alias("odd")
+    )
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.withColumn("ahead", F.coalesce(F.sum("n").over(before), F.lit(0)) % 2)
+    starts = F.when(F.col("ahead") == 0, F.col("even")).otherwise(F.col("odd"))
+    blocks = blocks.withColumn("records", F.coalesce(F.sum(starts).over(before), F.lit(0)))
+    told = counted.join(broadcast_if_small(blocks.select("file", "block", "ahead", "records")), ["file", "block"])
+    own = F.when(F.col("ahead") == 0, F.col("starts_even")).otherwise(F.col("starts_odd"))
+    begins_inside = F.col("odd") != (F.col("ahead") == 1)
+    ends_inside = (F.col("upto") + F.col("ahead")) % 2 == 1
+    return told.select(
+        "value", "file", "block", "at", (F.col("records") + own).alias("record"), (~begins_inside & ~ends_inside).alias("alone")
+    )
+
+
+def read_messages_split(spark: SparkSession, path: str, tables: Scratch | None = None) -> DataFrame:
+    """``read_messages`` for large files: one file feeds as many tasks as it has blocks.
+
+    Lines are read by byte ranges, and only the lines of records that have several are
+    brought together. Columns are matched by the header of the first file,
+    which all files share. Lines end with a line feed.
+    """
+    tables = tables or Scratch(spark, "csv")
+    lines = tables.table(_numbered_records(spark, path, tables), "records")
+    whole = lines.filter("alone").select("file", "record", F.col("value").alias("text"))
+    ordered = F.array_sort(F.collect_list(F.struct("block", "at", "value")))
+    cut = lines.filter("not alone").groupBy("file", "record").agg(ordered.alias("parts"))
+    joined = cut.select("file", "record", F.array_join(F.transform("parts", lambda p: p["value"]), "\n").alias("text"))
+    records = whole.unionByName(joined)
+    head = records.filter("record = 1").orderBy("file").limit(1).collect()
+    if not head:
+        return spark.createDataFrame([], S.MESSAGES)
+    names = head[0]["text"].replace('"', "").split(",")
+    schema = ", ".join(f"`{i}` string" for i in range(len(names)))
+    parsed = records.filter((F.col("record") > 1) & (F.length("text") > 0)).select(
+        F.from_csv("text", schema, {"escape": '"', "multiLine": "true"}).alias("row")
+    )
+    place = {name.strip(): i for i, name in enumerate(names)}
+    return parsed.select(
+        *[
+            (F.col(f"row.`{place[f.name]}`") if f.name in place else F.lit(None)).try_cast(f.dataType).alias(f.name)
+            for f in S.MESSAGES.fields
+        ]
+    )
+
+
 def write_messages(messages: DataFrame, path: str) -> None:
     """The counterpart of ``read_messages``."""
     columns = [f.name for f in S.MESSAGES.fields]
