@@ -74,6 +74,16 @@ select event_id as tweet_id,
        else event_id - 1 end as in_response_to_tweet_id
 from events"""
 
+# Nine of ten messages name one reply, which names the rest.
+HUBS = """
+select event_id as tweet_id, concat('u', cast(user_id % 5 as {S})) as author_id, true as inbound,
+  concat(event_type, ' ', cast(event_id as {S})) as text,
+  case when event_id = 1 then '2,3' when event_id < 10 then null
+       when event_id % 10 = 0 then cast(event_id + 1 as {S}) else '1' end as response_tweet_id,
+  case when event_id < 10 then event_id + 20 when event_id % 10 = 1 then event_id - 1 end
+    as in_response_to_tweet_id
+from events"""
+
 # Conversation turns with placeholders beside and inside their words.
 MARKED_TURNS = """
 select conv_id*1000+turn as tweet_id,

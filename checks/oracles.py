@@ -70,6 +70,9 @@ select id, array_to_string(sender, '|') as sender, array_to_string(tweets, '|')
 
 ORACLES["mine_conversations"] = walk(D.REPLY_GRAPH) + SAMPLES
 ORACLES["mine_by_ids"] = ORACLES["mine_conversations"]
+ORACLES["mine_stored"] = ORACLES["mine_conversations"]
+ORACLES["mine_shuffled"] = ORACLES["mine_conversations"]
+ORACLES["mine_salted"] = walk(D.HUBS) + SAMPLES
 ORACLES["mine_gated"] = walk(D.REPLY_GRAPH, "10000 +", gate=True) + SAMPLES
 ORACLES["mine_linear"] = walk(D.LINEAR_GRAPH, gate=True) + SAMPLES
 ORACLES["mine_diamonds"] = walk(D.DIAMONDS, gate=True) + SAMPLES

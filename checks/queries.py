@@ -17,6 +17,7 @@ from threadloom.operators import (
     embeddings,
     fan_in,
     gates,
+    inverted_file,
     metrics,
     mining,
     numbering,
@@ -29,6 +30,7 @@ from threadloom.operators import (
     unigram,
     word_encoding,
 )
+from threadloom.operators.reply_hop import Rules
 from threadloom.plans import prepare
 from threadloom.session import fresh_path, materialize
 from threadloom.sources import files
@@ -71,6 +73,26 @@ def mine_conversations(spark, sf_dir):
     return mining.mine(D.reply_graph(spark, sf_dir), gate_english=False).select(*sample_columns())
 
 
+@query
+def mine_stored(spark, sf_dir):
+    """The same with replies in sorted buckets, chains never broadcast."""
+    rules = Rules(broadcast_bytes=-1, store=True)
+    return mining.mine(D.reply_graph(spark, sf_dir), gate_english=False, rules=rules).select(*sample_columns())
+
+
+@query
+def mine_shuffled(spark, sf_dir):
+    rules = Rules(broadcast_bytes=-1, hot_rows=1 << 60, hot_bytes=1 << 60)
+    return mining.mine(D.reply_graph(spark, sf_dir), gate_english=False, rules=rules).select(*sample_columns())
+
+
+@query
+def mine_salted(spark, sf_dir):
+    """Rings of replies with one reply that very many name, joined with a salt."""
+    rules = Rules(broadcast_bytes=-1, hot_rows=0)
+    return mining.mine(D.derive(spark, sf_dir, D.HUBS), gate_english=False, rules=rules).select(*sample_columns())
+
+
 @query
 def mine_by_ids(spark, sf_dir):
     """The flagship's result with texts attached after the walk."""
@@ -678,6 +700,15 @@ def select_responses_blocked(spark, sf_dir):
     )
 
 
+@query
+def select_responses_indexed(spark, sf_dir):
+    """Every twentieth vector against all, through an inverted file."""
+    vectors = _vector_table(spark, sf_dir)
+    contexts = vectors.filter("id % 20 = 0").select(F.col("id").alias("context_id"), "vector")
+    responses = vectors.select(F.col("id").alias("response_id"), "vector")
+    return rounded(inverted_file.select_responses_indexed(contexts, responses, 5, 32, 20), "score")
+
+
 def _millionths(column: str):
     """All numbers of a vector, as whole millionths, in one text."""
     return F.array_join(

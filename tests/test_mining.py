@@ -1,5 +1,6 @@
 """The reply walk on hand graphs, random graphs and forced join forms."""
 
+import os
 import random
 from collections import Counter
 
@@ -165,3 +166,32 @@ def test_progress(spark):
     levels = mining.mine_levels(graph(spark, GRAPH), max_depth=2, gate_english=False)
     rows = {r.depth: (r.chains, r.samples) for r in mining.progress_of(levels).collect()}
     assert rows == {0: (4, 5), 1: (1, 8)}
+
+
+@pytest.mark.parametrize("seed", [2, 9])
+def test_stored_replies_give_the_same(spark, seed):
+    rows = random_graph(seed)
+    rules = reply_hop.Rules(broadcast_bytes=-1, store=True)
+    got = bag(mining.mine(graph(spark, rows), 6, gate_english=False, rules=rules))
+    assert got == brute_force(rows, 6)
+
+
+def test_stored_replies_are_neither_shuffled_nor_sorted(spark):
+    messages = graph(spark, random_graph(3, 400))
+    with reply_hop.reply_store(messages, ["author_id", "text"]) as replies:
+        chains = spark.range(50).withColumnRenamed("id", "reply_id")
+        fan = reply_hop.Fan(50, 1 << 30, 1)
+        hop = reply_hop.join_replies(chains, chains, replies, fan, "reply_id", reply_hop.Rules(hot_rows=1 << 60, hot_bytes=1 << 60))
+        plan = hop._jdf.queryExecution().executedPlan().toString()
+        side = plan[plan.index("FileScan") - 200 : plan.index("FileScan")]
+        assert "SortMergeJoin" in plan and plan.count("Exchange hashpartitioning") == 1 and plan.count("Sort [") == 1, plan
+        assert "Sort" not in side.split("\n")[-1]
+        assert hop.count() == 50
+        files = {f.rsplit("/", 1)[0] for f in replies.inputFiles()}
+    assert spark.conf.get("spark.sql.legacy.bucketedTableScan.outputOrdering") == "false"
+    assert all(not os.path.exists(f.removeprefix("file:")) for f in files)
+
+
+def test_a_cut_walk_warns(spark):
+    with pytest.warns(UserWarning, match="depth bound of 3"):
+        mining.mine_levels(graph(spark, GRAPH), max_depth=3, gate_english=False)

@@ -7,6 +7,8 @@ samples are a filter over all levels, so nothing is copied or unioned at the end
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,11 +18,12 @@ from threadloom.functions import text as X
 from threadloom.operators import gates
 from threadloom.operators.reply_hop import (
     Fan,
+    Rules,
     fan_metrics,
     in_parts,
     join_replies,
     links,
-    reply_table,
+    replies_of,
 )
 from threadloom.session import fresh_path
 
@@ -66,9 +69,9 @@ HOP = (
 )
 
 
-def next_hops(level: DataFrame, replies: DataFrame, fan: Fan) -> DataFrame:
+def next_hops(level: DataFrame, replies: DataFrame, fan: Fan, rules: Rules = Rules()) -> DataFrame:
     chains = in_parts(level, fan, "trail").selectExpr(*CHAINS)
-    return join_replies(chains, level, replies, fan, "trail").selectExpr(*HOP)
+    return join_replies(chains, level, replies, fan, "trail", rules).selectExpr(*HOP)
 
 
 def _roots_as_level(messages: DataFrame) -> DataFrame:
@@ -89,12 +92,16 @@ def mine_levels(
     max_depth: int = V.MAX_DEPTH,
     gate_english: bool = True,
     path: str | None = None,
+    rules: Rules = Rules(),
+    warn: bool = True,
 ) -> DataFrame:
     """Walk every reply path from every root; one row per hop, with its depth.
 
     The gate drops messages before the walk, so a rejected message also cuts
     what hangs below it. Paths are a bag: a reply reached twice counts twice.
     ``path`` keeps the levels there; otherwise they go to the shared folder.
+    Chains that the bound ends are warned of (``reply_chains`` tells long chains
+    from cycles), unless ``warn`` is False.
     """
     spark = messages.sparkSession
     if max_depth < 1:
@@ -102,23 +109,24 @@ def mine_levels(
     path = path or fresh_path(spark, "mined")
     if gate_english:
         messages = messages.filter(X.is_english("text"))
-    replies = reply_table(messages, ["author_id", "text"])
-    try:
+    cut = 0
+    with replies_of(messages, ["author_id", "text"], rules) as replies:
         level = _roots_as_level(messages)
         sizes = fan_metrics(WIDTH)
         fan = Fan.of(level.agg(*sizes).first())
         for depth in range(max_depth):
             folder = f"{path}/depth={depth}"
             seen = Observation()
-            hops = next_hops(level, replies, fan)
+            hops = next_hops(level, replies, fan, rules)
             hops.observe(seen, *sizes).write.parquet(folder)
             found = seen.get
-            if not found["open"]:
+            cut = found["open"]
+            if not cut:
                 break
             fan = Fan.of(found)
             level = spark.read.schema(LEVEL).parquet(folder)
-    finally:
-        replies.unpersist()
+    if cut and max_depth > 1 and warn:
+        warnings.warn(f"{cut} chains go on below the depth bound of {max_depth}", stacklevel=2)
     return spark.read.schema(LEVELS).parquet(path)
 
 
@@ -152,6 +160,7 @@ def mine(
     max_depth: int = V.MAX_DEPTH,
     gate_english: bool = True,
     path: str | None = None,
+    rules: Rules = Rules(),
 ) -> DataFrame:
     """Samples ``(id, sender, tweets, response, author_id)`` of a message table."""
-    return samples_of(mine_levels(messages, max_depth, gate_english, path))
+    return samples_of(mine_levels(messages, max_depth, gate_english, path, rules))

@@ -9,18 +9,38 @@ a very long reply list is cut into parts that unfold in different tasks.
 
 from __future__ import annotations
 
+import contextlib
+import uuid
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.session import parallelism
+from threadloom.session import Scratch, parallelism
 
 BROADCAST_BYTES = 8 * 1024 * 1024
 HOT_CHECK_ROWS = 1_000_000
 HOT_CHECK_BYTES = 256 * 1024 * 1024
 LIST_PART = 100_000
+#: Bytes of replies in a bucket of a stored table.
+BUCKET_BYTES = 64 * 1024 * 1024
+_SORTED_BUCKETS = "spark.sql.legacy.bucketedTableScan.outputOrdering"
+
+
+@dataclass(frozen=True)
+class Rules:
+    """When chains are broadcast, and from which size on busy reply ids are looked for.
+
+    None is the module's own bound. ``store`` keeps the replies as a bucketed table
+    instead of in executors' memory.
+    """
+
+    broadcast_bytes: int | None = None
+    hot_rows: int | None = None
+    hot_bytes: int | None = None
+    store: bool = False
 
 
 @dataclass(frozen=True)
@@ -65,6 +85,47 @@ def reply_table(messages: DataFrame, columns: list[str]) -> DataFrame:
     return placed.persist(StorageLevel.MEMORY_AND_DISK)
 
 
+@contextlib.contextmanager
+def reply_store(messages: DataFrame, columns: list[str]) -> Iterator[DataFrame]:
+    """The reply table as Parquet buckets by message id, each one sorted file, for the time of the block.
+
+    Buckets are as many as the counted bytes need. A hop then shuffles and sorts the
+    chains only: the plan has neither an exchange nor a sort on the side of the
+    replies, and a lost executor takes none of them along.
+    """
+    spark = messages.sparkSession
+    table = messages.filter("tweet_id is not null").select("tweet_id", *columns, links().alias("next"))
+    width = F.expr(f"48 + coalesce(length(concat_ws('', {', '.join(columns)})), 0) + 8 * coalesce(size(next), 0)")
+    size = table.agg(F.sum(width.cast("long"))).first()[0] or 0
+    buckets = max(parallelism(spark), -(-size // BUCKET_BYTES))
+    tables, name = Scratch(spark, "replies"), f"replies_{uuid.uuid4().hex}"
+    path, before = tables.path("buckets"), spark.conf.get(_SORTED_BUCKETS)
+    writer = table.repartition(buckets, "tweet_id").write.format("parquet").option("path", path)
+    writer.bucketBy(buckets, "tweet_id").sortBy("tweet_id").saveAsTable(name)
+    # scans of one sorted file per bucket keep its order only under this setting
+    spark.conf.set(_SORTED_BUCKETS, "true")
+    try:
+        yield spark.table(name)
+    finally:
+        spark.conf.set(_SORTED_BUCKETS, before)
+        spark.sql(f"drop table if exists {name}")
+        tables.remove()
+
+
+@contextlib.contextmanager
+def replies_of(messages: DataFrame, columns: list[str], rules: Rules) -> Iterator[DataFrame]:
+    """Replies for the time of a walk: cached, or stored."""
+    if rules.store:
+        with reply_store(messages, columns) as replies:
+            yield replies
+        return
+    replies = reply_table(messages, columns)
+    try:
+        yield replies
+    finally:
+        replies.unpersist()
+
+
 def in_parts(level: DataFrame, fan: Fan, spread_by: str) -> DataFrame:
     """The level with ``first_place``, the place of the first id of ``next``.
 
@@ -82,13 +143,17 @@ def in_parts(level: DataFrame, fan: Fan, spread_by: str) -> DataFrame:
     return spread.withColumn("first_place", F.expr(f"part * {LIST_PART}")).drop("part")
 
 
-def hot_reply_ids(level: DataFrame, fan: Fan) -> list[int]:
+def _bound(own: int | None, default: int) -> int:
+    return default if own is None else own
+
+
+def hot_reply_ids(level: DataFrame, fan: Fan, rules: Rules = Rules()) -> list[int]:
     """Reply ids named by more than a quarter of an average partition.
 
     Fewer than ``4 * partitions`` ids can pass, whatever the data. Only frontiers
     of many rows or many bytes are counted.
     """
-    if fan.rows < HOT_CHECK_ROWS and fan.bytes < HOT_CHECK_BYTES:
+    if fan.rows < _bound(rules.hot_rows, HOT_CHECK_ROWS) and fan.bytes < _bound(rules.hot_bytes, HOT_CHECK_BYTES):
         return []
     bar = max(1, fan.rows // (4 * parallelism(level.sparkSession)))
     named = level.select(F.explode("next").alias("reply_id"))
@@ -99,7 +164,7 @@ def hot_reply_ids(level: DataFrame, fan: Fan) -> list[int]:
 
 
 def join_replies(
-    chains: DataFrame, level: DataFrame, replies: DataFrame, fan: Fan, spread_by: str
+    chains: DataFrame, level: DataFrame, replies: DataFrame, fan: Fan, spread_by: str, rules: Rules = Rules()
 ) -> DataFrame:
     """Inner join of the chains grown from ``level`` with the replies they name.
 
@@ -107,9 +172,9 @@ def join_replies(
     reply table is joined as a DataFrame, because the cache is found that way.
     """
     match = F.col("reply_id") == F.col("tweet_id")
-    if fan.bytes <= BROADCAST_BYTES:
+    if fan.bytes <= _bound(rules.broadcast_bytes, BROADCAST_BYTES):
         return chains.hint("broadcast").join(replies, match)
-    hot = hot_reply_ids(level, fan)
+    hot = hot_reply_ids(level, fan, rules)
     if not hot:
         return chains.hint("merge").join(replies, match)
 

@@ -69,6 +69,10 @@ class Scratch:
     def table(self, df: DataFrame, label: str) -> DataFrame:
         return materialize(df, label, self.path(label))
 
+    def remove(self) -> None:
+        """Delete all tables of the call."""
+        remove(self.spark, self.root)
+
     def drop(self, df: DataFrame) -> None:
         """Delete a superseded table made by ``table``."""
         for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
