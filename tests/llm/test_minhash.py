@@ -110,3 +110,49 @@ def test_awkward_rows(spark):
     assert kept.columns == docs.columns
     assert sorted((r["doc_id"] or 0) for r in kept.collect()) == [0, 1, 4, 5, 7]
     assert minhash.near_duplicates(frames.empty(spark)).count() == 0
+
+
+def test_texts_of_one_id_are_all_compared_and_none_is_lost(spark):
+    rng = random.Random(31)
+    a, b, c = (frames.words(rng, 80, 5000) for _ in range(3))
+    rows = [(1, a), (1, b), (2, c), (3, b + " word"), (None, a + " word")]
+    for turn in range(2):
+        rng.shuffle(rows)
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+        got = sorted((r["class_id"], r["doc_id"] or 0) for r in minhash.near_duplicates(docs).collect())
+        assert got == [(1, 0), (1, 1), (1, 1), (1, 3), (2, 2)]
+        kept = {(r["doc_id"], r["text"]) for r in minhash.keep_first(docs).collect()}
+        assert kept == {(1, a), (1, b), (2, c)}
+
+
+def test_near_copies_under_null_ids(spark):
+    rng = random.Random(32)
+    a, b = frames.words(rng, 90, 5000), frames.words(rng, 90, 5000)
+    docs = spark.createDataFrame([(None, a), (None, a + " x"), (None, a), (None, b), (7, b + " y")], "doc_id long, text string")
+    got = sorted((r["class_id"] or 0, r["doc_id"] or 0) for r in minhash.near_duplicates(docs).collect())
+    assert got == [(0, 0), (0, 0), (0, 0), (7, 0), (7, 7)]
+    kept = minhash.keep_first(docs).collect()
+    assert len(kept) == 2 and (7, b + " y") in [tuple(r) for r in kept]
+
+
+def test_clashing_columns_stay(spark):
+    rng = random.Random(33)
+    rows = [(k, frames.words(rng, 30, 5000), "x", "y") for k in range(6)]
+    docs = spark.createDataFrame([*rows, rows[0]], "doc_id long, text string, own_id string, row string")
+    kept = minhash.keep_first(docs)
+    assert kept.columns == docs.columns
+    assert sorted(tuple(r) for r in kept.collect()) == sorted(rows)
+
+
+def test_share_of_pairs_found_by_similarity(spark):
+    """Every pair of at least the threshold is found; what is said of fewer is not."""
+    rng = random.Random(34)
+    texts = []
+    for changes in (1, 2, 3, 4, 5, 6):
+        for _ in range(12):
+            base = frames.words(rng, 220, 8000)
+            texts += [base, edited(rng, base, changes)]
+    got = {r["doc_id"]: r["class_id"] for r in minhash.near_duplicates(frames.documents(spark, texts)).collect()}
+    for i in range(0, len(texts), 2):
+        x, y = shingles(texts[i]), shingles(texts[i + 1])
+        assert (got[i] == got[i + 1]) == (len(x & y) >= 0.8 * len(x | y))

@@ -20,14 +20,17 @@ from 16-bit sketches that is five standard errors below the threshold, then
 verified on their whole shingle sets.
 
 A text of one to four words is one shingle; texts without words (empty, blank,
-null) have none and are copies of each other. A class is named by its smallest
-doc_id; a null id is in its text's class but never names one, unless all ids of
-the class are null. Repeated rows are copies.
+null) have none and are copies of each other. A node is a text, told by its 128-bit
+digest, whatever ids it stands under: several texts of one id are several nodes,
+and so are texts of null ids. A class is named by its smallest doc_id in the end; a
+null id never names one, unless all ids of the class are null. So classes of
+different texts of one id may share a name; ``keep_first`` tells them apart and
+keeps one row of each, the smallest by (id, digest), nulls last. Repeated rows are
+copies. Other columns may have any names; an empty table has no classes.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -147,15 +150,11 @@ def _signed(weighted: bool):
                 full = np.diff(bounds) > 0
                 keys = _band_keys(signature)
                 sketch = mix(signature).astype(np.uint16)
-                digests = []
-                for row in range(chunk.n):
-                    text = chunk.data[chunk.offsets[row] : chunk.offsets[row + 1]]
-                    digests.append(hashlib.blake2b(text if full[row] else b"", digest_size=16).digest())
                 size = np.where(full, BANDS, 0)
                 yield pa.record_batch(
                     [
                         batch.column(0).slice(chunk.first, chunk.n),
-                        pa.array(digests, pa.binary()),
+                        batch.column(2).slice(chunk.first, chunk.n),
                         pa.ListArray.from_arrays(
                             pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), pa.array(keys[full].ravel())
                         ),
@@ -200,13 +199,23 @@ def _shingled(weighted: bool):
     return shingled
 
 
-def _only(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Rows of ``docs`` named by ``nodes``: broadcast up to BROADCAST_IDS ids (16 MB), shuffled beyond."""
-    few = nodes.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(nodes) if few else nodes, "node", "left_semi")
+class _Texts:
+    """Texts by node: rows (doc_id, text, digest), and of each node one id and digest that lead to its text."""
 
+    def __init__(self, plain: DataFrame, heads: DataFrame, repeated: bool) -> None:
+        self.plain, self.heads, self.repeated = plain, heads, repeated
 
-def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, tables: Scratch, similar: float, weighted: bool) -> DataFrame:
+    def of(self, nodes: DataFrame) -> DataFrame:
+        """(node, text) of the nodes: found by a broadcast up to BROADCAST_IDS of them (64 MB), shuffled beyond."""
+        few = nodes.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+        wanted = nodes.join(self.heads, "node").select("node", F.col("head").alias("head_id"), F.col("digest").alias("head_digest"))
+        wanted = F.broadcast(wanted) if few else wanted
+        match = self.plain["doc_id"].eqNullSafe(F.col("head_id")) & (self.plain["digest"] == F.col("head_digest"))
+        found = self.plain.join(wanted, match).select("node", "text")
+        return found.dropDuplicates(["node"]) if self.repeated else found
+
+
+def _verified(pairs: DataFrame, nodes: DataFrame, docs: _Texts, tables: Scratch, similar: float, weighted: bool) -> DataFrame:
     """Those of the (a, b) pairs whose shingle sets are at least ``similar``."""
     left = nodes.select(F.col("node").alias("a"), F.col("sketch").alias("left"))
     right = nodes.select(F.col("node").alias("b"), F.col("sketch").alias("right"))
@@ -214,7 +223,7 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, tables: Scrat
     close = close.where(F.arrow_udf(_alike, "double")("left", "right") >= SKETCH_FLOOR + similar - SIMILAR).select("a", "b")
     close = tables.table(close, "close")
     wanted = tables.table(close.select(F.col("a").alias("node")).union(close.select("b")).distinct(), "wanted")
-    sets = _only(docs, wanted).mapInArrow(_shingled(weighted), "node long, shingles array<long>, parts array<int>")
+    sets = docs.of(wanted).mapInArrow(_shingled(weighted), "node long, shingles array<long>, parts array<int>")
     sets = tables.table(sets.drop("parts"), "sets")
     both = (
         close.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("left")), "a")
@@ -233,7 +242,7 @@ def _length(size: Column) -> Column:
     return F.floor(F.log(size.cast("double")) * 10).cast("int")
 
 
-def _chances(wanted: DataFrame, docs: DataFrame, tables: Scratch, similar: float, weighted: bool) -> DataFrame:
+def _chances(wanted: DataFrame, docs: _Texts, tables: Scratch, similar: float, weighted: bool) -> DataFrame:
     """(node, size, least, most, parts): what a node could share; nodes that cannot be similar to any are left out.
 
     Shingles that no other of the nodes has cannot be shared. With m shared at
@@ -242,7 +251,7 @@ def _chances(wanted: DataFrame, docs: DataFrame, tables: Scratch, similar: float
     two nodes share at most the sum of the smaller counts.
     """
     wanted = tables.table(wanted, "wanted")
-    sets = _only(docs, wanted).mapInArrow(_shingled(weighted), "node long, shingles array<long>, parts array<int>")
+    sets = docs.of(wanted).mapInArrow(_shingled(weighted), "node long, shingles array<long>, parts array<int>")
     sets = tables.table(sets.where(F.size("shingles") > 0), "sets")
     part = F.expr(f"cast(shiftrightunsigned(shingle, {64 - PART_BITS}) as int)")
     own = (
@@ -273,25 +282,41 @@ def _chances(wanted: DataFrame, docs: DataFrame, tables: Scratch, similar: float
     )
 
 
-def near_duplicates(docs: DataFrame, similar: float = SIMILAR, weighted: bool = False) -> DataFrame:
-    """doc_id and class_id of every row: the class holds exact copies and everything linked to them."""
-    spark = docs.sparkSession
-    tables = Scratch(spark, "near-duplicates")
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+def _digest_of(text: Column) -> Column:
+    whole = F.coalesce(text, F.lit(""))
+    worded = F.when(F.btrim(whole, F.lit(" \t\n\x0b\x0c\r")) != "", whole).otherwise(F.lit(""))
+    return F.unhex(F.md5(worded))
+
+
+def _plain(docs: DataFrame) -> DataFrame:
+    """doc_id, text and the digest of the text; texts without words share one."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", _digest_of(F.col("text")).alias("digest"))
+
+
+def _classes(docs: DataFrame, tables: Scratch, similar: float, weighted: bool) -> tuple[DataFrame, bool]:
+    """(doc_id, digest, n, comp) of every id and text, its rows counted; and whether any has several rows."""
+    plain = _plain(docs)
     signed = tables.table(
-        plain.mapInArrow(_signed(weighted), "doc_id long, digest binary, bands array<long>, sketch binary"), "signed"
+        plain.select("doc_id", "text", "digest").mapInArrow(
+            _signed(weighted), "doc_id long, digest binary, bands array<long>, sketch binary"
+        ),
+        "signed",
     )
-    copies = tables.table(signed.groupBy("digest").agg(F.min("doc_id").alias("node")), "copies")
-    heads = copies.where(F.col("node").isNotNull())
-    nodes = tables.table(
-        signed.select(F.col("doc_id").alias("node"), "digest", "bands", "sketch")
-        .join(heads.withColumnRenamed("digest", "head"), "node")
-        .where(F.col("digest") == F.col("head"))
-        .drop("digest", "head")
-        .dropDuplicates(["node"]),
-        "nodes",
-    )
-    texts = plain.withColumnRenamed("doc_id", "node")
+    rows = tables.table(signed.groupBy("digest", "doc_id").agg(F.count("*").alias("n")), "rows")
+    copies = rows.groupBy("digest").agg(F.min("doc_id").alias("head"))
+    # a text that alone has its smallest id as head goes by that id; any other by a number below all ids
+    claims = copies.groupBy("head").agg(F.min("digest").alias("first"))
+    own = copies.alias("c").join(claims.alias("k"), (F.col("c.head") == F.col("k.head")) & (F.col("c.digest") == F.col("k.first")), "left")
+    lowest = rows.agg(F.min("doc_id")).first()[0] or 0
+    spare = F.lit(min(lowest, 0)) - 1 - F.monotonically_increasing_id()
+    node = F.when(F.col("k.head").isNotNull(), F.col("c.head")).otherwise(spare)
+    heads = tables.table(own.select("c.digest", "c.head", node.alias("node")), "heads")
+    repeated = rows.where("n > 1").limit(1).count() > 0
+    signs = signed.alias("s").join(
+        heads.alias("h"), (F.col("s.digest") == F.col("h.digest")) & F.col("s.doc_id").eqNullSafe(F.col("h.head"))
+    ).select("h.node", "s.bands", "s.sketch")
+    nodes = tables.table(signs.dropDuplicates(["node"]) if repeated else signs, "nodes")
+    texts = _Texts(plain, heads, repeated)
     keys = nodes.select("node", F.explode("bands").alias("key"))
     buckets = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     shared = tables.table(keys.join(buckets, "key"), "shared")
@@ -341,26 +366,29 @@ def near_duplicates(docs: DataFrame, similar: float = SIMILAR, weighted: bool =
     pairs_left = tables.table(pairs_left.join(pairs, ["a", "b"], "left_anti"), "pairs")
     more = tables.table(_verified(pairs_left, nodes, texts, tables, similar, weighted), "links")
     labels = components(links.union(more), tables)
-    classes = copies.join(labels, "node", "left").select("digest", F.coalesce("comp", "node").alias("class_id"))
-    return signed.select("doc_id", "digest").join(classes, "digest", "left").select("doc_id", "class_id")
+    labelled = heads.join(labels, "node", "left").select("digest", F.coalesce("comp", "node").alias("comp"))
+    return tables.table(rows.join(labelled, "digest").select("doc_id", "digest", "n", "comp"), "classes"), repeated
 
 
-def keep_first(docs: DataFrame) -> DataFrame:
-    """One row of each class: that of the class's smallest doc_id, and the first of its repeated rows.
+def near_duplicates(docs: DataFrame, similar: float = SIMILAR, weighted: bool = False) -> DataFrame:
+    """doc_id and class_id of every row: the class holds exact copies and everything linked to them."""
+    classes, _ = _classes(docs, Scratch(docs.sparkSession, "near-duplicates"), similar, weighted)
+    names = classes.groupBy("comp").agg(F.min("doc_id").alias("class_id"))
+    named = classes.join(names, "comp")
+    return named.select("doc_id", "class_id", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("copy")).drop("copy")
 
-    Of rows with a null id one of each text stays, if no other row has that text.
-    """
-    spark = docs.sparkSession
-    classes = Scratch(spark, "classes").table(near_duplicates(docs), "classes")
-    seen = classes.agg(F.count("*").alias("rows"), F.count("doc_id").alias("named"), F.countDistinct("doc_id").alias("ids")).first()
-    lost = classes.where(F.col("doc_id") != F.col("class_id")).select(F.col("doc_id").alias("node"))
+
+def keep_first(docs: DataFrame) -> DataFrame:
+    """One row of each class, the smallest by id and digest, null ids last; of its repeated rows one."""
+    classes, repeated = _classes(docs, Scratch(docs.sparkSession, "near-duplicates"), SIMILAR, False)
+    rank = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "digest")
+    firsts = classes.groupBy("comp").agg(F.min(rank).alias("first"))
+    lost = classes.join(firsts, "comp").where(rank != F.col("first")).select(F.col("doc_id").alias("lost_id"), F.col("digest").alias("lost_digest"))
     few = lost.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     lost = F.broadcast(lost) if few else lost
-    kept = docs.where(F.col("doc_id").isNotNull()).join(lost, docs["doc_id"] == lost["node"], "left_anti")
-    if seen["named"] > seen["ids"]:
-        kept = kept.dropDuplicates(["doc_id"])
-    if seen["rows"] > seen["named"]:
-        named = docs.where(F.col("doc_id").isNotNull()).select(F.coalesce("text", F.lit("")).alias("held"))
-        nameless = docs.where(F.col("doc_id").isNull()).dropDuplicates(["text"])
-        kept = kept.unionByName(nameless.join(named, F.coalesce(nameless["text"], F.lit("")) == named["held"], "left_anti"))
-    return kept
+    names = docs.columns
+    told = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("own_id"), _digest_of(F.col("text")).alias("own_digest"))
+    kept = told.join(lost, F.col("own_id").eqNullSafe(F.col("lost_id")) & (F.col("own_digest") == F.col("lost_digest")), "left_anti")
+    if repeated:
+        kept = kept.dropDuplicates(["own_id", "own_digest"])
+    return kept.select(*[F.col("row").getField(c).alias(c) for c in names])
