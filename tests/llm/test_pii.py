@@ -1,4 +1,6 @@
+import random
 import re
+import time
 
 import pytest
 from hypothesis import given, settings
@@ -79,3 +81,24 @@ def test_awkward_rows(spark):
     made = pii.redact(docs)
     assert made.columns == docs.columns and made.count() == docs.count()
     assert pii.report(frames.empty(spark)).count() == 0
+
+
+def test_added_spans_meet_no_other():
+    rng = random.Random(4)
+    cues = ["https://x.com/user1", "@", "a@b.co", "12 Main Street", "account 12345678", "IBAN DE89370400440532013000", "+1 202 555 0143", "1.2.3.4", " ", "\n", "word"]
+    for _ in range(400):
+        text = " ".join(rng.choice(cues) for _ in range(rng.randint(0, 12)))
+        found = pii.find_spans(text)
+        added = [f for f in found if f[1] >= 4]
+        assert all(a is b or a[2] <= b[0] or b[2] <= a[0] for a in added for b in found)
+
+
+def test_a_text_of_cues_takes_time_in_proportion():
+    def seconds(n):
+        text = "see 12 Main Street, mail a.b@c.de, account 12345678; " * n
+        start = time.perf_counter()
+        pii.find_spans(text)
+        return time.perf_counter() - start
+
+    seconds(100)
+    assert seconds(16_000) < 60 * seconds(1_000) + 1

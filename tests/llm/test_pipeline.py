@@ -29,6 +29,12 @@ def test_run_is_the_stages_in_order(spark):
     assert len(ids) > 0.5 * unique.count()
 
 
+def test_run_leaves_the_session_as_it_was(spark):
+    before = spark.conf.get(corpus_pipeline.BATCH_ROWS)
+    corpus_pipeline.run(spark, SMALL)
+    assert spark.conf.get(corpus_pipeline.BATCH_ROWS) == before
+
+
 def test_stages_take_awkward_rows(spark, tmp_path):
     frames.labels(spark, [(4, 1), (5, 1)], "quality").write.parquet(f"{tmp_path}/labels.parquet")
     spark.createDataFrame([(0, "an item of the benchmark, long enough")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
@@ -40,5 +46,5 @@ def test_stages_take_awkward_rows(spark, tmp_path):
 
 def test_every_operator_is_registered():
     numbers = sorted(int(name[2:].split("_")[0]) for name in registry.QUERIES)
-    assert numbers == list(range(1, 11))
+    assert numbers == list(range(1, 14))
     assert mixing.WEIGHTS == (1, 2, 3)

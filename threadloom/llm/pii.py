@@ -23,6 +23,8 @@ spans. Repeated rows get equal spans. Texts are never split.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
+from itertools import accumulate
 
 import ahocorasick
 import pyarrow as pa
@@ -143,11 +145,15 @@ def find_spans(text: str) -> list[tuple[int, int, int]]:
             if found := _HOUSE.search(text, max(0, at - 80), at):
                 more.append((found.start(), 4, last + 1))
     base.sort()
-    taken = sorted((s, e) for s, _, e in base)
+    # a span meets another if one that starts before its end ends behind its start: the furthest end so far tells
+    starts = [s for s, _, _ in base]
+    furthest = list(accumulate((e for _, _, e in base), max))
+    added_end = 0
     for start, kind, end in sorted(set(more)):
-        if not any(s < end and start < e for s, e in taken):
+        before = bisect_left(starts, end)
+        if start >= added_end and not (before and furthest[before - 1] > start):
             base.append((start, kind, end))
-            taken.append((start, end))
+            added_end = end
     return sorted(base)
 
 
