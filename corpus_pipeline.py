@@ -17,13 +17,13 @@ ORACLE_SQL = None
 
 #: Rows that go to Python at once: with whole texts, Spark's 10,000 fill tens of MB beside each task.
 ARROW_ROWS = 1_000
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def _whole_texts(spark: SparkSession) -> None:
-    """From here on the session hands texts to Python in batches that suit their length."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(name)) > ARROW_ROWS:
-        spark.conf.set(name, str(ARROW_ROWS))
+    """From here on the session hands texts to Python in batches that suit their length; ``run`` ends that."""
+    if int(spark.conf.get(BATCH_ROWS)) > ARROW_ROWS:
+        spark.conf.set(BATCH_ROWS, str(ARROW_ROWS))
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -67,6 +67,11 @@ STAGES = [
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows that the last stage returns for ``documents``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    before = spark.conf.get(BATCH_ROWS)
+    try:
+        for name, stage in STAGES[:-1]:
+            docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    finally:
+        # the last stage hands nothing to Python
+        spark.conf.set(BATCH_ROWS, before)
     return STAGES[-1][1](spark, docs, sf_dir)
