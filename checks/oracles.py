@@ -425,6 +425,10 @@ packed as (select g.id, {padded("c.context")} as context, {padded("c.sender_ids"
 ORACLES["pack_samples"] = PACKED + """
 select id, array_to_string(flatten([context, sender_ids, response_ids, author_ids]), ',') as line
 from packed"""
+ORACLES["prepared_rows"] = PACKED + """
+select id, array_to_string(flatten([context, sender_ids, response_ids, author_ids]), ',') as line,
+  case when md5('1234:' || id)[1:8] < '1999999a' then 'test' else 'train' end as split
+from packed"""
 ORACLES["unpack_rows"] = PACKED + """
 select array_to_string(context, ',') as context, array_to_string(sender_ids, ',') as sender_ids,
   array_to_string(response_ids, ',') as response_ids,

@@ -614,6 +614,23 @@ def batch_feed_resumed(spark, sf_dir):
     return numbering.global_feed(events, "event_id", epoch=3, start_batch=10)
 
 
+@query
+def prepared_rows(spark, sf_dir):
+    """Messages to packed rows with their split, with a given vocabulary, turns encoded once."""
+    counts = _word_table(spark, sf_dir)
+    merges = subwords.learn_merges(counts, PACK_MERGES)
+    made = prepare.prepare(
+        D.chatty_graph(spark, sf_dir),
+        small_authors(spark, sf_dir),
+        merges=merges,
+        vocabulary=subwords.vocabulary(counts, merges),
+        gate_english=False,
+        rate=0.1,
+    )
+    rows = made.rows.withColumn("line", A.packed_line(*packing.ROW_PARTS))
+    return rows.select("id", "line", "split")
+
+
 @query
 def prepared_splits(spark, sf_dir):
     """Messages to packed rows with their split, all steps at once."""

@@ -13,6 +13,7 @@ from threadloom.functions import text as X
 from threadloom.operators.authors import speaker_classes
 from threadloom.operators.gates import reject_reason
 from threadloom.operators.subwords import TurnEncoder
+from threadloom.session import Scratch
 
 FEED_BUCKETS = 1_024
 ROW_PARTS = ("context", "sender_ids", "response_ids", "author_ids")
@@ -70,12 +71,52 @@ def pack(
     accounts: list[str],
     signature: str = "strict",
     length: int = V.SEQUENCE_LENGTH,
+    max_response: int | None = V.MAX_RESPONSE_IDS,
+    once: bool = False,
 ) -> DataFrame:
-    """Gate, clean, encode and pad samples to four rows of ``length`` ids."""
-    coded = encode_samples(valid_samples(samples), encoder, accounts, signature)
+    """Gate, clean, encode and pad samples to four rows of ``length`` ids.
+
+    With ``once`` each distinct turn is encoded once for the whole table (for samples
+    of long walks, with unique ids); otherwise turns are encoded where they stand.
+    """
+    if once:
+        coded = encode_samples_once(samples, encoder, accounts, signature, max_response)
+    else:
+        coded = encode_samples(valid_samples(samples), encoder, accounts, signature, max_response)
     return pack_encoded(speaker_classes(coded, authors), length)
 
 
+def encode_samples_once(
+    samples: DataFrame,
+    encoder: TurnEncoder,
+    accounts: list[str],
+    signature: str = "strict",
+    max_response: int | None = V.MAX_RESPONSE_IDS,
+    tables: Scratch | None = None,
+) -> DataFrame:
+    """``encode_samples`` of ``valid_samples``, each distinct turn cleaned and encoded once.
+
+    A turn stands in every sample below it, so distinct turns are far fewer than
+    turns of samples. Samples meet them by a 128-bit hash, texts are not shuffled with
+    the samples, and a sample that misses one of its turns had a bad one. ``id`` is unique.
+    """
+    tables = tables or Scratch(samples.sparkSession, "turns")
+    every = F.concat("tweets", F.array("response"))
+    said = samples.select("id", F.posexplode(every).alias("pos", "raw"))
+    hashes = {"h1": F.xxhash64("raw"), "h2": F.xxhash64(F.lit(1), "raw")}
+    texts = said.select("raw").distinct().filter(~X.is_bad_turn("raw"))
+    clean = texts.select(*[h.alias(n) for n, h in hashes.items()], X.clean_text("raw", accounts, signature).alias("text"))
+    coded = tables.table(clean.select("h1", "h2", encoder.encode("text").alias("ids")), "coded")
+    met = said.select("id", "pos", *[h.alias(n) for n, h in hashes.items()]).join(coded, ["h1", "h2"])
+    ordered = F.array_sort(F.collect_list(F.struct("pos", "ids")))
+    turns = met.groupBy("id").agg(F.transform(ordered, lambda p: p["ids"]).alias("coded"))
+    known = samples.withColumn("said", F.size("tweets") + 1).drop("tweets", "response")
+    whole = known.join(turns, "id").filter(F.size("coded") == F.col("said"))
+    made = whole.withColumns({"turns": F.slice("coded", F.lit(1), F.col("said") - 1), "answer": F.element_at("coded", -1)})
+    made = made.drop("coded", "said")
+    return made if max_response is None else made.filter(F.size("answer") <= max_response)
+
+
 def packed_lines(packed: DataFrame) -> DataFrame:
     """Export form: one line of comma-separated ids per sample."""
     return packed.select("id", A.packed_line(*ROW_PARTS).alias("line"))

@@ -63,13 +63,28 @@ def prepare(
     vocab_size: int = V.SUBWORD_VOCABULARY_SIZE,
     max_depth: int = V.MAX_DEPTH,
     path: str | None = None,
+    merges: DataFrame | None = None,
+    vocabulary: DataFrame | None = None,
+    signature: str = "strict",
+    gate_english: bool = True,
+    phone_id: str = "unknown",
+    rate: float = V.TEST_RATE,
+    length: int = V.SEQUENCE_LENGTH,
 ) -> Prepared:
-    """Mine, learn a vocabulary, pack, and split; reruns give the same rows."""
+    """Mine, learn a vocabulary, pack, and split; reruns give the same rows.
+
+    Given ``merges`` and their base ``vocabulary`` nothing is learned. Turns are
+    encoded once each, not once per sample.
+    """
     accounts = account_names(authors)
-    merges, base = learn_subwords(clean_corpus(messages, accounts), "text", vocab_size)
-    samples = mine(messages, max_depth, path=path)
-    rows = pack(samples, TurnEncoder(merges, base), authors, accounts)
-    return Prepared(assign_split(rows), base, merges)
+    if (merges is None) != (vocabulary is None):
+        raise ValueError("give merges and vocabulary together")
+    if merges is None:
+        merges, vocabulary = learn_subwords(clean_corpus(messages, accounts, gate_english=gate_english), "text", vocab_size)
+    samples = mine(messages, max_depth, gate_english, path=path)
+    encoder = TurnEncoder(merges, vocabulary, phone_id)
+    rows = pack(samples, encoder, authors, accounts, signature, length, once=True)
+    return Prepared(assign_split(rows, rate=rate), vocabulary, merges)
 
 
 def samples_by_split(rows: DataFrame) -> DataFrame:
