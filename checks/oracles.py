@@ -152,6 +152,7 @@ turn as (select response, unnest(flatten(context)) as tweet_id, unnest(sender) a
   unnest(range(len(sender))) as pos from paths)
 select response, pos, sender, tweet_id, m.text
 from turn left join (select tweet_id, text from msgs where inbound) m using (tweet_id)"""
+ORACLES["context_lookup_gaps"] = ORACLES["context_lookup"].replace("where inbound", "where tweet_id % 11 <> 0")
 ORACLES["response_lookup"] = fan_walk(D.LINEAR_GRAPH) + """
 select p.response, p.author_id, m.text, len(string_split(m.text, ' ')) as wordcount
 from paths p join msgs m on m.tweet_id = p.response where len(string_split(m.text, ' ')) > 2"""
@@ -559,6 +560,10 @@ from msgs where {english("text")}"""
 ORACLES["vocab_file"] = rf"""select character as subword,
   (row_number() over (order by n desc, character) - 1)::int as id from ({CHAR_COUNTS})
 where regexp_matches(character, '^[\p{{L}}\p{{N}}]$')"""
+# entries are stripped, and of equal ones the last counts
+ORACLES["vocab_file_all"] = f"""select trim(character, ' ' || chr(9) || chr(13)) as subword, max(id)::int as id
+from (select character, row_number() over (order by n desc, character) - 1 as id
+      from ({CHAR_COUNTS}) where character <> chr(10)) group by 1"""
 ORACLES["embeddings_sink"] = f"select vec_id as id, {MILLIONTHS} as vector from embeddings"
 ORACLES["sql_view"] = f"""with {messages(D.LINEAR_GRAPH)}
 select author_id, count(*) as n from msgs group by author_id"""

@@ -228,6 +228,16 @@ def context_lookup(spark, sf_dir):
     return found.join(response, "id").select("response", "pos", "sender", "tweet_id", "text")
 
 
+@query
+def context_lookup_gaps(spark, sf_dir):
+    """Turns of all speakers looked up in a message table that lacks every eleventh message."""
+    messages = D.linear_graph(spark, sf_dir)
+    paths = _flat_paths(fan_in.mine_fan_in(messages, gate_english=False))
+    found = rehydrate.context_texts(paths, messages.filter("tweet_id % 11 <> 0"))
+    response = paths.select("id", "response")
+    return found.join(response, "id").select("response", "pos", "sender", "tweet_id", "text")
+
+
 @query
 def response_lookup(spark, sf_dir):
     messages = D.linear_graph(spark, sf_dir)
@@ -907,6 +917,15 @@ def vocab_file(spark, sf_dir):
     return files.read_vocab(spark, path)
 
 
+@query
+def vocab_file_all(spark, sf_dir):
+    """Every character of the documents as a vocabulary file; a blank is read as an empty entry."""
+    path = fresh_path(spark, "vocab")
+    counts = stats.char_frequency(D.table(spark, sf_dir, "documents"))
+    counts.filter("character <> '\\n'").select("character").coalesce(1).write.text(path)
+    return files.read_vocab(spark, path)
+
+
 @query
 def split_sink(spark, sf_dir):
     path = fresh_path(spark, "split")
