@@ -1,5 +1,7 @@
 """Scores, losses, selection and pooling against numpy."""
 
+import tracemalloc
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -167,3 +169,17 @@ def test_weighted_cross_entropy(spark):
     assert got.loss == pytest.approx(ce / 3) and got.metric == pytest.approx(ce / 2)
     none = metrics.weighted_cross_entropy(rows.withColumn("weight", F.lit(0))).first()
     assert none.metric is None
+
+
+def test_sums_gather_a_block_at_a_time(monkeypatch):
+    rng = np.random.default_rng(3)
+    matrix = rng.random((50, 64), np.float32)
+    owner, place = np.sort(rng.integers(0, 40, 200_000)), rng.integers(0, 50, 200_000)
+    monkeypatch.setattr(embeddings, "BLOCK_VALUES", 64 * 1000)
+    tracemalloc.start()
+    found = embeddings._sums(owner, place, matrix, 40)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    wanted = np.array([matrix[place[owner == k]].astype(float).sum(axis=0) for k in range(40)])
+    assert np.allclose(found, wanted)
+    assert peak < 4_000_000  # all vectors at once are 100 MB
