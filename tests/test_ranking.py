@@ -183,3 +183,25 @@ def test_sums_gather_a_block_at_a_time(monkeypatch):
     wanted = np.array([matrix[place[owner == k]].astype(float).sum(axis=0) for k in range(40)])
     assert np.allclose(found, wanted)
     assert peak < 4_000_000  # all vectors at once are 100 MB
+
+
+def test_joined_pooling_sends_a_vector_once_a_shelf(spark, monkeypatch):
+    """Rows longer than a shelf, missing ids and numbers, and vectors of several lengths."""
+    rows = [(k, [(k * i) % 9 if i % 5 else None for i in range(k % 40)]) for k in range(60)] + [(99, None), (98, [])]
+    vectors = {i: [float(i), None if i == 4 else i / 8, *([1.0] if i == 5 else [])] for i in range(7)}
+    frame = spark.createDataFrame(rows, "k int, ids array<int>").coalesce(1)
+    table = spark.createDataFrame(list(vectors.items()), "id int, vector array<double>")
+    monkeypatch.setattr(embeddings, "SHELF_VALUES", 2 * 16)
+    pooled = embeddings.mean_pool(frame, table, matrix_values=0)
+    plan = pooled._jdf.queryExecution().executedPlan().toString()
+    assert "posexplode(vector" not in plan and "FlatMapCoGroupsInArrow" in plan
+    found = {r.k: r.pooled for r in pooled.collect()}
+    assert len(found) == len(rows)
+    for k, ids in rows:
+        used = [vectors[i] for i in ids or [] if i and i in vectors]
+        wanted = []
+        for dim in range(max(map(len, used), default=0)):
+            has = [v[dim] for v in used if len(v) > dim]
+            known = [x for x in has if x is not None]
+            wanted.append(pytest.approx(sum(known) / len(has)) if known else None)
+        assert found[k] == (wanted or None)
