@@ -5,6 +5,7 @@ import random
 import pytest
 
 from threadloom.operators import reply_chains as R
+from threadloom.session import Scratch
 
 
 def walked(links):
@@ -46,3 +47,21 @@ def test_a_hub_and_an_empty_table(spark):
     assert found(spark, links) == walked(links)
     empty = spark.createDataFrame([], "tweet_id long, in_response_to_tweet_id long")
     assert R.reply_chains(empty).collect() == []
+
+
+class Counted(Scratch):
+    def table(self, df, label):
+        self.rounds = getattr(self, "rounds", 0) + (label == "moved")
+        return super().table(df, label)
+
+
+def test_rounds_follow_the_longest_cycle_and_chain(spark):
+    rings = {k: k + 7 if k % 8 == 0 else k - 1 for k in range(4_096)}
+    tails = {5_000 + k: 5_000 + k - 1 if k else 11 for k in range(20)}
+    long_ring = {6_000 + k: 6_000 + (k + 1) % 300 for k in range(300)}
+    for links, rounds in ((rings | tails, 7), (rings | long_ring, 11)):
+        rows = spark.createDataFrame(list(links.items()), "tweet_id long, in_response_to_tweet_id long").repartition(4)
+        tables = Counted(spark, "counted")
+        made = R.reply_chains(rows, tables=tables)
+        assert {r["tweet_id"]: (r["root"], r["depth"], r["in_cycle"]) for r in made.collect()} == walked(links)
+        assert tables.rounds <= rounds

@@ -2,8 +2,10 @@
 
 Every message points to the one it answers. In a round each pointer moves to where
 its target points, so pointers that are not at a root after k rounds span 2**k
-messages. A chain of a million replies takes 20 rounds, and pointers that still
-have no root when they span all messages left are in or below a cycle.
+messages. A chain of a million replies takes 20 rounds. What pointers without a root
+point to becomes fewer in each round until only cycles are left: a round after which
+it is as much as before, and in which no pointer met a lower id, was the last. So
+rounds follow the longest chain or cycle, not the number of messages.
 """
 
 from __future__ import annotations
@@ -14,9 +16,8 @@ from pyspark.sql import functions as F
 from threadloom.session import Scratch
 
 
-def _jumped(open_: DataFrame, state: DataFrame) -> DataFrame:
-    """One round: open pointers move to where their targets point."""
-    asked = open_.select(F.col("up").alias("tweet_id")).distinct()
+def _jumped(open_: DataFrame, asked: DataFrame, state: DataFrame) -> DataFrame:
+    """One round: open pointers move to where their targets, ``asked``, point."""
     answers = state.join(asked, "tweet_id").select(
         F.col("tweet_id").alias("up"), F.col("up").alias("far"), F.col("steps").alias("more"), F.col("rooted").alias("ends"), F.col("least").alias("low")
     )
@@ -26,6 +27,7 @@ def _jumped(open_: DataFrame, state: DataFrame) -> DataFrame:
         (F.col("steps") + F.col("more")).alias("steps"),
         F.col("ends").alias("rooted"),
         F.least("least", "low").alias("least"),
+        (F.col("low") < F.col("least")).alias("fell"),
     )
 
 
@@ -46,17 +48,25 @@ def reply_chains(messages: DataFrame, parent: str = "in_response_to_tweet_id", t
         F.when(F.col("known"), 1).otherwise(0).cast("long").alias("steps"),
         F.col("known").isNull().alias("rooted"),
         F.when(F.col("known"), F.least("tweet_id", "up")).otherwise(F.col("tweet_id")).alias("least"),
+        F.lit(True).alias("fell"),
     )
     # a round's table holds the pointers that were open; what got a root in it stays as it is
     parts, span = [tables.table(start, "start")], 1
-    left = parts[0].filter("not rooted").count()
-    while left and span < 2 * left:
+    before = None
+    while True:
+        open_ = parts[-1].filter("not rooted")
+        left, fell = open_.agg(F.count("*"), F.coalesce(F.count_if("fell"), F.lit(0))).first()
+        if not left or span >= 2 * left:
+            break
+        asked = tables.table(open_.select(F.col("up").alias("tweet_id")).distinct(), "asked")
+        targets = asked.count()
+        if targets == before and not fell:
+            break
         state = parts[-1]
         for rows in parts[:-1]:
             state = state.unionByName(rows.filter("rooted"))
-        moved = tables.table(_jumped(parts[-1].filter("not rooted"), state), "moved")
-        parts.append(moved)
-        span, left = 2 * span, moved.filter("not rooted").count()
+        parts.append(tables.table(_jumped(open_, asked, state), "moved"))
+        span, before = 2 * span, targets
     open_ = parts[-1].filter("not rooted")
     parts = [rows.filter("rooted") for rows in parts]
     found = parts[0]
@@ -65,7 +75,7 @@ def reply_chains(messages: DataFrame, parent: str = "in_response_to_tweet_id", t
     made = found.select("tweet_id", F.col("up").alias("root"), F.col("steps").alias("depth"), F.lit(False).alias("in_cycle"))
     if not left:
         return made
-    # after as many steps as there are messages left, every pointer stands on a cycle, and every message of one is stood on
+    # after so many rounds, every pointer stands on a cycle, and every message of one is stood on
     on_cycle = open_.select(F.col("up").alias("tweet_id")).distinct().withColumn("in_cycle", F.lit(True))
     lowest = open_.join(on_cycle, "tweet_id").select(F.col("tweet_id").alias("up"), F.col("least").alias("root"))
     looped = open_.select("tweet_id", "up").join(lowest, "up").join(on_cycle, "tweet_id", "left")
