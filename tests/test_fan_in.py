@@ -1,6 +1,7 @@
 """Merging walks and putting texts back."""
 
-from threadloom.operators import fan_in, rehydrate
+from threadloom.operators import fan_in, rehydrate, reply_hop
+from threadloom.operators.reply_hop import Rules
 from tests.test_mining import graph
 
 # a and b, both by u, are answered by one reply, which c answers in turn.
@@ -71,3 +72,31 @@ def test_running_list_shows_prefixes(spark):
     rows = spark.createDataFrame([(1, i, c) for i, c in enumerate("abc")], "k int, i int, c string")
     got = rows.select("i", fan_in.running_list("c", ["k"], ["i"]).alias("cs")).orderBy("i")
     assert [r.cs for r in got.collect()] == [["a"], ["a", "b"], ["a", "b", "c"]]
+
+
+def test_a_hop_shuffles_once_and_all_ways_agree(spark):
+    messages = graph(spark, FANS)
+    # two turns of one message each are not one turn of two
+    level = spark.createDataFrame(
+        [
+            ([None, "u"], [[1], [2]], 0, 6, "w", [3]),
+            (["u", None], [[1], [2]], 0, 7, "w", [3]),
+            (["u"], [[1, 2]], 0, 8, "w", [3]),
+            (["u"], [[1, 2]], 1, 9, "w", [3]),
+        ],
+        fan_in.PATH_LEVEL,
+    )
+    replies = reply_hop.reply_table(messages, ["author_id"])
+    fan = reply_hop.Fan(4, 1 << 40, 1)
+    ways = [Rules(), Rules(broadcast_bytes=-1, hot_rows=1 << 60, hot_bytes=1 << 60), Rules(broadcast_bytes=-1, hot_rows=0)]
+    found = []
+    for rules in ways:
+        found.append({(tuple(r.sender), tuple(map(tuple, r.context))) for r in fan_in.next_hops(level, replies, fan, rules).collect()})
+    assert found[0] == found[1] == found[2] == {
+        ((None, "u", "w"), ((1,), (2,), (6,))),
+        (("u", None, "w"), ((1,), (2,), (7,))),
+        (("u", "w"), ((1, 2), (8, 9))),
+    }
+    plan = fan_in.next_hops(level, replies, fan, ways[1])._jdf.queryExecution().executedPlan().toString()
+    assert plan.split("InMemoryRelation")[0].count("Exchange hashpartitioning(") == 1
+    replies.unpersist()

@@ -11,13 +11,16 @@ from threadloom.functions import text as X
 from threadloom.operators import gates
 from threadloom.operators.reply_hop import (
     Fan,
+    Rules,
     fan_metrics,
+    hot_reply_ids,
     in_parts,
+    is_broadcast,
     join_replies,
     links,
     reply_table,
 )
-from threadloom.session import fresh_path
+from threadloom.session import fresh_path, parallelism
 
 PATH_LEVEL = T.StructType(
     [
@@ -92,11 +95,26 @@ CHAINS = (
 HOP = ("sender", "context", "place", "tweet_id as response", "author_id", "next")
 
 
-def next_hops(level: DataFrame, replies: DataFrame, fan: Fan) -> DataFrame:
-    fronts = in_parts(level, fan, "response").selectExpr(*FRONT)
-    groups = fronts.groupBy("context", "sender", "author_id", "reply_id")
-    chains = groups.agg(F.expr(PARTS).alias("parts")).selectExpr(*CHAINS)
-    return join_replies(chains, level, replies, fan, "context").selectExpr(*HOP)
+# What tells groups of one reply and author apart, as 128 bits: arrays are slow keys.
+PATH_KEYS = {
+    "path_1": "xxhash64(to_json(struct(context, sender)))",
+    "path_2": "xxhash64(1, to_json(struct(context, sender)))",
+}
+
+
+def next_hops(level: DataFrame, replies: DataFrame, fan: Fan, rules: Rules = Rules()) -> DataFrame:
+    """One hop. Fronts move once, to their reply, where they are merged and joined; with
+    busy reply ids they are merged where their path takes them, and move again."""
+    keyed = in_parts(level, fan, "response").withColumns({k: F.expr(v) for k, v in PATH_KEYS.items()})
+    fronts = keyed.selectExpr(*PATH_KEYS, *FRONT)
+    hot = None
+    if not is_broadcast(fan, rules):
+        hot = hot_reply_ids(level, fan, rules)
+        if not hot:
+            fronts = fronts.repartition(parallelism(level.sparkSession), "reply_id")
+    groups = fronts.groupBy(*PATH_KEYS, "author_id", "reply_id")
+    merged = groups.agg(F.first("context").alias("context"), F.first("sender").alias("sender"), F.expr(PARTS).alias("parts"))
+    return join_replies(merged.selectExpr(*CHAINS), level, replies, fan, "context", rules, hot).selectExpr(*HOP)
 
 
 def _roots_as_level(messages: DataFrame) -> DataFrame:
@@ -115,6 +133,7 @@ def mine_fan_in(
     max_depth: int = V.MAX_DEPTH,
     gate_english: bool = True,
     path: str | None = None,
+    rules: Rules = Rules(),
 ) -> DataFrame:
     """Id paths ``(id, sender, context, response, author_id)`` of every hop.
 
@@ -133,7 +152,7 @@ def mine_fan_in(
         for depth in range(max_depth):
             folder = f"{path}/depth={depth}"
             seen = Observation()
-            hops = next_hops(level, replies, fan)
+            hops = next_hops(level, replies, fan, rules)
             hops.observe(seen, *sizes).write.parquet(folder)
             found = seen.get
             if not found["open"]:
