@@ -3,6 +3,8 @@
 import random
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from threadloom import fixed_values as V
@@ -132,3 +134,22 @@ def test_learn_subwords_size(spark):
     protected = len(V.PLACEHOLDERS) - 1
     assert base.count() == 25 - protected
     assert merges.count() == 25 - protected - 3 - len(set("▁lowerstn"))
+
+
+def test_encoder_keeps_bounded_texts():
+    cache = S._Cache(10_000)
+    for k in range(5_000):
+        cache.put(f"turn {k}", [k] * 20)
+        assert sum(len(t) + len(i) for t, i in cache.found.items()) <= 10_000
+    assert cache.get("turn 4999") and cache.get("turn 1") is None
+    cache.put("x" * 9_000, [1])
+    assert "x" * 9_000 not in cache.found
+
+
+def test_encoder_goes_through_a_batch_in_slices(monkeypatch):
+    monkeypatch.setattr(S, "SLICE_BYTES", 200)
+    lists = pa.array([["ab", "c"], [], None, ["ab"]] * 40, pa.list_(pa.string()))
+    seen = []
+    made = [S._encoded(some, lambda t: seen.append(t) or np.array([len(t), 7], np.int32)) for some in S._slices(lists)]
+    assert len(made) > 5 and len(seen) < 80
+    assert pa.concat_arrays(made).to_pylist() == [[[2, 7], [1, 7]], [], None, [[2, 7]]] * 40
