@@ -127,3 +127,14 @@ def test_batches(spark):
     assert fed.select("key", "bucket", "batch_no").exceptAll(
         other.select("key", "bucket", "batch_no")
     ).count()
+
+
+def test_lines_are_read_once_per_row(spark):
+    good, size = ",".join(["+4", " 5", "-1", "007"] * 4), 4
+    lines = spark.createDataFrame([(x,) for x in (good, good + ",1", good.replace("+4", "x"), "", None)], "line string")
+    rows = packing.unpack_lines(lines, size)
+    part = [4, 5, -1, 7]
+    assert [[r[p] for p in packing.ROW_PARTS] for r in rows.collect()] == [[part] * 4] + [[None] * 4] * 4
+    assert [r.bad_record is None for r in rows.collect()] == [True, False, False, False, True]
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("exists(") == 1 and "transform(" not in plan
