@@ -34,6 +34,7 @@ UNIT = 1 << 16
 MICRO = 1_000_000
 SHARED_PIECES = 1_000_000
 _BLOCK_CELLS = 1 << 20
+_SEEN = 1 << 20
 _NONE = -(1 << 60)
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 PIECES = "piece string, score long"
@@ -76,6 +77,7 @@ class Lookup:
     checks: np.ndarray
     numbers: np.ndarray
     longest: int
+    seen: np.ndarray
 
     @classmethod
     def of(cls, pieces: list[str]) -> Lookup:
@@ -85,7 +87,10 @@ class Lookup:
         keys, checks = (_prefixes(letters, b)[rows, sizes] for b in _BASES)
         # runs of different lengths may share a hash value only by chance
         order = np.argsort(keys, kind="stable")
-        return cls(keys[order], checks[order], order, int(sizes.max(initial=0)))
+        # low bits of the keys: most runs are no piece and are told by one look at these
+        seen = np.zeros(_SEEN, bool)
+        seen[(keys % np.uint64(_SEEN)).astype(np.int64)] = True
+        return cls(keys[order], checks[order], order, int(sizes.max(initial=0)), seen)
 
     def edges(self, grid: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """``[word, start, length - 1]``: number of the piece that stands there, else -1."""
@@ -94,11 +99,15 @@ class Lookup:
         letters = _letter(grid)
         first, second = (_prefixes(letters, b) for b in _BASES)
         for n in range(1, min(self.longest, width) + 1):
-            keys, checks = _spans(first, n, _BASES[0]), _spans(second, n, _BASES[1])
+            keys = _spans(first, n, _BASES[0])
+            maybe = self.seen[(keys % np.uint64(_SEEN)).astype(np.int64)]
+            maybe &= np.arange(n, width + 1) <= sizes[:, None]
+            word, start = np.nonzero(maybe)
+            keys = keys[word, start]
+            checks = second[word, start + n] - second[word, start] * np.uint64(pow(_BASES[1], n, 1 << 64))
             at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
             fits = (self.keys[at] == keys) & (self.checks[at] == checks)
-            fits &= np.arange(n, width + 1) <= sizes[:, None]
-            out[:, : width - n + 1, n - 1] = np.where(fits, self.numbers[at], -1)
+            out[word[fits], start[fits], n - 1] = self.numbers[at[fits]]
         return out
 
 
