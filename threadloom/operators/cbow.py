@@ -273,7 +273,8 @@ def train_cbow(sentences: DataFrame, column: str = "sentence", settings: Setting
         size = _rows_per_body(s.dim)
         for epoch in range(s.epochs):
             shared = spark.sparkContext.broadcast((inner, outer, kept_share(n, s.sample), noise))
-            dealt = shards.repartitionByRange(s.shards, "shard").sortWithinPartitions("shard", "share", "digest")
+            # by number: ranges of few keys put two shards into one task and leave another empty
+            dealt = shards.repartitionById(s.shards, F.col("shard")).sortWithinPartitions("shard", "share", "digest")
             sent = dealt.select("ids", "share", "shard").mapInArrow(_trainer(shared, epoch, s), _BODY)
             inner, outer = inner.copy(), outer.copy()
             for r in _summed(sent).toLocalIterator():

@@ -68,10 +68,18 @@ def merged_words(words: DataFrame, merges: DataFrame, vocab: DataFrame) -> DataF
     return lookup_ids(pieces, vocab, "word")
 
 
+def unfolded(texts: DataFrame, key: str, column: str = "text") -> DataFrame:
+    """``(key, pos, item, placeholder)``: a row for each word and placeholder."""
+    return texts.select(F.col(key), F.posexplode(text_items(column)).alias("pos", "x")).select(key, "pos", "x.*")
+
+
+def _words_of(items: DataFrame) -> DataFrame:
+    return items.filter("not placeholder").groupBy(F.col("item").alias("word")).agg(F.count("*").alias("n"))
+
+
 def distinct_words(texts: DataFrame, column: str = "text") -> DataFrame:
     """``(word, n)`` of all words outside placeholders, marked at their start."""
-    items = texts.select(F.explode(text_items(column)).alias("x")).filter("not x.placeholder")
-    return items.groupBy(F.col("x.item").alias("word")).agg(F.count("*").alias("n"))
+    return _words_of(texts.select(F.explode(text_items(column)).alias("x")).select("x.*"))
 
 
 def encode_by_words(
@@ -81,18 +89,20 @@ def encode_by_words(
     key: str,
     column: str = "text",
     end_of_pieces: bool = True,
+    items: DataFrame | None = None,
 ) -> DataFrame:
     """``(key, ids)`` of each text: 1, the ids of its words and placeholders, 2.
 
     ``coded`` has ``(word, n, ids)`` of the distinct words of ``texts``;
     ``vocab`` has the ids of placeholders. ``end_of_pieces`` adds the id of ''
     ahead of the 2, as packed rows have it; digit sentences do without. ``key`` is
-    unique; a missing text is an empty one.
+    unique; a missing text is an empty one. ``items`` are the texts ``unfolded``, where
+    they are written already.
     """
     tokens = [p.strip() for p in V.PLACEHOLDERS if p.strip()]
     found = {r["subword"]: r["id"] for r in vocab.filter(F.col("subword").isin(*V.PLACEHOLDERS, *tokens)).collect()}
     known = F.create_map(*[F.lit(x) for t in tokens for x in (t, int(found.get(t, V.UNKNOWN_ID)))])
-    items = texts.select(F.col(key), F.posexplode(text_items(column)).alias("pos", "x")).select(key, "pos", "x.*")
+    items = unfolded(texts, key, column) if items is None else items
     marks = items.filter("placeholder").select(key, "pos", F.array(F.coalesce(known[F.col("item")], F.lit(V.UNKNOWN_ID))).alias("ids"))
     words = items.filter("not placeholder").select(key, "pos", F.col("item").alias("word"))
     total = coded.agg(F.sum("n")).first()[0] or 0
@@ -120,7 +130,9 @@ def digit_sentences(texts: DataFrame, vocab: DataFrame, key: str, column: str =
     ``vocab`` is a unigram vocabulary ``(subword, id, score)`` of any size.
     """
     tables = tables or Scratch(texts.sparkSession, "digits")
-    words = tables.table(distinct_words(texts, column), "words")
+    # written once: unfolding is the dear part, and is read by the words and by each way of encoding
+    items = tables.table(unfolded(texts, key, column), "items")
+    words = tables.table(_words_of(items), "words")
     coded = tables.table(segment_words(words, vocab).join(words, "word"), "coded")
-    ids = encode_by_words(texts, coded, vocab, key, column, end_of_pieces=False)
+    ids = encode_by_words(texts, coded, vocab, key, column, end_of_pieces=False, items=items)
     return ids.select(key, F.transform("ids", lambda x: x.cast("string")).alias("sentence"))
