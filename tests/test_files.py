@@ -105,3 +105,11 @@ def test_prepare_end_to_end(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "parquet")).count() == 6
     lines = files.read_packed(spark, str(tmp_path / "text"))
     assert lines.count() == 6 and lines.filter("bad_record is not null").count() == 0
+
+
+def test_prepared_rows_move_no_turns(spark):
+    """Samples are encoded where they stand."""
+    authors = spark.createDataFrame([("B", 1)], "author_id string, code int")
+    rows = prepare.prepare(graph(spark, FANS), authors, vocab_size=60, gate_english=False).rows
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
