@@ -1,6 +1,8 @@
+import itertools
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tests.llm import frames
@@ -93,3 +95,48 @@ def test_awkward_rows(spark):
         assert module.classify(docs, frames.labels(spark, [], column)).count() == docs.count()
     kept = quality_classifier.keep_good(docs, frames.labels(spark, [(4, 1)], "quality"))
     assert kept.columns == docs.columns
+
+
+def test_texts_shorter_than_an_ngram(spark):
+    texts = ["word " * 20, "%% " * 20, *("De. x y"[:n] for n in range(1, 8))]
+    docs = frames.documents(spark, texts)
+    marks = frames.labels(spark, [(i, i % 2) for i in range(len(texts))], "quality")
+    rows = quality_classifier.classify(docs, marks).collect()
+    assert sorted(r["doc_id"] for r in rows) == list(range(len(texts)))
+    assert all(0 <= r["score"] <= 1 for r in rows)
+
+
+def test_ngrams_of_short_texts():
+    for n in quality_classifier.NGRAMS:
+        for size in range(2 * n):
+            data = np.arange(size, dtype=np.uint8) + 65
+            assert len(quality_classifier._ngram_buckets(data, n)) == max(0, size - n + 1)
+            # a text alone has the buckets that it has in front of others
+            more = quality_classifier._ngram_buckets(np.append(data, np.uint8([32, 33])), n)
+            assert list(quality_classifier._ngram_buckets(data, n)) == list(more[: max(0, size - n + 1)])
+
+
+def test_scores_of_blank_texts_in_every_place():
+    weight = np.random.default_rng(4).normal(size=1 << quality_classifier.BUCKET_BITS).astype(np.float32)
+    pool = ["a b", "word word word", "", " \n ", None, "x"]
+
+    def scores(texts):
+        return quality_classifier._scores(weight, 0.1, 0.4, pa.array(texts, pa.string())).to_pylist()
+
+    alone = {t: scores([t])[0] for t in pool}
+    for texts in itertools.product(pool, repeat=3):
+        assert scores(list(texts)) == pytest.approx([alone[t] for t in texts])
+
+
+def test_copies_of_a_labelled_row_are_learned_and_sent_once(spark, graded, monkeypatch):
+    docs, marks = graded
+    labels = frames.labels(spark, list(enumerate(marks)), "quality")
+    seen = []
+    real = quality_classifier.train
+    monkeypatch.setattr(quality_classifier, "train", lambda rows, counts: seen.append(rows) or real(rows, counts))
+    quality_classifier.fit(docs.union(docs).union(docs), labels)
+    quality_classifier.fit(docs, labels)
+    assert len(seen[0]) == len(seen[1]) and {r["copies"] for r in seen[0]} == {3}
+    every = [r for r in seen[0] for _ in range(3)]
+    one = [type(r)(**r.asDict() | {"copies": 1}) for r in every]
+    assert np.array_equal(real(one, {0: 1, 1: 2}).weight, real(seen[0], {0: 1, 1: 2}).weight)

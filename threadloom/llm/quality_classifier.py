@@ -41,10 +41,11 @@ _DITTO = np.uint64(0x5851F42D4C957F2D)
 
 def _ngram_buckets(data: np.ndarray, n: int) -> np.ndarray:
     """Bucket of the n bytes from each position; the last n - 1 positions have none."""
-    code = np.zeros(max(0, len(data) - n + 1), np.uint32)
+    size = max(0, len(data) - n + 1)
+    code = np.zeros(size, np.uint32)
     for i in range(n):
         code *= np.uint32(0x01000193)
-        code ^= data[i : len(data) - n + 1 + i]
+        code ^= data[i : i + size]
     code *= np.uint32(0x9E3779B1)
     code ^= code >> np.uint32(15)
     code *= np.uint32(0x85EBCA77 + 2 * n)
@@ -62,7 +63,8 @@ def _features(chunk: Chunk) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray
         second = np.where(word[1:] == word[:-1], _DITTO, word[1:])
         left = np.where(word[1:] == word[:-1], _DITTO, word[:-1])
         pair = mix(left * np.uint64(0x9E3779B97F4A7C15) + second)
-        yield (pair >> shift).astype(np.int64), first[:-1], np.maximum(first[:-1], first[1:] - 1)
+        begin = np.minimum(first[:-1], len(pair))
+        yield (pair >> shift).astype(np.int64), begin, np.maximum(begin, first[1:] - 1)
     for n in NGRAMS:
         begin = np.minimum(chunk.offsets[:-1], max(0, len(chunk.data) - n + 1))
         stop = np.maximum(begin, chunk.offsets[1:] - n + 1)
@@ -99,15 +101,15 @@ class Model:
 
 
 def train(rows: list, counts: dict[int, int], seed: int = 11) -> Model:
-    """Fit on (buckets, counts, label, doc_id) rows, in the order of their ids."""
+    """Fit on (buckets, counts, label, doc_id, copies) rows, in the order of their ids."""
     total = counts.get(0, 0) + counts.get(1, 0)
     prior = (counts.get(1, 0) + 0.5) / (total + 1)
     size = 1 << BUCKET_BITS
     docs = []
-    for r in sorted(rows, key=lambda r: (r["doc_id"], bytes(r["buckets"]))):
+    for r in sorted(rows, key=lambda r: (r["doc_id"], bytes(r["buckets"]), bytes(r["counts"]))):
         own, often = np.frombuffer(r["buckets"], np.uint16), np.frombuffer(r["counts"], np.uint32)
         if len(own):
-            docs.append((own, (often / often.sum()).astype(np.float32)[:, None], r["label"]))
+            docs += [(own, (often / often.sum()).astype(np.float32)[:, None], r["label"])] * r["copies"]
     have = [sum(d[2] == v for d in docs) for v in (0, 1)]
     if min(have) == 0:
         return Model(np.zeros(size, np.float32), float(np.log(prior / (1 - prior))), prior)
@@ -145,7 +147,9 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model
     made = rows.select("text", "label", "doc_id").mapInArrow(
         _counted, "buckets binary, counts binary, label int, doc_id long"
     )
-    return train(made.collect(), counts)
+    # rows of one id with the same text come as one, with their number
+    folded = made.groupBy("buckets", "counts", "label", "doc_id").agg(F.count("*").alias("copies"))
+    return train(folded.collect(), counts)
 
 
 def _scores(weight: np.ndarray, bias: float, prior: float, texts: pa.Array) -> pa.Array:
