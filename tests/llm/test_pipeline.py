@@ -48,3 +48,11 @@ def test_every_operator_is_registered():
     numbers = sorted(int(name[2:].split("_")[0]) for name in registry.QUERIES)
     assert numbers == list(range(1, 14))
     assert mixing.WEIGHTS == (1, 2, 3)
+
+
+def test_first_stage_takes_short_and_blank_texts(spark, tmp_path):
+    texts = ["a good word " * 9, "%% ** " * 9, "De.", "x y", "", " ", None]
+    docs = frames.documents(spark, texts).coalesce(1)
+    frames.labels(spark, [(i, i % 2) for i in range(len(texts))], "quality").write.parquet(f"{tmp_path}/labels.parquet")
+    kept = dict(corpus_pipeline.STAGES)["quality classifier"](spark, docs, str(tmp_path))
+    assert set(kept.collect()) <= set(docs.collect()) and kept.columns == docs.columns
