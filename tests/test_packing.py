@@ -1,12 +1,14 @@
 """Padding, packing, split and batches."""
 
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from threadloom.functions import arrays as A
 from threadloom.operators import authors, packing, subwords
+from threadloom.plans import prepare
 
 SAMPLES = "id string, sender array<string>, tweets array<string>, response string, author_id string"
 
@@ -138,3 +140,43 @@ def test_lines_are_read_once_per_row(spark):
     assert [r.bad_record is None for r in rows.collect()] == [True, False, False, False, True]
     plan = rows._jdf.queryExecution().executedPlan().toString()
     assert plan.count("exists(") == 1 and "transform(" not in plan
+
+
+class Counting:
+    """Counts the turns that it encodes; its ids are a start, the lengths of the words, and an end."""
+
+    def __init__(self, spark):
+        self.seen = spark.sparkContext.accumulator(0)
+
+    def encode_turns(self, turns):
+        seen = self.seen
+
+        @F.udf("array<array<int>>")
+        def encode(texts):
+            seen.add(len(texts))
+            return [[1, *map(len, t.split()), 2] for t in texts]
+
+        return encode.asNondeterministic()(turns)
+
+    def encode(self, text):
+        return F.element_at(self.encode_turns(F.array(text)), 1)
+
+
+@pytest.mark.parametrize("shelf", [1, 40, 65_536])
+def test_prepared_turns_are_encoded_once_each(spark, accounts, monkeypatch, shelf):
+    monkeypatch.setattr(packing, "SHELF_TURNS", shelf)
+    rng = random.Random(8)
+    said = ["hello there", "yes", "la casa", "", None, *(f"word{i} and more" for i in range(20))]
+    pick = [0.2 if t in (None, "", "la casa") else 5 for t in said]
+    rows = []
+    for i in range(120):
+        n = rng.randrange(0, 6)
+        rows.append((f"s{i}", ["u", "B", "c"][:n], rng.choices(said, pick, k=n), rng.choices(said, pick)[0], "B"))
+    samples = spark.createDataFrame([*rows, ("none", None, None, "yes", "B"), ("null", ["u"], ["yes"], None, None)], SAMPLES).repartition(3)
+    encoder = Counting(spark)
+    got = prepare._packed(samples, encoder, accounts, ["B"], "strict", 32).collect()
+    texts = {t for _, _, tweets, response, _ in rows for t in [*tweets, response]} - {None, "", "la casa"}
+    assert encoder.seen.value == len(texts)
+    assert sorted(got) == sorted(packing.pack(samples, Counting(spark), accounts, ["B"], length=32).collect())
+    assert sorted(got) == sorted(packing.pack(samples, Counting(spark), accounts, ["B"], length=32, once=True).collect())
+    assert len(got) > 50
